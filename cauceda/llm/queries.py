@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cauceda.llm import exact_dedup, sharding
+from cauceda.llm import bpe, exact_dedup, packing, sharding
 
 
 def queries():
     return {
         "op2_two_pass_shuffle": sharding.op2_two_pass_shuffle,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
