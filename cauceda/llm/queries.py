@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cauceda.llm import bpe, exact_dedup, packing, sharding
+from cauceda.llm import bpe, exact_dedup, media, packing, sharding, warc
 
 
 def queries():
@@ -10,9 +10,11 @@ def queries():
         "op2_two_pass_shuffle": sharding.op2_two_pass_shuffle,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_warc": warc.op5_warc,
+        "op6_chunked_media": media.op6_chunked_media,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
