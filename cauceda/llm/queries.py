@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cauceda.llm import bpe, exact_dedup, media, packing, sharding, warc
+from cauceda.llm import bpe, exact_dedup, language_id, media, packing, sharding, substring_dedup, toxicity, warc
 
 
 def queries():
@@ -12,7 +12,10 @@ def queries():
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_warc": warc.op5_warc,
         "op6_chunked_media": media.op6_chunked_media,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
