@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cauceda.llm import bpe, exact_dedup, language_id, media, packing, sharding, substring_dedup, toxicity, warc
+from cauceda.llm import bpe, exact_dedup, language_id, media, ngram_join, packing, sharding, substring_dedup, toxicity, warc
 
 
 def queries():
     return {
+        "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
         "op2_two_pass_shuffle": sharding.op2_two_pass_shuffle,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
