@@ -104,7 +104,7 @@ def covered(ranges: pa.Array, counts: np.ndarray) -> np.ndarray:
 def _only_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that have ranges. They are dropped here, not in the plan, so that both joins share one exchange."""
     for batch in batches:
-        held = batch.filter(batch.column(3).is_valid())
+        held = batch.filter(batch.column(4).is_valid())
         yield from slices(iter([held]), "text", SLICE)
 
 
@@ -114,7 +114,7 @@ def marks(docs: DataFrame, length: int, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _only_marked(batches) if bounded else slices(batches, "text", SLICE):
-            within = covered(batch.column(3), words(*utf8_column(batch.column(2)))[2]) if bounded else None
+            within = covered(batch.column(4), words(*utf8_column(batch.column(2)))[2]) if bounded else None
             yield _marks(batch, batch.column(2), length, window, within)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -128,7 +128,7 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
         for batch in _only_marked(batches):
             data, offsets = utf8_column(batch.column(2))
             starts, ends, counts = words(data, offsets)
-            at = np.flatnonzero(covered(batch.column(3), counts) & inside(counts, window))
+            at = np.flatnonzero(covered(batch.column(4), counts) & inside(counts, window))
             doc = np.repeat(np.arange(len(counts)), counts)[at]
             h = run_hashes(word_hashes(data, starts, ends), window)
             g = run_hashes(word_hashes(data, starts, ends, second=True), window)
@@ -153,12 +153,12 @@ def ranges_of(places: DataFrame) -> DataFrame:
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept. ``docs`` has the keys, text, starts of removed windows, and copy."""
+    """doc_id, n_words, n_removed, kept, row. ``docs`` has the keys, text, row, starts of removed windows, and copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             n, gone, kept = [], [], []
-            for text, starts, copy in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), strict=True):
+            for text, starts, copy in zip(batch.column(2).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 own = (text or "").encode().split()  # bytes.split() cuts at \x20 and \x09 to \x0D
                 n.append(len(own))
                 if copy and len(own) >= window:
@@ -172,15 +172,20 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                 gone.append(n[-1] - len(own))
                 kept.append(b" ".join(own))
             made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(3)], ["doc_id", "n_words", "n_removed", "kept", "row"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    kinds = [docs.schema[c].dataType.simpleString() for c in ("doc_id", "row")]
+    return docs.mapInArrow(run, f"doc_id {kinds[0]}, n_words long, n_removed long, kept string, row {kinds[1]}")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, start: int = 25) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of every row of ``docs``."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, start: int = 25, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), row of every row of ``docs``.
+
+    row is a struct of the columns ``keep``, and of an empty one.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    row = F.struct(*(F.col(c) for c in keep), F.lit(0).alias("_"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), row.alias("row"))
     # whole copies: 128 bits name a text
     ids = materialize(base.select("doc_id", "text_key", F.md5("text").alias("name")), "substring-ids")
     firsts = ids.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -191,7 +196,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = None
     for i, length in enumerate(shorter):
         if i:
-            found = materialize(marks(base.join(ranges, KEYS, "left").select(*KEYS, "text", "ranges"), length, window), "substring-marks")
+            found = materialize(marks(base.join(ranges, KEYS, "left").select(*KEYS, "text", "row", "ranges"), length, window), "substring-marks")
         own = found.join(copies, KEYS, "left_anti") if not i else found
         places = own.select(*KEYS, F.explode("runs").alias("run")).select(*KEYS, "run.*").filter("doc_id IS NOT NULL")
         hot = repeated(places, ["h"]).select("h")
@@ -200,14 +205,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         every = F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("n")))
         ranges = base.select(*KEYS).distinct().withColumn("ranges", every)
 
-    held = base.join(ranges, KEYS, "left").select(*KEYS, "text", "ranges")
+    held = base.join(ranges, KEYS, "left").select(*KEYS, "text", "row", "ranges")
     places = full_windows(held, window)
     firsts = repeated(places, ["h", "g"])
     gone = places.join(firsts, ["h", "g"]).filter("first < doc_id")
     removed = gone.groupBy(*KEYS).agg(F.collect_set("at").alias("starts"))
     flags = copies.withColumn("copy", F.lit(True))
     marked = removed.join(flags, KEYS, "full").select(*KEYS, "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
-    out = base.join(marked, KEYS, "left").select(*KEYS, "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    out = base.join(marked, KEYS, "left").select(*KEYS, "text", "row", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
     return _kept(out, window)
 
 

@@ -295,6 +295,21 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches, text_col):
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array(own.score(np.array([own.lexicon.features(t or "") for t in texts])) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir):
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = crc_of_id("doc_id") % 5 == 0
