@@ -11,13 +11,13 @@ from cauceda.llm.common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the node's smallest neighbour, itself included."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are linked to the smallest of them. Here b < a."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     below = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return below.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
 
@@ -25,13 +25,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``edges`` (a, b) that is not its own smallest.
 
-    Each round is two groupings with partial minima and joins that Spark can split, so a hub of any degree
-    spreads over tasks; the number of rounds grows with the logarithm of the longest path.
+    Each round is two groupings with partial minima and two joins. Minima are written before they are joined, so
+    that a join's sides are plain shuffles and Spark can split the one of a hub, whatever its degree. The number
+    of rounds grows with the logarithm of the longest path.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(materialize(_large_star(now), "edges")), "edges")
         # the edges are stars when nothing changes: compare count and an order-free hash
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == seen:

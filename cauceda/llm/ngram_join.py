@@ -15,8 +15,8 @@ become one component. The last round takes every pair of nodes of different comp
 one of the two is outside the token's largest component: no link between components is missed, and a group
 that is one component gives no pairs. Components of all links found are the result.
 
-Hot tokens are counted with partial sums; the joins on tokens, hubs and nodes are plain joins that Spark can
-split where a key is hot. Texts of nodes that share no prefix token leave the job after three passes.
+Hot tokens are counted with partial sums; the joins on tokens, hubs and nodes have written tables or plain
+shuffles on both sides, so Spark can split them where a key is hot. Texts of nodes that share no prefix token leave the job after three passes.
 
 Defined cases: a text without words has size 0 and links with nothing; one of fewer than 5 words is one
 shingle; null ids and repeated rows are rows of their own; the component of rows without an id is null unless
@@ -255,7 +255,7 @@ def hub_pairs(posts: DataFrame, percent: int, round_: int) -> DataFrame:
     """One pair for each node: the hub of another component with which it shares most tokens."""
     chosen = F.struct(F.xxhash64(F.lit(round_), "node").alias("draw"), "node", "n", "component")
     hubs = posts.groupBy("token").agg(F.min(chosen).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-    hubs = hubs.filter("low <> high").select("token", "hub")
+    hubs = materialize(hubs.filter("low <> high").select("token", "hub"), "ngram-hubs")
     fits = f"component <> hub.component AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
     met = posts.join(hubs, "token").filter(fits).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("shared"))
     return met.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
@@ -265,7 +265,7 @@ def other_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes of different components that a shared token of order one allows to link."""
     sizes = posts.groupBy("token", "component").agg(F.count("*").alias("rows"))
     major = sizes.groupBy("token").agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("parts"))
-    major = major.filter("parts > 1").select("token", F.col("most.component").alias("major"))
+    major = materialize(major.filter("parts > 1").select("token", F.col("most.component").alias("major")), "ngram-major")
     marked = materialize(posts.join(major, "token"), "ngram-posts")
     left = marked.filter("component <> major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "place", "component")))
     right = marked.select("token", F.col("component").alias("b_component"), F.col("node").alias("b_node"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), "major")
@@ -314,7 +314,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(links)
     empty = F.col("n_shingles") == 0
     placed = with_components(sets.filter(~empty), found)
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = materialize(placed, "ngram-placed")
+    least = materialize(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ngram-least")
     linked = placed.join(least, "component").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sets.filter(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
