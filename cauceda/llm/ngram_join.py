@@ -21,7 +21,7 @@ shuffles on both sides, so Spark can split them where a key is hot. Texts of nod
 Defined cases: a text without words has size 0 and links with nothing; one of fewer than 5 words is one
 shingle; null ids and repeated rows are rows of their own; the component of rows without an id is null unless
 they reach a row with one; an empty table gives an empty result; other columns are ignored. 64-bit names can
-collide: among N distinct sets about N**2 / 2**65 pairs would be taken for equal.
+collide: among N distinct sets about N**2 / 2**64 pairs would be taken for equal.
 """
 
 from __future__ import annotations
