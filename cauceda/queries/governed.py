@@ -1 +1,82 @@
-QUERIES, ORACLES = {}, {}
+"""Governed queries: policies, KPI choice and formulas, projection and budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cauceda.operators import quality, trends
+from cauceda.plans import guard, kpis, policy
+from cauceda.queries.base import Register, table
+
+register = Register()
+
+CATALOG = [
+    ("orders", "*", "si: ventas públicas", "Pedidos", 1), ("orders", "o_custkey", "confidencial", "Cliente", 2), ("customer", "c_name", "puede usar el bot", "", 3),
+    ("customer", "c_acctbal", "interno", "Saldo", 4), ("part", "p_name", "disponible para el bot", "", 5), ("part", "p_size", "X", "", 6),
+    ("supplier", "", "no es confidencial, puede usar", "", 7), ("nation", "*", "", "", 8), (" ", "*", "si", "", 9),
+]
+
+
+def catalog(spark):
+    return spark.createDataFrame(CATALOG, 'table string, column string, instruction string, description string, position int')
+
+
+@register("""
+SELECT * FROM (VALUES ('orders', TRUE, 'Pedidos'), ('customer', FALSE, ''), ('part', TRUE, ''), ('supplier', FALSE, ''), ('nation', FALSE, '')) t("table", allowed, description)
+""")
+def policy_resolution(spark, sf_dir):
+    return policy.decide(catalog(spark))
+
+
+@register("""SELECT * FROM (VALUES ('orders', 'erp__orders'), ('exact', 'exact')) t("table", name)""")
+def table_resolution(spark, sf_dir):
+    logical = spark.createDataFrame([("orders",), ("twice",), ("none",), ("exact",)], "table string")
+    physical = spark.createDataFrame([("erp__orders",), ("a__twice",), ("b__twice",), ("exact",), ("x__exact",)], "name string")
+    return policy.resolve(logical, physical)
+
+
+@register("SELECT o_orderpriority AS priority, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def kpi_canonical(spark, sf_dir):
+    """A stored formula over logical names, checked and run in a session that holds the allowed tables only."""
+    formula = """WITH f AS (SELECT * FROM ventas WHERE o_orderstatus = 'F') SELECT o_orderpriority AS "priority", round(sum(o_totalprice), 2) AS total FROM f GROUP BY 1"""
+    return guard.canonical(spark, {"ventas": table(spark, sf_dir, "orders")}, formula)
+
+
+@register("SELECT * FROM (VALUES (2, 'ventas_mes', CAST(7 AS INTEGER)), (4, 'margen', CAST(3 AS INTEGER)), (1, 'saldo', CAST(0 AS INTEGER))) t(position, kpi, score)")
+def kpi_relevance_topk(spark, sf_dir):
+    rows = [
+        (1, "saldo", "Saldo actual", "", "", "", ""), (2, "ventas_mes", "Ventas mensuales", "ventas por sucursal", "sucursal", "", ""),
+        (3, "clientes", "Clientes nuevos", "", "", "", ""), (4, "margen", "Margen", "margen en sucursal", "", "", ""),
+    ]
+    shape = "position int, kpi string, name string, examples string, description string, dimensions string, assumptions string"
+    return kpis.relevant(spark.createDataFrame(rows, shape), "¿Cuánto vendió en ventas la Sucursál?", 3).select("position", "kpi", "score")
+
+
+@register("SELECT c_mktsegment, c_name FROM customer")
+def project_requested(spark, sf_dir):
+    """Columns named in the question, in its order."""
+    return kpis.project(table(spark, sf_dir, "customer"), "Clientes, solo c mktsegment y c_name nada más, sin c_custkey".replace("c_name", "c name").replace("c_custkey", "c custkey"))
+
+
+@register("""
+SELECT c_custkey, c_name, CAST(used AS BIGINT) AS used FROM (SELECT c_custkey, c_name, sum(length(c_name) + 1) OVER (ORDER BY c_custkey) AS used FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 500)) WHERE used <= 4000
+""")
+def prompt_budget(spark, sf_dir):
+    """As many of a capped result's rows as fit in 4000 characters."""
+    capped = table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy("c_custkey").limit(500)
+    return trends.within_budget(capped, "c_custkey", "c_name", 4000)
+
+
+@register("""SELECT * FROM (VALUES ('orders;customer'), ('orders')) t("table")""")
+def catalog_rows_of_loaded(spark, sf_dir):
+    rows = spark.createDataFrame([("orders;customer",), ("orders; part",), ("orders",), ("",)], "table string")
+    return quality.visible_rows(rows, ["orders", "customer"], every=True)
+
+
+@register("SELECT list_aggregate(list_sort(list_distinct(list(c_mktsegment))), 'string_agg', ',') AS segments, TRUE AS mixed FROM customer")
+def mixed_values(spark, sf_dir):
+    out = quality.mixed(table(spark, sf_dir, "customer"), "c_mktsegment")
+    return out.select(F.concat_ws(",", "values").alias("segments"), "mixed")
+
+
+QUERIES, ORACLES = register.queries, register.oracles
