@@ -61,7 +61,7 @@ def build_index(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, c
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20, max_depth: int = 12) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain: one row per row of ``docs``.
+    """doc_id, keep_id, group_size, kept, text_sha256, key, bucket, chain: one row per row of ``docs``.
 
     The row with the largest id of equal texts stays. ``capacity`` is in distinct texts a bucket.
     """
@@ -70,13 +70,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = materialize(keyed, "exact-keys")
     index = build_index(docs, keyed, id_col, text_col, capacity, max_depth)
     found = keyed.join(index, ["key", "text_sha256"])
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "key", "bucket", "chain")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id", "key").distinct()
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]) & (key == gone["key"]), "left_anti")
 
 
 def op9_exact_dedup(spark, sf_dir):

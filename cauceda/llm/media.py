@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import materialize, read_table, slices
+from cauceda.llm.common import bitmap, materialize, read_table, slices
 from cauceda.llm.hashing import constants
 
 UNIT = 576
@@ -108,21 +108,16 @@ def _each(docs: DataFrame, of: Callable, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def marked(digest: bytes, bitmap: np.ndarray, bits: int) -> bool:
+def marked(digest: bytes, marks: np.ndarray, bits: int) -> bool:
     at = int.from_bytes(digest[:4], "big") >> (32 - bits)
-    return bool(bitmap[at >> 3] >> (at & 7) & 1)
+    return bool(marks[at >> 3] >> (at & 7) & 1)
 
 
 def shared_bitmap(digests: DataFrame, bits: int) -> np.ndarray:
     """2**bits bits; set for the digests that occur more than once. Its size does not depend on the data."""
     twice = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     at = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits)
-    parts = twice.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-    out = np.zeros((1 << bits) // 8 + 4096, np.uint8)
-    for part, bitmap in parts.collect():  # at most 2**bits / 2**15 parts of 4 KB
-        begin = (part - 1) * 4096
-        out[begin : begin + len(bitmap)] |= np.frombuffer(bytes(bitmap), np.uint8)
-    return out
+    return bitmap(twice.select(at.alias("at")), bits)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -135,16 +130,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     key = rows.schema["doc_id"].dataType.simpleString()
 
     listed = _each(rows.select(F.lit(0).cast("long").alias("doc_id"), "text"), lambda k, text: [(d,) for d, _ in chunks(to_wav(payload_of(text)))], "digest binary")
-    bitmap = rows.sparkSession.sparkContext.broadcast(shared_bitmap(listed, bits))
+    marks = rows.sparkSession.sparkContext.broadcast(shared_bitmap(listed, bits))
 
     def kept(k, text: bytes):
         media = to_wav(payload_of(text))
         pieces = chunks(media)
-        inline = [None if marked(d, bitmap.value, bits) else b for d, b in pieces]
+        inline = [None if marked(d, marks.value, bits) else b for d, b in pieces]
         return [(k, len(text), hashlib.sha256(media).digest(), [d for d, _ in pieces], inline)]
 
     def common(k, text: bytes):
-        return [(d, b) for d, b in chunks(to_wav(payload_of(text))) if marked(d, bitmap.value, bits)]
+        return [(d, b) for d, b in chunks(to_wav(payload_of(text))) if marked(d, marks.value, bits)]
 
     objects = _each(rows, kept, f"doc_id {key}, n_bytes long, media_sha256 binary, digests array<binary>, inline array<binary>")
     once = _each(rows, common, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import list_column, materialize, read_table, slices, utf8_column
+from cauceda.llm.common import bitmap, list_column, materialize, read_table, slices, utf8_column
 from cauceda.llm.components import components
 from cauceda.llm.hashing import constants, mix
 from cauceda.llm.words import inside, run_hashes, word_hashes, words
@@ -171,12 +171,7 @@ def candidates(docs: DataFrame, width: int, percent: int, levels, shared: DataFr
     count = shared.count()
     bits = int(np.clip(np.ceil(np.log2(max(16 * count, 1))), 15, most_bits))
     cell = F.shiftrightunsigned(F.shiftleft("token", 4), 64 - bits)  # the hash below the frequency class
-    parts = shared.select(cell.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-    held = np.zeros((1 << bits) // 8 + 4096, np.uint8)
-    for part, bitmap in parts.collect():  # 2**most_bits / 8 bytes at most
-        begin = (part - 1) * 4096
-        held[begin : begin + len(bitmap)] |= np.frombuffer(bytes(bitmap), np.uint8)
-    marks = docs.sparkSession.sparkContext.broadcast(held)
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(shared.select(cell.alias("at")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
