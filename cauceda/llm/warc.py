@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from cauceda.llm.common import new_path, read_table, slices
 
 MAGIC = b"\x1f\x8b\x08"
+START = b"WARC/1."
 _IDS = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:page")
 
 
@@ -88,7 +89,7 @@ class Member:
 
     @classmethod
     def at(cls, source: pa.NativeFile, size: int, at: int, ahead: memoryview) -> tuple[bytes, int] | None:
-        inflate, parts, fed = zlib.decompressobj(31), [], at
+        inflate, parts, fed, head = zlib.decompressobj(31), [], at, b""
         held = ahead
         try:
             while not inflate.eof:
@@ -100,11 +101,13 @@ class Member:
                     continue
                 fed += len(chunk)
                 parts.append(inflate.decompress(chunk))
-                if len(parts) == 1 and not parts[0].startswith(b"WARC/1."):
-                    return None
+                if len(head) < len(START):
+                    head += parts[-1][: len(START) - len(head)]
+                    if not START.startswith(head):
+                        return None
         except zlib.error:
             return None
-        return b"".join(parts), fed - len(inflate.unused_data)
+        return (b"".join(parts), fed - len(inflate.unused_data)) if head == START else None
 
 
 def records(source: pa.NativeFile, size: int, start: int, end: int) -> Iterator[bytes]:
