@@ -95,9 +95,10 @@ def covered(ranges: pa.Array, counts: np.ndarray) -> np.ndarray:
     first = np.cumsum(counts) - counts
     flat, sizes = ranges.flatten(), np.diff(ranges.offsets.to_numpy())
     lo = flat.field("lo").to_numpy() + np.repeat(first, sizes)
+    end = np.minimum(lo + flat.field("n").to_numpy(), np.repeat(first + counts, sizes))
     edge = np.zeros(int(counts.sum()) + 1, np.int64)
     np.add.at(edge, lo, 1)
-    np.subtract.at(edge, lo + flat.field("n").to_numpy(), 1)
+    np.subtract.at(edge, end, 1)
     return np.cumsum(edge[:-1]) > 0
 
 
