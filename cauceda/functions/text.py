@@ -73,7 +73,7 @@ def is_blank(col: Column) -> Column:
 
 def items(col: Column, separators: str = ",;") -> Column:
     """The distinct non-empty entries of a list cell, in order."""
-    parts = F.transform(F.split(F.coalesce(col, F.lit("")), f"[{separators}]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(col, F.lit("")), f"[{separators}]"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 

@@ -49,14 +49,14 @@ class Model:
 
     def check(self) -> None:
         """Raise for what would fail only when rows come."""
-        names = [n for f in self.fields for n in columns_of(f)]
-        if len(set(names)) != len(names):
-            raise ValueError("two fields make one column")
         for f in self.fields:
             if f.type not in TYPES:
                 raise ValueError(f"{f.column}: unknown type {f.type}")
             if not re.fullmatch(r"[a-z_][a-z0-9_]*", f.column):
                 raise ValueError(f"{f.column}: not an identifier")
+        names = [n for f in self.fields for n in columns_of(f)]
+        if len(set(names)) != len(names):
+            raise ValueError("two fields make one column")
         if self.extractor not in EXTRACTORS:
             raise ValueError(f"unknown extractor {self.extractor}")
 
@@ -87,12 +87,17 @@ def _labelled(body: Column) -> Column:
     return F.filter(parts, lambda x: (F.length(x["label"]) <= LABEL) & (x["label"] != ""))
 
 
+def _under(name: str):
+    """A filter by label; its own function, since a lambda's further arguments would be taken for places."""
+    return lambda x: x["label"] == text.fold_lower(F.lit(name))
+
+
 def by_lines(body: Column, f: Field, others: list[Field]) -> Column:
     """struct(value, label): the first line under one of the labels, in the labels' order. Empty values count."""
     found = _labelled(body)
     picks = []
     for name in f.labels:
-        hit = F.get(F.filter(found, lambda x, n=name: x["label"] == text.fold_lower(F.lit(n))), F.lit(0))
+        hit = F.get(F.filter(found, _under(name)), F.lit(0))
         picks.append(F.when(hit.isNotNull(), F.struct(hit["value"].alias("value"), F.lit(name).alias("label"))))
     return F.coalesce(*picks, by_flat(body, f, others))
 

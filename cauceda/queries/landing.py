@@ -11,12 +11,17 @@ from cauceda.sources import ads, calendar, sinks
 from cauceda.streaming import state
 
 register = Register()
-AT = F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
+
+
+def at():
+    """When the queries' runs take place."""
+    return F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
+
 
 
 @register("SELECT *, 'run-1' AS _run_id, 'erp' AS _source_id, TIMESTAMP '2026-01-02 03:04:05' AS _ingested_at FROM orders")
 def scan_lineage(spark, sf_dir):
-    return sinks.with_lineage(table(spark, sf_dir, "orders"), "run-1", "erp", AT)
+    return sinks.with_lineage(table(spark, sf_dir, "orders"), "run-1", "erp", at())
 
 
 def as_text(spark, sf_dir):
@@ -102,7 +107,7 @@ def drift_and_emptiness(spark, sf_dir):
 def versioned(spark, sf_dir, tombstone=False):
     """Stored customers, and a re-read window of them: some changed, some new, one repeated, one tombstone in nine."""
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("state"))
-    stored = upsert.stamped(customer.filter("id % 3 <> 0"), ["name", "state"], "run-1", AT)
+    stored = upsert.stamped(customer.filter("id % 3 <> 0"), ["name", "state"], "run-1", at())
     window = customer.filter("id % 2 = 0").withColumn("position", F.lit(1))
     changed = window.filter("id % 4 = 0").withColumns({"name": F.concat("name", F.lit("*")), "position": F.lit(2)})
     if tombstone:
@@ -117,7 +122,7 @@ FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0
 """)
 def upsert_versioned(spark, sf_dir):
     stored, window = versioned(spark, sf_dir)
-    out = upsert.upsert(stored, window, ["id"], ["name", "state"], "run-2", AT, position="position")
+    out = upsert.upsert(stored, window, ["id"], ["name", "state"], "run-2", at(), position="position")
     return out.select("id", "name", "state", "run_id", "action")
 
 
@@ -128,7 +133,7 @@ SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 9 <> 1 THEN
 def tombstone_merge(spark, sf_dir):
     """A cancelled row keeps the stored name where its own is blank."""
     stored, window = versioned(spark, sf_dir, True)
-    out = upsert.upsert(stored, window, ["id"], ["name", "state"], "run-2", AT, "position", F.col("state") == "cancelled", ("name",))
+    out = upsert.upsert(stored, window, ["id"], ["name", "state"], "run-2", at(), "position", F.col("state") == "cancelled", ("name",))
     return out.select("id", "name", "state")
 
 
