@@ -10,8 +10,8 @@ Orders two and three use other seeds. A pair is verified on its whole sets only
 * and under each other order the prefixes share enough for what the rests can add.
 
 A group of near copies would give pairs in the square of its size, so hub rounds come first: each node takes,
-of the hubs of the tokens it holds, the one it shares most with, and that one pair is verified. Nodes linked so
-become one component. The last round takes every pair of nodes of different components, token by token, where
+of the hubs of the tokens it holds, a few with which it shares most, and those pairs are verified. Nodes linked
+so become one component. The last round takes every pair of nodes of different components, token by token, where
 one of the two is outside the token's largest component: no link between components is missed, and a group
 that is one component gives no pairs. Components of all links found are the result.
 
@@ -149,24 +149,24 @@ def frequency_classes(sketch: DataFrame, bits: int) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """node, tokens: the prefix of every row's set under order one."""
+    """tokens: the prefix of every row's set under order one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             values, sizes = shingles(*utf8_column(batch.column(1)), width)
-            node = names(values, sizes).view(np.int64)
             keys, lead = ordered(values, sizes, levels.value, SEEDS[0]), prefix(sizes, percent)
             held = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(lead, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(node), list_column(keys[held].view(np.int64), lead)], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([list_column(keys[held].view(np.int64), lead)], ["tokens"])
 
-    return docs.mapInArrow(run, "node long, tokens array<long>")
+    return docs.mapInArrow(run, "tokens array<long>")
 
 
 def candidates(docs: DataFrame, width: int, percent: int, levels, shared: DataFrame, most_bits: int) -> DataFrame:
-    """node, n, hits (token, place), other (prefixes under the other orders), packed text; rows that share a token.
+    """node, n, hits (token, place), second, third, slack, packed: the rows that share a token; copies repeat.
 
     A bitmap of the shared tokens drops most rows before anything is shuffled; tokens it lets through by
-    chance stand alone in their lists and make no pairs.
+    chance stand alone in their lists and make no pairs. second and third are the prefixes under the other
+    orders, as distinct 32-bit hashes; slack is how many tokens such hashes may hide. packed is the text.
     """
     count = shared.count()
     bits = int(np.clip(np.ceil(np.log2(max(16 * count, 1))), 15, most_bits))
@@ -195,22 +195,33 @@ def candidates(docs: DataFrame, width: int, percent: int, levels, shared: DataFr
             flat = pa.StructArray.from_arrays([pa.array(token), pa.array(where)], ["token", "place"])
             raw = data.tobytes()
             columns = [pa.array(node[rows]), pa.array(sizes[rows]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-            for keys2 in others:
-                columns.append(list_column(np.concatenate([keys2[edges[i] : edges[i] + lead[i]] for i in rows]).view(np.int64), lead[rows]))
+            slack = np.zeros(len(rows), np.int32)
+            for other in others:
+                short = [np.unique((other[edges[i] : edges[i] + lead[i]] >> np.uint64(28)).astype(np.uint32)) for i in rows]
+                held = np.array([len(x) for x in short])
+                slack = np.maximum(slack, lead[rows] - held).astype(np.int32)
+                columns.append(list_column(np.concatenate(short).view(np.int32), held))
+            columns.append(pa.array(slack))
             columns.append(pa.array([pack.compress(raw[offsets[i] : offsets[i + 1]]) for i in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "hits", "second", "third", "packed"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "hits", "second", "third", "slack", "packed"])
 
-    found = docs.mapInArrow(run, "node long, n long, hits array<struct<token:long,place:int>>, second array<long>, third array<long>, packed binary")
-    return materialize(found.groupBy("node").agg(*(F.first(c).alias(c) for c in found.columns[1:])), "ngram-candidates")
+    found = docs.mapInArrow(run, "node long, n long, hits array<struct<token:long,place:int>>, second array<int>, third array<int>, slack int, packed binary")
+    return materialize(found, "ngram-candidates")
 
 
-def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Only texts of nodes in ``pairs`` move."""
-    pairs = materialize(pairs, "ngram-pairs")
+def of_nodes(held: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the nodes that ``pairs`` (a, b) name, once each. Copies are dropped before the shuffle."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if pairs.count() <= BROADCAST_NODES // 2:
         needed = F.broadcast(needed)
-    texts = held.select("node", "packed").join(needed, "node", "left_semi")
+    rows = held.select("node", *columns).join(needed, "node", "left_semi")
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in columns))
+
+
+def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets. Only texts of nodes in ``pairs`` move."""
+    pairs = materialize(pairs, "ngram-pairs")
+    texts = of_nodes(held, pairs, ["packed"])
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,14 +257,22 @@ def with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def hub_pairs(posts: DataFrame, percent: int, round_: int) -> DataFrame:
-    """One pair for each node: the hub of another component with which it shares most tokens."""
-    chosen = F.struct(F.xxhash64(F.lit(round_), "node").alias("draw"), "node", "n", "component")
-    hubs = posts.groupBy("token").agg(F.min(chosen).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-    hubs = materialize(hubs.filter("low <> high").select("token", "hub"), "ngram-hubs")
+def hub_pairs(posts: DataFrame, percent: int, round_: int, hubs: int) -> DataFrame:
+    """Pairs of each node with the up to ``hubs`` hubs of other components with which it shares most tokens.
+
+    A token's hubs are its smallest nodes under as many seeded draws. Only hubs that share at least a quarter of a
+    prefix are worth verifying here; the last round misses nothing.
+    """
+    node = F.struct("node", "n", "component")
+    drawn = [F.min_by(node, F.xxhash64(F.lit(round_ * hubs + k), "node")).alias(f"_{k}") for k in range(hubs)]
+    found = posts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *drawn).filter("low <> high")
+    chosen = found.select("token", F.explode(F.array_distinct(F.array(*(f"_{k}" for k in range(hubs))))).alias("hub"))
+    chosen = materialize(chosen, "ngram-hubs")
     fits = f"component <> hub.component AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
-    met = posts.join(hubs, "token").filter(fits).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("shared"))
-    return met.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+    met = posts.join(chosen, "token").filter(fits).groupBy("node", "n", F.col("hub.node").alias("hub")).agg(F.count("*").alias("shared"))
+    met = met.filter(f"400 * shared >= {100 - percent} * n")
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), False), 1, hubs).alias("best"))
+    return best.select("node", F.explode("best.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def other_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -272,30 +291,35 @@ def other_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def pass_orders(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes under each other order share enough for what lies beyond them."""
-    both = pairs
-    for side in "ab":
-        both = both.join(held.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("second").alias(f"second_{side}"), F.col("third").alias(f"third_{side}")), side)
+    """The pairs whose prefixes under each other order share enough for what lies beyond them.
+
+    One order after the other, so that the second one's prefixes move only for pairs that passed the first.
+    """
     for order in ("second", "third"):
+        pairs = materialize(pairs, "ngram-pairs")
+        rows = of_nodes(held, pairs, ["n", order, "slack"])
+        both = pairs
+        for side in "ab":
+            both = both.join(rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rows.columns[1:])), side)
         common = F.size(F.array_intersect(f"{order}_a", f"{order}_b"))
-        beyond = F.greatest(F.col("n_a") - F.size(f"{order}_a"), F.col("n_b") - F.size(f"{order}_b"))
-        both = both.filter((common > 0) & (common + beyond >= F.expr(overlap(percent, "n_a", "n_b"))))
-    return both.select("a", "b")
+        beyond = F.greatest(*(F.col(f"n_{s}") - F.size(f"{order}_{s}") for s in "ab")) + F.greatest("slack_a", "slack_b")
+        pairs = both.filter((common > 0) & (common + beyond >= F.expr(overlap(percent, "n_a", "n_b")))).select("a", "b")
+    return pairs
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch_bits: int = 22, bitmap_bits: int = 28, hub_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch_bits: int = 22, bitmap_bits: int = 28, hub_rounds: int = 3, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of every row, and the links found: enough of them for all components."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets, sketch = sets_and_sketch(rows, width, sketch_bits)
     levels = rows.sparkSession.sparkContext.broadcast(frequency_classes(sketch, sketch_bits))
-    tokens = prefix_tokens(rows, width, percent, levels).select("node", F.explode("tokens").alias("token"))
-    counted = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = materialize(counted.filter("low <> high").select("token"), "ngram-shared")
+    tokens = prefix_tokens(rows, width, percent, levels).select(F.explode("tokens").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "ngram-shared")
     held = candidates(rows, width, percent, levels, shared, bitmap_bits)
-    posts = materialize(held.select("node", "n", F.explode("hits").alias("hit")).select("node", "n", "hit.*"), "ngram-hits")
+    posts = held.select("node", "n", F.explode("hits").alias("hit")).select("node", "n", "hit.*")
+    posts = materialize(posts.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place")), "ngram-hits")
     links, found = None, None
     for round_ in range(hub_rounds):
-        now = verified(hub_pairs(with_components(posts, found), percent, round_), held, width, percent)
+        now = verified(hub_pairs(with_components(posts, found), percent, round_, hubs), held, width, percent)
         links = now if links is None else links.unionByName(now)
         found = components(links)
     rest = other_pairs(with_components(posts, found), percent)
