@@ -16,12 +16,13 @@ one of the two is outside the token's largest component: no link between compone
 that is one component gives no pairs. Components of all links found are the result.
 
 Hot tokens are counted with partial sums; the joins on tokens, hubs and nodes have written tables or plain
-shuffles on both sides, so Spark can split them where a key is hot. Texts of nodes that share no prefix token leave the job after three passes.
+shuffles on both sides, so Spark can split them where a key is hot. Texts are not stored again: those of the
+nodes that a round of pairs names are read from ``docs`` by a 64-bit hash of the text, one text a node.
 
 Defined cases: a text without words has size 0 and links with nothing; one of fewer than 5 words is one
 shingle; null ids and repeated rows are rows of their own; the component of rows without an id is null unless
 they reach a row with one; an empty table gives an empty result; other columns are ignored. 64-bit names can
-collide: among N distinct sets about N**2 / 2**64 pairs would be taken for equal.
+collide: among N distinct sets, or texts, about N**2 / 2**64 pairs would be taken for equal.
 """
 
 from __future__ import annotations
@@ -106,25 +107,25 @@ def ordered(values: np.ndarray, sizes: np.ndarray, levels: np.ndarray, seed: np.
 
 
 def sets_and_sketch(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and (part, counts): shingles counted by the top ``bits`` of their hash."""
+    """(doc_id, n_shingles, node, key) of every row, and (part, counts): shingles counted by the top ``bits`` of their hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, fixed = np.zeros(1 << bits, np.uint32), pa.null()
-        columns = ["doc_id", "n_shingles", "node", "part", "counts"]
+        columns = ["doc_id", "n_shingles", "node", "key", "part", "counts"]
         for batch in slices(batches, "text", SLICE):
             fixed = batch.column(0).type
             values, sizes = shingles(*utf8_column(batch.column(1)), width)
             np.add.at(counts, (values >> np.uint64(64 - bits)).astype(np.int64), 1)
             nothing = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(names(values, sizes).view(np.int64)), *nothing], columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(names(values, sizes).view(np.int64)), batch.column(2), *nothing], columns)
         for part in range(len(counts) // PART):
             own = counts[part * PART : (part + 1) * PART]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, fixed), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([own.astype(np.uint64).tobytes()], pa.binary())], columns)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, fixed), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([part], pa.int32()), pa.array([own.astype(np.uint64).tobytes()], pa.binary())], columns)
 
-    both = materialize(docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, part int, counts binary"), "ngram-sets")
-    return both.filter("part IS NULL").select("doc_id", "n_shingles", "node"), both.filter("part IS NOT NULL").select("part", "counts")
+    both = materialize(docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, key long, part int, counts binary"), "ngram-sets")
+    return both.filter("part IS NULL").select("doc_id", "n_shingles", "node", "key"), both.filter("part IS NOT NULL").select("part", "counts")
 
 
 def add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +162,11 @@ def prefix_tokens(docs: DataFrame, width: int, percent: int, levels) -> DataFram
     return docs.mapInArrow(run, "tokens array<long>")
 
 
-def candidates(docs: DataFrame, width: int, percent: int, levels, shared: DataFrame, most_bits: int) -> DataFrame:
-    """node, n, hits (token, place), second, third, slack, packed: the rows that share a token; copies repeat.
+def hits(docs: DataFrame, width: int, percent: int, levels, shared: DataFrame, most_bits: int) -> DataFrame:
+    """token, node, n, place: the shared prefix tokens of every node under order one, once each.
 
-    A bitmap of the shared tokens drops most rows before anything is shuffled; tokens it lets through by
-    chance stand alone in their lists and make no pairs. second and third are the prefixes under the other
-    orders, as distinct 32-bit hashes; slack is how many tokens such hashes may hide. packed is the text.
+    A bitmap of the shared tokens drops most tokens before anything is shuffled; those it lets through by
+    chance stand alone in their lists and make no pairs.
     """
     count = shared.count()
     bits = int(np.clip(np.ceil(np.log2(max(16 * count, 1))), 15, most_bits))
@@ -174,54 +174,84 @@ def candidates(docs: DataFrame, width: int, percent: int, levels, shared: DataFr
     marks = docs.sparkSession.sparkContext.broadcast(bitmap(shared.select(cell.alias("at")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", SLICE):
-            data, offsets = utf8_column(batch.column(1))
-            values, sizes = shingles(data, offsets, width)
-            node, lead = names(values, sizes).view(np.int64), prefix(sizes, percent)
+            values, sizes = shingles(*utf8_column(batch.column(1)), width)
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = place < np.repeat(lead, sizes)
             keys = ordered(values, sizes, levels.value, SEEDS[0])
             at = ((keys << np.uint64(4)) >> np.uint64(64 - bits)).astype(np.int64)
-            hit = first & ((marks.value[at >> 3] >> (at & 7)) & 1).astype(bool)
-            edges = np.append(0, np.cumsum(sizes))
-            hits = _counts(hit, edges)
-            rows = np.flatnonzero(hits)
-            if not len(rows):
-                continue
-            others = [ordered(values, sizes, levels.value, seed) for seed in SEEDS[1:]]
-            token, where = keys[hit].view(np.int64), place[hit].astype(np.int32)
-            ends = np.append(0, np.cumsum(hits[rows]))
-            flat = pa.StructArray.from_arrays([pa.array(token), pa.array(where)], ["token", "place"])
-            raw = data.tobytes()
-            columns = [pa.array(node[rows]), pa.array(sizes[rows]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-            slack = np.zeros(len(rows), np.int32)
-            for other in others:
-                short = [np.unique((other[edges[i] : edges[i] + lead[i]] >> np.uint64(28)).astype(np.uint32)) for i in rows]
-                held = np.array([len(x) for x in short])
-                slack = np.maximum(slack, lead[rows] - held).astype(np.int32)
-                columns.append(list_column(np.concatenate(short).view(np.int32), held))
-            columns.append(pa.array(slack))
-            columns.append(pa.array([pack.compress(raw[offsets[i] : offsets[i + 1]]) for i in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "hits", "second", "third", "slack", "packed"])
+            hit = (place < np.repeat(prefix(sizes, percent), sizes)) & ((marks.value[at >> 3] >> (at & 7)) & 1).astype(bool)
+            node = np.repeat(names(values, sizes).view(np.int64), sizes)[hit]
+            made = [pa.array(keys[hit].view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, sizes)[hit]), pa.array(place[hit].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(made, ["token", "node", "n", "place"])
 
-    found = docs.mapInArrow(run, "node long, n long, hits array<struct<token:long,place:int>>, second array<int>, third array<int>, slack int, packed binary")
-    return materialize(found, "ngram-candidates")
+    found = docs.mapInArrow(run, "token long, node long, n long, place int")
+    return materialize(found.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place")), "ngram-hits")
 
 
-def of_nodes(held: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the nodes that ``pairs`` (a, b) name, once each. Copies are dropped before the shuffle."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def texts_of(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, text of the nodes that ``pairs`` (a, b) name. Copies of a text repeat."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node")
     if pairs.count() <= BROADCAST_NODES // 2:
         needed = F.broadcast(needed)
-    rows = held.select("node", *columns).join(needed, "node", "left_semi")
-    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in columns))
+    return docs.select("key", "text").join(needed, "key").select("node", "text")
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row for each node, with partial results before the shuffle."""
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in rows.columns if c != "node"))
+
+
+def new_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (node, text) of nodes that this task has not seen, in slices."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = [not (x in seen or seen.add(x)) for x in batch.column(0).to_pylist()]
+        yield from slices(iter([batch.filter(pa.array(fresh, pa.bool_()))]), "text", SLICE)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """node, packed: the compressed text of each node of ``rows`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in new_nodes(batches):
+            data, offsets = utf8_column(batch.column(1))
+            raw = data.tobytes()
+            made = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "packed"])
+
+    return once(rows.mapInArrow(run, "node long, packed binary"))
 
 
-def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+def other_prefixes(rows: DataFrame, width: int, percent: int, levels) -> DataFrame:
+    """node, n, second, third, slack for each node of ``rows`` (node, text).
+
+    second and third are the prefixes under the other orders, as distinct 32-bit hashes; slack is how many tokens
+    such hashes may hide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in new_nodes(batches):
+            values, sizes = shingles(*utf8_column(batch.column(1)), width)
+            lead = prefix(sizes, percent)
+            edges = np.append(0, np.cumsum(sizes))
+            slack = np.zeros(len(sizes), np.int32)
+            lists = []
+            for seed in SEEDS[1:]:
+                keys = ordered(values, sizes, levels.value, seed)
+                short = [np.unique((keys[a : a + k] >> np.uint64(28)).astype(np.uint32)) for a, k in zip(edges[:-1], lead, strict=True)]
+                held = np.array([len(x) for x in short])
+                slack = np.maximum(slack, lead - held).astype(np.int32)
+                lists.append(list_column(np.concatenate(short).view(np.int32), held))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *lists, pa.array(slack)], ["node", "n", "second", "third", "slack"])
+
+    return once(rows.mapInArrow(run, "node long, n long, second array<int>, third array<int>, slack int"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets. Only texts of nodes in ``pairs`` move."""
     pairs = materialize(pairs, "ngram-pairs")
-    texts = of_nodes(held, pairs, ["packed"])
+    texts = packed(texts_of(docs, keys, pairs))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,40 +320,41 @@ def other_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "token").filter(can).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
-def pass_orders(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def pass_orders(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """The pairs whose prefixes under each other order share enough for what lies beyond them.
 
     One order after the other, so that the second one's prefixes move only for pairs that passed the first.
     """
+    pairs = materialize(pairs, "ngram-pairs")
+    rows = materialize(other_prefixes(texts_of(docs, keys, pairs), width, percent, levels), "ngram-orders")
     for order in ("second", "third"):
-        pairs = materialize(pairs, "ngram-pairs")
-        rows = of_nodes(held, pairs, ["n", order, "slack"])
         both = pairs
         for side in "ab":
-            both = both.join(rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rows.columns[1:])), side)
+            own = rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", order, "slack")))
+            both = both.join(own, side)
         common = F.size(F.array_intersect(f"{order}_a", f"{order}_b"))
         beyond = F.greatest(*(F.col(f"n_{s}") - F.size(f"{order}_{s}") for s in "ab")) + F.greatest("slack_a", "slack_b")
-        pairs = both.filter((common > 0) & (common + beyond >= F.expr(overlap(percent, "n_a", "n_b")))).select("a", "b")
+        pairs = materialize(both.filter((common > 0) & (common + beyond >= F.expr(overlap(percent, "n_a", "n_b")))).select("a", "b"), "ngram-pairs")
     return pairs
 
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch_bits: int = 22, bitmap_bits: int = 28, hub_rounds: int = 3, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of every row, and the links found: enough of them for all components."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     sets, sketch = sets_and_sketch(rows, width, sketch_bits)
     levels = rows.sparkSession.sparkContext.broadcast(frequency_classes(sketch, sketch_bits))
     tokens = prefix_tokens(rows, width, percent, levels).select(F.explode("tokens").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "ngram-shared")
-    held = candidates(rows, width, percent, levels, shared, bitmap_bits)
-    posts = held.select("node", "n", F.explode("hits").alias("hit")).select("node", "n", "hit.*")
-    posts = materialize(posts.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place")), "ngram-hits")
+    posts = hits(rows, width, percent, levels, shared, bitmap_bits)
+    keys = materialize(sets.filter("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")), "ngram-keys")
     links, found = None, None
     for round_ in range(hub_rounds):
-        now = verified(hub_pairs(with_components(posts, found), percent, round_, hubs), held, width, percent)
+        now = verified(hub_pairs(with_components(posts, found), percent, round_, hubs), rows, keys, width, percent)
         links = now if links is None else links.unionByName(now)
         found = components(links)
     rest = other_pairs(with_components(posts, found), percent)
-    now = verified(pass_orders(rest, held, percent), held, width, percent)
+    now = verified(pass_orders(rest, rows, keys, width, percent, levels), rows, keys, width, percent)
     return sets, now if links is None else links.unionByName(now)
 
 
