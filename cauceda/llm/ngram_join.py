@@ -15,6 +15,11 @@ so become one component. The last round takes every pair of nodes of different c
 one of the two is outside the token's largest component: no link between components is missed, and a group
 that is one component gives no pairs. Components of all links found are the result.
 
+The links found so only span the components; with ``counts`` every link is counted. A link never leaves a
+component, so the nodes of each component of three or more are cut into blocks, and every two blocks (and each
+with itself) are one cell, whose pairs are all held against each other on their whole sets. Cells are dealt apart;
+what moves is each node once for each block of its component, and what comes back is counts.
+
 Hot tokens are counted with partial sums; the joins on tokens, hubs and nodes have written tables or plain
 shuffles on both sides, so Spark can split them where a key is hot. Texts are not stored again: those of the
 nodes that a round of pairs names are read from ``docs`` by a 64-bit hash of the text, one text a node.
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 
 from cauceda.llm.common import bitmap, list_column, materialize, read_table, slices, utf8_column
 from cauceda.llm.components import components
-from cauceda.llm.hashing import constants, mix
+from cauceda.llm.hashing import constants, mix, ragged
 from cauceda.llm.words import inside, run_hashes, word_hashes, words
 
 SLICE = 1 << 20
@@ -45,6 +50,10 @@ SLICE = 1 << 20
 BROADCAST_NODES = 1_000_000
 #: Tokens of the sketch that one written row holds.
 PART = 1 << 14
+#: Nodes and shingles of a block, about: what a task holds is two blocks.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
+#: Columns of tokens multiplied at once, and pairs of rows counted at once.
+WIDE, MANY = 2048, 1 << 21
 SEEDS = constants(3, 11)
 NAMES = constants(2, 12)
 
@@ -338,10 +347,118 @@ def pass_orders(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int,
     return pairs
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch_bits: int = 22, bitmap_bits: int = 28, hub_rounds: int = 3, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and the links found: enough of them for all components."""
+def overlaps(left: np.ndarray, left_row: np.ndarray, lefts: int, right: np.ndarray, right_row: np.ndarray, rights: int) -> np.ndarray:
+    """How many tokens each of ``lefts`` sets shares with each of ``rights`` sets, given as tokens and their rows.
+
+    Tokens that many pairs share are counted by products of 0/1 matrices, the others pair by pair.
+    """
+    both = np.intersect1d(left, right)
+    sides = []
+    for tokens, row in ((left, left_row), (right, right_row)):
+        at = np.searchsorted(both, tokens)
+        held = at < len(both)
+        held[held] = both[at[held]] == tokens[held]
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], row[held][order]))
+    (at, row), (other, column) = sides
+    count, others = np.bincount(at, minlength=len(both)), np.bincount(other, minlength=len(both))
+    heavy = 64 * count * others > lefts * rights
+    out = np.zeros((lefts, rights), np.int64)
+    chosen = np.flatnonzero(heavy)
+    for k in range(0, len(chosen), WIDE):
+        place = np.full(len(both), -1, np.int64)
+        place[chosen[k : k + WIDE]] = np.arange(len(chosen[k : k + WIDE]))
+        ones = []
+        for tokens, rows, n in ((at, row, lefts), (other, column, rights)):
+            one, own = np.zeros((n, min(WIDE, len(chosen) - k)), np.float32), place[tokens]
+            one[rows[own >= 0], own[own >= 0]] = 1
+            ones.append(one)
+        out += (ones[0] @ ones[1].T).astype(np.int64)
+    begin = np.cumsum(others) - others
+    light = np.flatnonzero(~heavy[at])
+    ends = np.cumsum(others[at[light]])
+    k = 0
+    while k < len(light):
+        end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + MANY, side="right")))
+        own = light[k:end]
+        sizes = others[at[own]]
+        cells = np.repeat(row[own], sizes) * rights + column[ragged(begin[at[own]], sizes)]
+        out += np.bincount(cells, minlength=lefts * rights).reshape(lefts, rights)
+        k = end
+    return out
+
+
+def cell_counts(node: np.ndarray, rows: np.ndarray, first: np.ndarray, second: np.ndarray, texts: pa.Array, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a cell and how many rows each links to across it. ``first`` and ``second`` mark the two blocks."""
+    values, sizes = shingles(*utf8_column(texts), width)
+    owner = np.repeat(np.arange(len(node)), sizes)
+    sides = []
+    for mark in (first, second):
+        place = np.cumsum(mark) - 1
+        held = mark[owner]
+        sides += [values[held], place[owner[held]], int(mark.sum())]
+    common, total = overlaps(*sides), sizes[first][:, None] + sizes[second][None, :]
+    links = 100 * common >= percent * (total - common)
+    links &= node[first][:, None] != node[second][None, :]
+    if (first & second).any():  # a block with itself
+        return node[first], links @ rows[first]
+    return np.append(node[first], node[second]), np.append(links @ rows[second], rows[first] @ links)
+
+
+def link_counts(nodes: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int, block_nodes: int) -> DataFrame:
+    """node, links: to how many rows of other nodes each node of a component of three or more links.
+
+    nodes: node, component, rows, key. groups: component, members, shingles.
+    """
+    blocks = F.expr(f"CAST(greatest(ceil(members / {block_nodes}D), ceil(shingles / {BLOCK_SHINGLES}D)) AS INT)")
+    needed = nodes.join(groups.filter("members > 2").select("component", blocks.alias("blocks")), "component")
+    needed = materialize(needed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "ngram-members")
+    keys = needed.select("node", "key")
+    if needed.count() <= BROADCAST_NODES:
+        keys = F.broadcast(keys)
+    texts = packed(docs.select("key", "text").join(keys, "key").select("node", "text"))
+    cell = F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) AS i, greatest(k, block) AS j))"))
+    dealt = needed.join(texts, "node").select("component", cell.alias("cell"), "block", "node", "rows", "packed")
+    names_ = ["component", "i", "j", "block", "node", "rows", "packed"]
+    dealt = dealt.select("component", "cell.i", "cell.j", *names_[3:]).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor()
+        cell = pa.Table.from_batches(held)
+        _, i, j, block, node, rows = (cell.column(c).to_numpy() for c in names_[:-1])
+        texts = pa.array([unpack.decompress(x) for x in cell.column("packed").to_pylist()], pa.large_binary())
+        own, links = cell_counts(node, rows, block == i, block == j, texts, width, percent)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(links.astype(np.int64))], ["node", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(key[:, a]) != now:
+                    yield counted(held)
+                    held = []
+                now = tuple(key[:, a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield counted(held)
+
+    found = dealt.mapInArrow(run, "node long, links long")
+    return materialize(found.groupBy("node").agg(F.sum("links").alias("links")), "ngram-counts")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, key (a hash of the text)."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch_bits: int = 22, bitmap_bits: int = 28, hub_rounds: int = 3, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node, key) of every row, and the links found: enough of them for all components."""
+    rows = keyed(docs, id_col, text_col)
     sets, sketch = sets_and_sketch(rows, width, sketch_bits)
     levels = rows.sparkSession.sparkContext.broadcast(frequency_classes(sketch, sketch_bits))
     tokens = prefix_tokens(rows, width, percent, levels).select(F.explode("tokens").alias("token"))
@@ -358,17 +475,33 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sets, now if links is None else links.unionByName(now)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row of ``docs``."""
-    sets, links = ngram_links(docs, id_col, text_col, **options)
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, counts: bool = False, block_nodes: int = BLOCK_NODES, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row of ``docs``.
+
+    With ``counts`` also n_links: to how many other rows each links, rows of equal sets included.
+    """
+    sets, links = ngram_links(docs, id_col, text_col, width, percent, **options)
     found = components(links)
     empty = F.col("n_shingles") == 0
     placed = with_components(sets.filter(~empty), found)
     placed = materialize(placed, "ngram-placed")
-    least = materialize(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ngram-least")
-    linked = placed.join(least, "component").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(sets.filter(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id", *["n_links"][: int(counts)]]
+    if counts:
+        nodes = placed.groupBy("node", "component").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.min("key").alias("key"))
+        nodes = materialize(nodes, "ngram-nodes")
+        least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"), F.sum("rows").alias("all_rows"), F.sum("n").alias("shingles"))
+        least = materialize(least, "ngram-least")
+        known = link_counts(nodes.select("node", "component", "rows", "key"), least.select("component", "members", "shingles"), keyed(docs, id_col, text_col), width, percent, block_nodes)
+        # what a row shares its set with, and the other rows of a component of one or two nodes, all link
+        own = materialize(nodes.select("node", "rows").join(known, "node").select("node", (F.col("links") + F.col("rows") - 1).alias("links")), "ngram-counts")
+        linked = placed.join(least.select("component", "component_id", "all_rows"), "component").join(own, "node", "left")
+        linked = linked.withColumn("n_links", F.coalesce("links", F.col("all_rows") - 1))
+    else:
+        least = materialize(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ngram-least")
+        linked = placed.join(least, "component")
+    rest = sets.filter(empty).withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+    return linked.select(columns).unionByName(rest.select(columns))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join(read_table(spark, sf_dir, "documents"))
+    return ngram_join(read_table(spark, sf_dir, "documents"), counts=True)

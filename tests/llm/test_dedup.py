@@ -126,6 +126,40 @@ def test_ngram_borderline_similarity(spark):
     assert got[9] == got[7]
 
 
+def brute_links(corpus):
+    sets = [shingles(t) for _, t in corpus]
+    return [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block_nodes", [1024, 4])
+def test_ngram_counts_every_link(clashing, corpus, block_nodes):
+    """A group of near copies is larger than its hubs, and only some of its pairs link."""
+    got = rows_of(ngram_join.ngram_join(clashing, sketch_bits=14, counts=True, hubs=2, block_nodes=block_nodes))
+    want = [(*row, n) for row, n in zip(brute_components(corpus), brute_links(corpus), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ngram_counts_in_chains(spark):
+    """Each text links to its neighbours in the chain, not to all of its component."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 104])) for i in range(12)] + [(90, "a b c"), (91, "a b c"), (92, "")]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(documents(spark, rows), sketch_bits=14, counts=True, block_nodes=3).collect()}
+    want = dict(zip((i for i, _ in rows), brute_links(rows), strict=True))
+    assert {i: n for i, (_, n) in got.items()} == want and got[11][0] == 0 and 0 < want[0] < want[6] < 11
+
+
+def test_overlaps_equal_brute_force(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "WIDE", 3)
+    monkeypatch.setattr(ngram_join, "MANY", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.append(rng.integers(0, 12, rng.integers(0, 9)), rng.integers(100, 400, 20))).astype(np.uint64) for _ in range(40)]
+    left, right = sets[:17], sets[17:]
+    flat = lambda part: (np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part]), len(part))
+    assert ngram_join.overlaps(*flat(left), *flat(right)).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
