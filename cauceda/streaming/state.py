@@ -1,7 +1,7 @@
 """State that depends on the order of a key's events: throttling and delivery, in batch and as streams.
 
-In batch a key's events are one pandas group; keys are phone numbers and message ids, whose events are few. As a
-stream the same folds run on state that Spark keeps by key.
+In batch Spark sorts the events of each partition by key and time and the fold goes through them batch by batch, so
+a key may have any number of events. As a stream the same folds run on state that Spark keeps by key.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,16 +31,34 @@ def admit(times: list[float], held: deque, most: int, seconds: float) -> list[bo
     return out
 
 
+def same(a, b) -> bool:
+    """Whether two keys are one, as Spark groups them: a NaN equals a NaN."""
+    return a == b or (a != a and b != b)
+
+
 def throttle(events: DataFrame, key: str, ts: str, row_id: str, most: int = 12, seconds: float = 60) -> DataFrame:
-    """row_id, admitted for every event."""
+    """row_id, admitted for every event. A task holds one batch, its key and the key's last admitted times.
+
+    Events without a time come last, events without a key are one key's.
+    """
     rows = events.select(F.col(key).alias("key"), F.col(row_id).alias("row_id"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
     kind = rows.schema["row_id"].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "row_id"])
-        return pd.DataFrame({"row_id": group["row_id"], "admitted": admit(group["at"].tolist(), deque(), most, seconds)})
-
-    return rows.groupBy("key").applyInPandas(run, f"row_id {kind}, admitted boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, deque()
+        for batch in batches:
+            keys, times, passed = batch.column(0).to_pylist(), [float("nan") if t is None else t for t in batch.column(2).to_pylist()], []
+            while len(passed) < len(keys):
+                begin = end = len(passed)
+                if not same(keys[begin], now):
+                    now, held = keys[begin], deque()
+                while end < len(keys) and same(keys[end], now):
+                    end += 1
+                passed += admit(times[begin:end], held, most, seconds)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(passed, pa.bool_())], ["row_id", "admitted"])
+
+    order = [F.col("key"), F.col("at").asc_nulls_last(), F.col("row_id").asc_nulls_last()]
+    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, f"row_id {kind}, admitted boolean")
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, row_id: str, most: int = 12, seconds: float = 60) -> DataFrame:

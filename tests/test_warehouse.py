@@ -207,6 +207,26 @@ def test_streams(spark, house, tmp_path):
     assert spark.table(f"{house.raw}.stream_events").count() == 29
 
 
+def test_throttle_folds_a_hot_key_batch_by_batch(spark):
+    from collections import deque
+
+    times = {i: i * 7919 % 1000 for i in range(900)}
+    key = {i: "hot" if i % 3 else None if i % 2 else f"u{i % 5}" for i in times}
+    events = spark.createDataFrame([(i, key[i], None if i % 50 == 7 else dt.datetime.fromtimestamp(t, dt.UTC)) for i, t in times.items()], "id long, user string, ts timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        out = state.throttle(events, "user", "ts", "id", 2, 30)
+        got = {r["row_id"]: r["admitted"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for user in set(key.values()):
+        own = sorted((i for i in times if key[i] == user), key=lambda i: (i % 50 == 7, 0 if i % 50 == 7 else times[i], i))
+        want |= dict(zip(own, state.admit([float("nan") if i % 50 == 7 else float(times[i]) for i in own], deque(), 2, 30), strict=True))
+    assert got == want and len(set(want.values())) == 2
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # no key's events as one frame
+
+
 def test_throttle_ignores_denied_messages():
     from collections import deque
 
