@@ -13,11 +13,14 @@ of bins by residual vector and scores distinct vectors only.
 
 Defined cases: null text is empty and makes one piece, the end mark alone; a document of more than
 ``tokens`` ids is cut so that all but its first piece are full; repeated rows are packed each; null ids are
-kept; an empty table gives an empty result; other columns of the documents are ignored.
+kept; an empty table gives an empty result; other columns of the documents are ignored. The literal text of an
+added token of the tokenizer, <|endoftext|>, is the one id of that token, as in the library.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,9 +40,39 @@ from cauceda.llm.pretokens import Encoder
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Added:
+    """Ids of texts that may hold added tokens: texts are cut at those, and what lies between goes to ``encoder``."""
+
+    def __init__(self, encoder: Encoder, added: list[dict]):
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that match by more than their content are not supported")
+        self.encoder, self.ids = encoder, {x["content"].encode(): x["id"] for x in added}
+        longest_first = sorted(self.ids, key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(map(re.escape, longest_first))) if added else None
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and each text's count."""
+        raw = data.tobytes()
+        if not self.pattern or not self.pattern.search(raw):
+            return self.encoder.encode(data, offsets)
+        parts, special, inside = [], [], np.ones(len(offsets) - 1, np.int64)
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            for m in self.pattern.finditer(raw, a, b):
+                parts.append(raw[a : m.start()])
+                special.append((len(parts), self.ids[m[0]]))
+                inside[i] += 1
+                a = m.end()
+            parts.append(raw[a:b])
+        bounds = np.append(0, np.cumsum([len(x) for x in parts]))
+        ids, counts = self.encoder.encode(np.frombuffer(b"".join(parts), np.uint8), bounds)
+        sums = np.append(0, np.cumsum(counts))
+        ids = np.insert(ids, sums[[k for k, _ in special]], [x for _, x in special]) if special else ids
+        return ids, np.diff(sums[np.append(0, np.cumsum(inside))]) + inside - 1
+
+
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """Ids by the tokenizers library; each distinct pre-token is encoded once and kept."""
+def encoder(path: str) -> Added:
+    """Ids by the tokenizers library with its default setting; each distinct pre-token is encoded once and kept."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,7 +80,9 @@ def encoder(path: str) -> Encoder:
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    return Encoder(lambda pieces: [x.ids for x in own.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)])
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    return Added(Encoder(lambda pieces: [x.ids for x in own.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]), added)
 
 
 def cut(counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -96,6 +96,17 @@ def test_packing_holds_every_token_once(clashing, corpus):
     assert set(made) <= set(want) and len(made) == len({d for d, _ in corpus if d is not None}) - 1
 
 
+def test_added_tokens_are_one_id_as_in_the_library():
+    own, rng = Tokenizer.from_file(public.path("byte_bpe_50k.json")), random.Random(6)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "end ", " start", "  ", "it's", "é", "\n"]
+    texts = ["end <|endoftext|> start", "<|endof", "text|>", "", "<|endoftext|>", *("".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(500))]
+    ids, counts = packing.encoder(packing.TOKENIZER).encode(*utf8_column(pa.array(texts, pa.string())))
+    ends = np.append(0, np.cumsum(counts))
+    got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ends[-1] == len(ids) and len(got[0]) == 4 and got[4] == [50256]
+
+
 @pytest.mark.parametrize("rule", ["dot", "norm"])
 def test_best_fit_obeys_every_capacity(rule):
     lengths = np.random.default_rng(3).integers(1, 700, 3000)
