@@ -2,59 +2,69 @@ r"""N-gram Jaccard join with filters under several global token orders.
 
 A document is the set of its distinct 5-word shingles, as 64-bit hashes; equal sets are one node. Two nodes
 link when 100 * intersection >= 80 * union. Under any order of all tokens, nodes that link share a token among
-the first ``n - ceil(0.8 n) + 1`` of each. Order one puts tokens by rising frequency class, then by a seeded
-hash; the classes come from a sketch of fixed size, which only decides how fast the join is, never its result.
-Orders two and three use other seeds. A pair is verified on its whole sets only if
+the first ``n - ceil(0.8 n) + 1`` of each, their prefixes.
 
-* it shares a prefix token under order one whose places still allow the overlap that a link needs,
-* and under each other order the prefixes share enough for what the rests can add.
+Order one puts tokens by rising frequency (the power of two of the number of nodes that hold them), then by a
+hash. Tokens are counted exactly, over all nodes: each task sends its tokens in blocks of bytes by ranges of the
+token's hash, a range at a time is sorted, and tokens of two nodes or more go back to the nodes that hold them. A
+token of one node comes first under this order and can be shared with nobody, so only nodes most of whose tokens
+are shared have a prefix to look at: without copies about one in ten. The prefix tokens that two nodes share give
+the candidate groups, as connected components of (token, node), each edge from a node to the token's smallest:
+what moves is in proportion to the tokens, whatever the length of a token's list.
 
-A group of near copies would give pairs in the square of its size, so hub rounds come first: each node takes,
-of the hubs of the tokens it holds, a few with which it shares most, and those pairs are verified. Nodes linked
-so become one component. The last round takes every pair of nodes of different components, token by token, where
-one of the two is outside the token's largest component: no link between components is missed, and a group
-that is one component gives no pairs. Components of all links found are the result.
+Within a candidate group, nodes meet by classes of size (a class spans a ratio of 1.26, so nodes that link are
+in one class or in two neighbouring ones) and by blocks of bounded size in it. Every two blocks that may link are
+one cell, dealt apart. In a cell a pair is verified on its whole sets only if
 
-The links found so only span the components; with ``counts`` every link is counted. A link never leaves a
-component, so the nodes of each component of three or more are cut into blocks, and every two blocks (and each
-with itself) are one cell, whose pairs are all held against each other on their whole sets. Cells are dealt apart;
-what moves is each node once for each block of its component, and what comes back is counts.
+* the sizes allow a link,
+* the prefixes under order one share a token,
+* and so do those under two other orders, by seeded hashes.
 
-Hot tokens are counted with partial sums; the joins on tokens, hubs and nodes have written tables or plain
-shuffles on both sides, so Spark can split them where a key is hot. Texts are not stored again: those of the
-nodes that a round of pairs names are read from ``docs`` by a 64-bit hash of the text, one text a node.
+What comes back from a cell is the number of links of each node and a spanning forest of its links: no pair of a
+group is written. Components of the forests are the result.
+
+Short names only propose: tokens are told apart by 29 to 60 bits of their hash and nodes by 36 while candidates
+are sought, and prefixes are longer by what that may hide, so that no link is missed. Verification takes all 64 bits.
 
 Defined cases: a text without words has size 0 and links with nothing; one of fewer than 5 words is one
 shingle; null ids and repeated rows are rows of their own; the component of rows without an id is null unless
-they reach a row with one; an empty table gives an empty result; other columns are ignored. 64-bit names can
-collide: among N distinct sets, or texts, about N**2 / 2**64 pairs would be taken for equal.
+they reach a row with one; an empty table gives an empty result; other columns are ignored. Sets of one 64-bit
+name are taken for equal (among N distinct sets, about N**2 / 2**65 pairs); hashes are mixed at every step, so no
+regular text makes them likelier. ``docs`` is read twice and must give the same rows each time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cauceda.llm.common import bitmap, list_column, materialize, read_table, slices, utf8_column
+from cauceda.llm.common import list_column, materialize, read_table, slices, utf8_column
 from cauceda.llm.components import components
 from cauceda.llm.hashing import constants, mix, ragged
 from cauceda.llm.words import inside, run_hashes, word_hashes, words
 
 SLICE = 1 << 20
+#: Bytes of text whose tokens are sent at once, and tokens of one range, about.
+FLUSH, RANGE = 4 << 20, 1 << 20
+#: Bits of a node's name and of a token's hash, within its range, in one 64-bit entry.
+REF, SHORT = 36, 28
+#: Above an entry's token: the power of two of its count.
+CLASS = 60
 #: Node lists up to so many rows (8 bytes each) are broadcast, longer ones are shuffled.
 BROADCAST_NODES = 1_000_000
-#: Tokens of the sketch that one written row holds.
-PART = 1 << 14
 #: Nodes and shingles of a block, about: what a task holds is two blocks.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
+#: The ratio that a class of sizes spans; above 100 / 80.
+RATIO = 1.26
 #: Columns of tokens multiplied at once, and pairs of rows counted at once.
 WIDE, MANY = 2048, 1 << 21
-SEEDS = constants(3, 11)
+SEEDS = constants(2, 11)
 NAMES = constants(2, 12)
 
 
@@ -105,246 +115,167 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def ordered(values: np.ndarray, sizes: np.ndarray, levels: np.ndarray, seed: np.uint64) -> np.ndarray:
-    """Tokens as 64-bit keys whose order is the global order: 4 bits of frequency class, 60 of seeded hash."""
-    shift = np.uint64(64 - (len(levels).bit_length() - 1))
-    keys = (levels[(values >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (mix(values ^ seed) >> np.uint64(4))
-    edges = np.append(0, np.cumsum(sizes))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        keys[a:b].sort()
-    return keys
+def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of tokens that a set of n shares with any set it links to."""
+    return -(-percent * n // 100)
 
 
-def sets_and_sketch(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node, key) of every row, and (part, counts): shingles counted by the top ``bits`` of their hash."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def blocks_of(bucket: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The buckets that occur, and for each the bytes of its rows of ``data``."""
+    order = np.argsort(bucket, kind="stable")
+    data, bucket = np.ascontiguousarray(data[order]), bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    width = data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    offsets = (np.append(first, len(bucket)) * width).astype(np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return bucket[first], column.cast(pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, fixed = np.zeros(1 << bits, np.uint32), pa.null()
-        columns = ["doc_id", "n_shingles", "node", "key", "part", "counts"]
-        for batch in slices(batches, "text", SLICE):
-            fixed = batch.column(0).type
-            values, sizes = shingles(*utf8_column(batch.column(1)), width)
-            np.add.at(counts, (values >> np.uint64(64 - bits)).astype(np.int64), 1)
-            nothing = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(names(values, sizes).view(np.int64)), batch.column(2), *nothing], columns)
-        for part in range(len(counts) // PART):
-            own = counts[part * PART : (part + 1) * PART]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, fixed), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([part], pa.int32()), pa.array([own.astype(np.uint64).tobytes()], pa.binary())], columns)
-
-    both = materialize(docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, key long, part int, counts binary"), "ngram-sets")
-    return both.filter("part IS NULL").select("doc_id", "n_shingles", "node", "key"), both.filter("part IS NOT NULL").select("part", "counts")
-
-
-def add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each part, with the sums of its counts: what a task holds is as large as the sketch at most."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(counts, np.uint64)
-            total[part] = total[part] + own if part in total else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
-
-
-def frequency_classes(sketch: DataFrame, bits: int) -> np.ndarray:
-    """The class, 0 (not frequent) to 15, of each of the 2**bits cells. The sketch on the driver is of fixed size."""
-    kinds = "part int, counts binary"
-    summed = sketch.mapInArrow(add_parts, kinds).repartition(F.col("part")).mapInArrow(add_parts, kinds)
-    counts = np.zeros(1 << bits, np.uint64)
-    for part, own in summed.collect():
-        counts[part * PART : (part + 1) * PART] += np.frombuffer(bytes(own), np.uint64)
-    usual = 1.5 * float(counts.mean()) + 16
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 15).astype(np.uint8)
-
-
-def prefix_tokens(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """tokens: the prefix of every row's set under order one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            values, sizes = shingles(*utf8_column(batch.column(1)), width)
-            keys, lead = ordered(values, sizes, levels.value, SEEDS[0]), prefix(sizes, percent)
-            held = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(lead, sizes)
-            yield pa.RecordBatch.from_arrays([list_column(keys[held].view(np.int64), lead)], ["tokens"])
+#: What travels: rows of documents (kind 0), entries of tokens (1), what a node learns of its tokens (2), its prefix (3).
+TRAVEL = "kind int, bucket int, data binary, doc_id {}, n long, node long, key long"
+_TRAVEL = [x.split()[0] for x in TRAVEL.split(", ")]
 
-    return docs.mapInArrow(run, "tokens array<long>")
 
+def _travel(kind: int, bucket: np.ndarray, data: pa.Array, id_kind: pa.DataType) -> pa.RecordBatch:
+    n = len(bucket)
+    nothing = [pa.nulls(n, id_kind), *(pa.nulls(n, pa.int64()) for _ in range(3))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(bucket.astype(np.int32)), data, *nothing], _TRAVEL)
 
-def hits(docs: DataFrame, width: int, percent: int, levels, shared: DataFrame, most_bits: int) -> DataFrame:
-    """token, node, n, place: the shared prefix tokens of every node under order one, once each.
 
-    A bitmap of the shared tokens drops most tokens before anything is shuffled; those it lets through by
-    chance stand alone in their lists and make no pairs.
-    """
-    count = shared.count()
-    bits = int(np.clip(np.ceil(np.log2(max(16 * count, 1))), 15, most_bits))
-    cell = F.shiftrightunsigned(F.shiftleft("token", 4), 64 - bits)  # the hash below the frequency class
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(shared.select(cell.alias("at")), bits))
+def send(rows: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """Every row's set, the entries of its tokens by range, and for its node how many shared tokens a link needs."""
+    id_kind = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            values, sizes = shingles(*utf8_column(batch.column(1)), width)
-            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keys = ordered(values, sizes, levels.value, SEEDS[0])
-            at = ((keys << np.uint64(4)) >> np.uint64(64 - bits)).astype(np.int64)
-            hit = (place < np.repeat(prefix(sizes, percent), sizes)) & ((marks.value[at >> 3] >> (at & 7)) & 1).astype(bool)
-            node = np.repeat(names(values, sizes).view(np.int64), sizes)[hit]
-            made = [pa.array(keys[hit].view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, sizes)[hit]), pa.array(place[hit].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(made, ["token", "node", "n", "place"])
-
-    found = docs.mapInArrow(run, "token long, node long, n long, place int")
-    return materialize(found.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place")), "ngram-hits")
-
-
-def texts_of(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text of the nodes that ``pairs`` (a, b) name. Copies of a text repeat."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node")
-    if pairs.count() <= BROADCAST_NODES // 2:
-        needed = F.broadcast(needed)
-    return docs.select("key", "text").join(needed, "key").select("node", "text")
-
+        entries, places, needs, held = [], [], [], 0
 
-def once(rows: DataFrame) -> DataFrame:
-    """One row for each node, with partial results before the shuffle."""
-    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in rows.columns if c != "node"))
+        def out() -> Iterator[pa.RecordBatch]:
+            yield _travel(1, *blocks_of(np.concatenate(places), np.concatenate(entries)), id_kind)
+            need = np.unique(np.concatenate(needs), axis=0)
+            yield _travel(2, *blocks_of(need[:, 0] >> np.uint64(REF - bits), need), id_kind)
+            for part in (entries, places, needs):
+                part.clear()
 
-
-def new_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (node, text) of nodes that this task has not seen, in slices."""
-    seen: set[int] = set()
-    for batch in batches:
-        fresh = [not (x in seen or seen.add(x)) for x in batch.column(0).to_pylist()]
-        yield from slices(iter([batch.filter(pa.array(fresh, pa.bool_()))]), "text", SLICE)
-
-
-def packed(rows: DataFrame) -> DataFrame:
-    """node, packed: the compressed text of each node of ``rows`` (node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in new_nodes(batches):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = utf8_column(batch.column(1))
-            raw = data.tobytes()
-            made = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "packed"])
-
-    return once(rows.mapInArrow(run, "node long, packed binary"))
+            values, sizes = shingles(data, offsets, width)
+            node = names(values, sizes)
+            deal = (batch.column(3).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+            made = [pa.array(np.zeros(len(sizes), np.int32)), pa.array(deal), pa.nulls(len(sizes), pa.binary()), batch.column(0), pa.array(sizes), pa.array(node.view(np.int64)), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(made, _TRAVEL)
+            ref, short = node >> np.uint64(64 - REF), values >> np.uint64(64 - bits - SHORT)
+            entries.append((short & np.uint64((1 << SHORT) - 1)) << np.uint64(REF) | np.repeat(ref, sizes))
+            places.append((values >> np.uint64(64 - bits)).astype(np.int32))
+            edges = np.append(0, np.cumsum(sizes))
+            again = np.append(False, short[1:] == short[:-1])[: len(short)]
+            again[edges[:-1][sizes > 0]] = False
+            need = np.maximum(least_overlap(sizes, percent) - _counts(again, edges), 1)  # short names may hide tokens of the set
+            needs.append(np.stack([ref, need.astype(np.uint64)], axis=1)[sizes > 0])
+            held += len(data)
+            if held >= FLUSH:
+                yield from out()
+                held = 0
+        if entries:
+            yield from out()
 
+    return rows.mapInArrow(run, TRAVEL.format(rows.schema["doc_id"].dataType.simpleString()))
 
-def other_prefixes(rows: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """node, n, second, third, slack for each node of ``rows`` (node, text).
 
-    second and third are the prefixes under the other orders, as distinct 32-bit hashes; slack is how many tokens
-    such hashes may hide.
-    """
+def by_bucket(sent: DataFrame, kind: int, of: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``sent`` with the rows of ``kind`` replaced by what ``of(bucket, data)`` makes of all data of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in new_nodes(batches):
-            values, sizes = shingles(*utf8_column(batch.column(1)), width)
-            lead = prefix(sizes, percent)
-            edges = np.append(0, np.cumsum(sizes))
-            slack = np.zeros(len(sizes), np.int32)
-            lists = []
-            for seed in SEEDS[1:]:
-                keys = ordered(values, sizes, levels.value, seed)
-                short = [np.unique((keys[a : a + k] >> np.uint64(28)).astype(np.uint32)) for a, k in zip(edges[:-1], lead, strict=True)]
-                held = np.array([len(x) for x in short])
-                slack = np.maximum(slack, lead - held).astype(np.int32)
-                lists.append(list_column(np.concatenate(short).view(np.int32), held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *lists, pa.array(slack)], ["node", "n", "second", "third", "slack"])
-
-    return once(rows.mapInArrow(run, "node long, n long, second array<int>, third array<int>, slack int"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Only texts of nodes in ``pairs`` move."""
-    pairs = materialize(pairs, "ngram-pairs")
-    texts = packed(texts_of(docs, keys, pairs))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
+        held, now = [], -1
+        for batch in batches:
+            own = batch.column(0).to_numpy() == kind
+            yield batch.filter(pa.array(~own))
+            at = np.flatnonzero(own)
+            for bucket, data in zip(batch.column(1).to_numpy()[at].tolist(), batch.column(2).take(pa.array(at)).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from of(now, np.frombuffer(b"".join(held), np.uint64))
+                    held = []
+                now = bucket
+                held.append(data)
+        if held:
+            yield from of(now, np.frombuffer(b"".join(held), np.uint64))
+
+    return sent.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, sent.schema)
+
+
+def count_tokens(sent: DataFrame, bits: int) -> DataFrame:
+    """Entries of a range become (node, class and token), by node, of the tokens that two nodes or more hold."""
+    id_kind = to_arrow_type(sent.schema["doc_id"].dataType)
+
+    def of(bucket: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        entries = np.unique(entries)  # a node counts once, however many rows have its set
+        token = entries >> np.uint64(REF)
+        count = np.diff(np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)))
+        count = np.repeat(count, count)
+        shared = count > 1
+        level = np.minimum(np.frexp(count[shared].astype(np.float64))[1] - 1, 15).astype(np.uint64)
+        token = level << np.uint64(CLASS) | np.uint64(bucket << SHORT) | token[shared]
+        ref = entries[shared] & np.uint64((1 << REF) - 1)
+        yield _travel(2, *blocks_of(ref >> np.uint64(REF - bits), np.stack([ref, token], axis=1)), id_kind)
+
+    return by_bucket(sent, 1, of)
+
+
+def prefixes(counted: DataFrame) -> DataFrame:
+    """What the nodes of a range learnt becomes rows (node: its short name, key: a shared token of its prefix)."""
+    id_kind = to_arrow_type(counted.schema["doc_id"].dataType)
+
+    def of(bucket: int, learnt: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ref, token = learnt.reshape(-1, 2).T
+        order = np.lexsort((token, ref))
+        ref, token = ref[order], token[order]
+        first = np.flatnonzero(np.append(True, ref[1:] != ref[:-1]))
+        sizes = np.diff(np.append(first, len(ref)))
+        asked = _counts(token < np.uint64(1 << CLASS), np.append(first, len(ref)))  # what a link needs comes first, the least of it at once
+        lead = np.where(asked > 0, np.maximum(sizes - asked - token[first].astype(np.int64) + 1, 0), 0)
+        at = ragged(first + asked, lead)
+        n = len(at)
+        made = [pa.array(np.full(n, 3, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, id_kind), pa.nulls(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*made, pa.array(ref[at].view(np.int64)), pa.array(token[at].view(np.int64))], _TRAVEL)
+
+    return by_bucket(counted, 2, of)
+
+
+def sets_and_prefixes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node, key) of every row, and (ref, token): the shared prefix tokens of the nodes that have any."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(max(size / 6 / RANGE, 2))), 1, 30))
+    rows = docs.select("doc_id", "text", "key", F.xxhash64("doc_id", "text").alias("deal"))
+    both = materialize(prefixes(count_tokens(send(rows, width, percent, bits), bits)), "ngram-sets")
+    sets = both.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "key")
+    return sets, both.filter("kind = 3").select(F.col("node").alias("ref"), F.col("key").alias("token"))
+
+
+def candidate_groups(posts: DataFrame) -> DataFrame:
+    """ref, group: the components of the nodes that share prefix tokens under order one."""
+    shared = posts.groupBy("token").agg(F.min("ref").alias("a"), F.max("ref").alias("last")).filter("a < last").select("token", "a")
+    shared = materialize(shared, "ngram-shared")
+    found = components(posts.join(shared, "token").select("a", F.col("ref").alias("b")))
+    return found.select(F.col("node").alias("ref"), F.col("component").alias("group"))
+
+
+def packed(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """node, packed: the compressed text of each node of ``keys`` (node, key). A text counts only if its set has that name."""
+    if keys.count() <= BROADCAST_NODES:
+        keys = F.broadcast(keys)
+    rows = docs.select("key", "text").join(keys, "key").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "left", SLICE):
-            kept = []
-            sides = []
-            for name in ("left", "right"):
-                column = batch.column(batch.schema.get_field_index(name)).to_pylist()
-                own = list(dict.fromkeys(column))
-                values, sizes = shingles(*utf8_column(pa.array([unpack.decompress(x) for x in own], pa.large_binary())), width)
-                edges = np.append(0, np.cumsum(sizes))
-                where = {x: i for i, x in enumerate(own)}
-                sides.append([values[edges[i] : edges[i + 1]] for i in map(where.__getitem__, column)])
-            for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    kept.append(i)
-            take = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(take) for c in ("a", "b")], ["a", "b"])
-
-    return materialize(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "ngram-links")
-
-
-def overlap(percent: int, n: str, m: str) -> str:
-    """SQL: the least overlap of sets of n and m tokens that link."""
-    return f"ceil({percent} * ({n} + {m}) / {100 + percent}D - 1e-9)"
-
-
-def with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return rows.withColumn("component", F.col("node"))
-    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def hub_pairs(posts: DataFrame, percent: int, round_: int, hubs: int) -> DataFrame:
-    """Pairs of each node with the up to ``hubs`` hubs of other components with which it shares most tokens.
-
-    A token's hubs are its smallest nodes under as many seeded draws. Only hubs that share at least a quarter of a
-    prefix are worth verifying here; the last round misses nothing.
-    """
-    node = F.struct("node", "n", "component")
-    drawn = [F.min_by(node, F.xxhash64(F.lit(round_ * hubs + k), "node")).alias(f"_{k}") for k in range(hubs)]
-    found = posts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *drawn).filter("low <> high")
-    chosen = found.select("token", F.explode(F.array_distinct(F.array(*(f"_{k}" for k in range(hubs))))).alias("hub"))
-    chosen = materialize(chosen, "ngram-hubs")
-    fits = f"component <> hub.component AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
-    met = posts.join(chosen, "token").filter(fits).groupBy("node", "n", F.col("hub.node").alias("hub")).agg(F.count("*").alias("shared"))
-    met = met.filter(f"400 * shared >= {100 - percent} * n")
-    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), False), 1, hubs).alias("best"))
-    return best.select("node", F.explode("best.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def other_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes of different components that a shared token of order one allows to link."""
-    sizes = posts.groupBy("token", "component").agg(F.count("*").alias("rows"))
-    major = sizes.groupBy("token").agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("parts"))
-    major = materialize(major.filter("parts > 1").select("token", F.col("most.component").alias("major")), "ngram-major")
-    marked = materialize(posts.join(major, "token"), "ngram-posts")
-    left = marked.filter("component <> major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "place", "component")))
-    right = marked.select("token", F.col("component").alias("b_component"), F.col("node").alias("b_node"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), "major")
-    need = overlap(percent, "a_n", "b_n")
-    can = f"""a_component <> b_component AND (b_component = major OR a_node < b_node)
-        AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)
-        AND least(a_n - a_place, b_n - b_place) >= {need}"""
-    return left.join(right, "token").filter(can).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-
-
-def pass_orders(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """The pairs whose prefixes under each other order share enough for what lies beyond them.
-
-    One order after the other, so that the second one's prefixes move only for pairs that passed the first.
-    """
-    pairs = materialize(pairs, "ngram-pairs")
-    rows = materialize(other_prefixes(texts_of(docs, keys, pairs), width, percent, levels), "ngram-orders")
-    for order in ("second", "third"):
-        both = pairs
-        for side in "ab":
-            own = rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", order, "slack")))
-            both = both.join(own, side)
-        common = F.size(F.array_intersect(f"{order}_a", f"{order}_b"))
-        beyond = F.greatest(*(F.col(f"n_{s}") - F.size(f"{order}_{s}") for s in "ab")) + F.greatest("slack_a", "slack_b")
-        pairs = materialize(both.filter((common > 0) & (common + beyond >= F.expr(overlap(percent, "n_a", "n_b")))).select("a", "b"), "ngram-pairs")
-    return pairs
+        pack, seen = zstandard.ZstdCompressor(level=3), set()
+        for batch in slices(batches, "text", SLICE):
+            fresh = [not (x in seen or seen.add(x)) for x in batch.column(0).to_pylist()]
+            for own in slices(iter([batch.filter(pa.array(fresh, pa.bool_()))]), "text", SLICE):
+                data, offsets = utf8_column(own.column(1))
+                node, raw = own.column(0).to_numpy(), data.tobytes()
+                right = names(*shingles(data, offsets, width)).view(np.int64) == node
+                made = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1][right].tolist(), offsets[1:][right].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[right]), pa.array(made, pa.binary())], ["node", "packed"])
+
+    return rows.mapInArrow(run, "node long, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
 
 
 def overlaps(left: np.ndarray, left_row: np.ndarray, lefts: int, right: np.ndarray, right_row: np.ndarray, rights: int) -> np.ndarray:
@@ -363,7 +294,7 @@ def overlaps(left: np.ndarray, left_row: np.ndarray, lefts: int, right: np.ndarr
     (at, row), (other, column) = sides
     count, others = np.bincount(at, minlength=len(both)), np.bincount(other, minlength=len(both))
     heavy = 64 * count * others > lefts * rights
-    out = np.zeros((lefts, rights), np.int64)
+    out = np.zeros((lefts, rights), np.int32)
     chosen = np.flatnonzero(heavy)
     for k in range(0, len(chosen), WIDE):
         place = np.full(len(both), -1, np.int64)
@@ -373,7 +304,7 @@ def overlaps(left: np.ndarray, left_row: np.ndarray, lefts: int, right: np.ndarr
             one, own = np.zeros((n, min(WIDE, len(chosen) - k)), np.float32), place[tokens]
             one[rows[own >= 0], own[own >= 0]] = 1
             ones.append(one)
-        out += (ones[0] @ ones[1].T).astype(np.int64)
+        out += (ones[0] @ ones[1].T).astype(np.int32)
     begin = np.cumsum(others) - others
     light = np.flatnonzero(~heavy[at])
     ends = np.cumsum(others[at[light]])
@@ -383,71 +314,151 @@ def overlaps(left: np.ndarray, left_row: np.ndarray, lefts: int, right: np.ndarr
         own = light[k:end]
         sizes = others[at[own]]
         cells = np.repeat(row[own], sizes) * rights + column[ragged(begin[at[own]], sizes)]
-        out += np.bincount(cells, minlength=lefts * rights).reshape(lefts, rights)
+        out += np.bincount(cells, minlength=lefts * rights).reshape(lefts, rights).astype(np.int32)
         k = end
     return out
 
 
-def cell_counts(node: np.ndarray, rows: np.ndarray, first: np.ndarray, second: np.ndarray, texts: pa.Array, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of a cell and how many rows each links to across it. ``first`` and ``second`` mark the two blocks."""
-    values, sizes = shingles(*utf8_column(texts), width)
-    owner = np.repeat(np.arange(len(node)), sizes)
-    sides = []
-    for mark in (first, second):
-        place = np.cumsum(mark) - 1
-        held = mark[owner]
-        sides += [values[held], place[owner[held]], int(mark.sum())]
-    common, total = overlaps(*sides), sizes[first][:, None] + sizes[second][None, :]
-    links = 100 * common >= percent * (total - common)
-    links &= node[first][:, None] != node[second][None, :]
-    if (first & second).any():  # a block with itself
-        return node[first], links @ rows[first]
-    return np.append(node[first], node[second]), np.append(links @ rows[second], rows[first] @ links)
-
-
-def link_counts(nodes: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int, block_nodes: int) -> DataFrame:
-    """node, links: to how many rows of other nodes each node of a component of three or more links.
-
-    nodes: node, component, rows, key. groups: component, members, shingles.
-    """
-    blocks = F.expr(f"CAST(greatest(ceil(members / {block_nodes}D), ceil(shingles / {BLOCK_SHINGLES}D)) AS INT)")
-    needed = nodes.join(groups.filter("members > 2").select("component", blocks.alias("blocks")), "component")
-    needed = materialize(needed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "ngram-members")
-    keys = needed.select("node", "key")
-    if needed.count() <= BROADCAST_NODES:
-        keys = F.broadcast(keys)
-    texts = packed(docs.select("key", "text").join(keys, "key").select("node", "text"))
-    cell = F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) AS i, greatest(k, block) AS j))"))
-    dealt = needed.join(texts, "node").select("component", cell.alias("cell"), "block", "node", "rows", "packed")
-    names_ = ["component", "i", "j", "block", "node", "rows", "packed"]
-    dealt = dealt.select("component", "cell.i", "cell.j", *names_[3:]).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+class Sets:
+    """The sets of many nodes: all tokens, and the prefixes under each order. ``lead`` has those under order one."""
+
+    def __init__(self, texts: pa.Array, lead: pa.ListArray, width: int, percent: int):
+        self.values, self.sizes = shingles(*utf8_column(texts), width)
+        self.edges, self.percent = np.append(0, np.cumsum(self.sizes)), percent
+        self.orders = [(lead.flatten().to_numpy(), np.append(0, np.cumsum(lead.value_lengths().fill_null(0).to_numpy())))]
+        long = self.sizes - least_overlap(self.sizes, percent) + 1
+        long = np.where(self.sizes > 0, long, 0)
+        for seed in SEEDS:
+            keys, parts = mix(self.values ^ seed), []
+            for a, b, k in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), long.tolist(), strict=True):
+                parts.append(np.partition(keys[a:b], k - 1)[:k] if k else keys[:0])
+            self.orders.append((np.concatenate(parts), np.append(0, np.cumsum(long))))
+
+    def common(self, values: np.ndarray, edges: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How many values each row of ``left`` shares with each row of ``right``."""
+        sides = []
+        for rows in (left, right):
+            sizes = edges[rows + 1] - edges[rows]
+            sides += [values[ragged(edges[rows], sizes)], np.repeat(np.arange(len(rows)), sizes), len(rows)]
+        return overlaps(*sides)
+
+    def links(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which rows of ``left`` link to which of ``right``: filters under all orders first, whole sets then."""
+        n, m = self.sizes[left][:, None], self.sizes[right][None, :]
+        open_ = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        open_ &= left[:, None] != right[None, :]
+        for values, edges in self.orders:
+            rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(rows):
+                return open_
+            place = np.ix_(rows, columns)
+            open_[place] &= self.common(values, edges, left[rows], right[columns]) > 0
+        rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if len(rows):
+            place = np.ix_(rows, columns)
+            common = self.common(self.values, self.edges, left[rows], right[columns])
+            total = self.sizes[left[rows]][:, None] + self.sizes[right[columns]][None, :] - common
+            open_[place] &= 100 * common.astype(np.int64) >= self.percent * total
+        return open_
+
+
+def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each side's nodes the smallest node reachable by ``links``."""
+    most = np.int64(2**63 - 1)
+    while True:
+        down = np.minimum(right, np.where(links, left[:, None], most).min(axis=0, initial=most))
+        up = np.minimum(left, np.where(links, down[None, :], most).min(axis=1, initial=most))
+        if (down == right).all() and (up == left).all():
+            return up, down
+        left, right = up, down
+
+
+def cell_links(sets: Sets, node: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+    """node, links (in rows of other nodes), smallest node reachable, for the nodes of a cell that link. Rows of ``sets``."""
+    links = sets.links(left, right)
+    if not links.any():
+        return [np.empty(0, np.int64)] * 3
+    if len(left) == len(right) and (left == right).all():  # a block with itself
+        own, sums, least = node[left], links @ rows[right], spanning(links, node[left], node[right])[0]
+    else:
+        up, down = spanning(links, node[left], node[right])
+        own, least = np.append(node[left], node[right]), np.append(up, down)
+        sums = np.append(links @ rows[right], rows[left] @ links)
+    return [x[sums > 0] for x in (own, sums, least)]
+
 
-    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+def place(members: DataFrame, block_nodes: int) -> DataFrame:
+    """``members`` (node, group, n and others) of groups of two or more, with their class of size, block in it, and the group's blocks by class."""
+    sized = members.withColumn("size", F.floor(F.log("n") / float(np.log(RATIO))).cast("int"))
+    counts = sized.groupBy("group", "size").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.expr(f"CAST(greatest(ceil(members / {block_nodes}D), ceil(shingles / {BLOCK_SHINGLES}D)) AS INT)")
+    # a group has at most some hundred classes of size
+    classes = counts.groupBy("group").agg(F.sum("members").alias("all"), F.map_from_entries(F.collect_list(F.struct("size", blocks.alias("blocks")))).alias("blocks"))
+    classes = materialize(classes.filter("all > 1").drop("all"), "ngram-classes")
+    placed = sized.join(classes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.expr("blocks[size]")).cast("int"))
+    return materialize(placed, "ngram-members")
+
+
+def cells(placed: DataFrame) -> DataFrame:
+    """group, cell, left, right, node, rows: each node in every cell that has its block; left and right tell on which side."""
+    found = [
+        "transform(sequence(0, blocks[size] - 1), k -> struct(2 * size AS kind, least(k, block) AS i, greatest(k, block) AS j, block <= k AS left, k <= block AS right))",
+        "IF(map_contains_key(blocks, size + 1), transform(sequence(0, blocks[size + 1] - 1), k -> struct(2 * size + 1 AS kind, block AS i, k AS j, true AS left, false AS right)), array())",
+        "IF(map_contains_key(blocks, size - 1), transform(sequence(0, blocks[size - 1] - 1), k -> struct(2 * size - 1 AS kind, k AS i, block AS j, false AS left, true AS right)), array())",
+    ]
+    dealt = placed.select("group", "node", "rows", F.explode(F.expr(f"concat({', '.join(found)})")).alias("cell"))
+    name = F.expr("shiftleft(CAST(cell.kind AS BIGINT), 56) | shiftleft(CAST(cell.i AS BIGINT), 28) | CAST(cell.j AS BIGINT)")
+    return dealt.select("group", name.alias("cell"), "cell.left", "cell.right", "node", "rows")
+
+
+def verify(dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, links, least: what ``cell_links`` finds in each cell. dealt: group, cell, left, right, node, rows, packed, lead."""
+    dealt = dealt.select("group", "cell", "left", "right", "node", "rows", "packed", "lead").repartition("group", "cell").sortWithinPartitions("group", "cell")
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows at which another cell begins than in the row before."""
+        group, cell = (batch.column(c).to_numpy() for c in range(2))
+        return np.flatnonzero((group[1:] != group[:-1]) | (cell[1:] != cell[:-1])) + 1
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        cell = pa.Table.from_batches(held)
-        _, i, j, block, node, rows = (cell.column(c).to_numpy() for c in names_[:-1])
-        texts = pa.array([unpack.decompress(x) for x in cell.column("packed").to_pylist()], pa.large_binary())
-        own, links = cell_counts(node, rows, block == i, block == j, texts, width, percent)
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(links.astype(np.int64))], ["node", "links"])
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+        for batch in whole:
+            left, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            node, rows = (batch.column(c).to_numpy() for c in (4, 5))
+            texts, out, cuts, begin = [], [], [], 0
+            for end in [*changes(batch).tolist(), batch.num_rows]:
+                cuts.append((begin, end))
+                texts += [unpack.decompress(x) for x in batch.column(6).slice(begin, end - begin).to_pylist()]
+                begin = end
+                if sum(map(len, texts)) < SLICE and end < batch.num_rows:
+                    continue
+                first = cuts[0][0]
+                sets = Sets(pa.array(texts, pa.large_binary()), batch.column(7).slice(first, end - first), width, percent)
+                for a, b in cuts:
+                    at = np.arange(a, b)
+                    out.append(cell_links(sets, node[first:end], rows[first:end], at[left[a:b]] - first, at[right[a:b]] - first))
+                texts, cuts = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["node", "links", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        done, now, last = [], [], None  # whole cells, and the one that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and tuple(key[:, a]) != now:
-                    yield counted(held)
-                    held = []
-                now = tuple(key[:, a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield counted(held)
+            if now and last != (batch.column(0)[0], batch.column(1)[0]):
+                done, now = [*done, *now], []
+            last = batch.column(0)[-1], batch.column(1)[-1]
+            if len(at := changes(batch)):
+                done, now, batch = [*done, *now, batch.slice(0, at[-1])], [], batch.slice(at[-1])
+            now.append(batch)
+            if sum(x.nbytes for x in done) > SLICE:
+                yield from found(done)
+                done = []
+        if done or now:
+            yield from found([*done, *now])
 
-    found = dealt.mapInArrow(run, "node long, links long")
-    return materialize(found.groupBy("node").agg(F.sum("links").alias("links")), "ngram-counts")
+    return materialize(dealt.mapInArrow(run, "node long, links long, least long"), "ngram-found")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -456,52 +467,54 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch_bits: int = 22, bitmap_bits: int = 28, hub_rounds: int = 3, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node, key) of every row, and the links found: enough of them for all components."""
-    rows = keyed(docs, id_col, text_col)
-    sets, sketch = sets_and_sketch(rows, width, sketch_bits)
-    levels = rows.sparkSession.sparkContext.broadcast(frequency_classes(sketch, sketch_bits))
-    tokens = prefix_tokens(rows, width, percent, levels).select(F.explode("tokens").alias("token"))
-    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "ngram-shared")
-    posts = hits(rows, width, percent, levels, shared, bitmap_bits)
-    keys = materialize(sets.filter("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")), "ngram-keys")
-    links, found = None, None
-    for round_ in range(hub_rounds):
-        now = verified(hub_pairs(with_components(posts, found), percent, round_, hubs), rows, keys, width, percent)
-        links = now if links is None else links.unionByName(now)
-        found = components(links)
-    rest = other_pairs(with_components(posts, found), percent)
-    now = verified(pass_orders(rest, rows, keys, width, percent, levels), rows, keys, width, percent)
-    return sets, now if links is None else links.unionByName(now)
-
-
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, counts: bool = False, block_nodes: int = BLOCK_NODES, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row of ``docs``.
-
-    With ``counts`` also n_links: to how many other rows each links, rows of equal sets included.
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node, key) of every row, and (node, rows, least_id, component, links) of every set that is not empty.
+
+    links is to how many rows of other sets the set links; component is the smallest node reachable.
     """
-    sets, links = ngram_links(docs, id_col, text_col, width, percent, **options)
-    found = components(links)
+    rows = keyed(docs, id_col, text_col)
+    sets, posts = sets_and_prefixes(rows, width, percent)
+    nodes = sets.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("least_id"), F.min("key").alias("key"))
+    nodes = materialize(nodes.withColumn("ref", F.shiftrightunsigned("node", 64 - REF)), "ngram-nodes")
+    members = nodes.join(candidate_groups(posts), "ref", "left").select("node", F.coalesce("group", "ref").alias("group"), "ref", "rows", "n", "key")
+    placed = place(members, block_nodes)
+    lead = posts.join(placed.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(F.collect_list("token").alias("lead"))
+    texts = packed(rows, placed.select("node", "key"), width)
+    carried = placed.select("node", "ref").join(texts, "node").join(lead, "ref", "left").select("node", "packed", "lead")
+    found = verify(cells(placed).join(materialize(carried, "ngram-texts"), "node"), width, percent)
+    linked = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    whole = nodes.join(linked, "node", "left").join(links, "node", "left")
+    whole = whole.select("node", "rows", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    return sets, materialize(whole, "ngram-links")
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (to how many other rows) of every row of ``docs``."""
+    sets, nodes = ngram_links(docs, id_col, text_col, **options)
+    least = materialize(nodes.groupBy("component").agg(F.min("least_id").alias("component_id")), "ngram-least")
+    own = materialize(nodes.join(least, "component").select("node", "component_id", (F.col("links") + F.col("rows") - 1).alias("n_links")), "ngram-own")
     empty = F.col("n_shingles") == 0
-    placed = with_components(sets.filter(~empty), found)
-    placed = materialize(placed, "ngram-placed")
-    columns = ["doc_id", "n_shingles", "component_id", *["n_links"][: int(counts)]]
-    if counts:
-        nodes = placed.groupBy("node", "component").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.min("key").alias("key"))
-        nodes = materialize(nodes, "ngram-nodes")
-        least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"), F.sum("rows").alias("all_rows"), F.sum("n").alias("shingles"))
-        least = materialize(least, "ngram-least")
-        known = link_counts(nodes.select("node", "component", "rows", "key"), least.select("component", "members", "shingles"), keyed(docs, id_col, text_col), width, percent, block_nodes)
-        # what a row shares its set with, and the other rows of a component of one or two nodes, all link
-        own = materialize(nodes.select("node", "rows").join(known, "node").select("node", (F.col("links") + F.col("rows") - 1).alias("links")), "ngram-counts")
-        linked = placed.join(least.select("component", "component_id", "all_rows"), "component").join(own, "node", "left")
-        linked = linked.withColumn("n_links", F.coalesce("links", F.col("all_rows") - 1))
-    else:
-        least = materialize(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ngram-least")
-        linked = placed.join(least, "component")
-    rest = sets.filter(empty).withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
-    return linked.select(columns).unionByName(rest.select(columns))
+    linked = sets.filter(~empty).join(own, "node").select("doc_id", "n_shingles", "component_id", "n_links")
+    alone = sets.filter(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, without those that a link reaches from another text that stays.
+
+    Of each component the text of the smallest id stays, null ids being the largest and the text's hash deciding ties.
+    Rows that repeat both its id and its text stay with it; a text without words is no near copy of anything.
+    """
+    sets, nodes = ngram_links(docs, id_col, text_col, **options)
+    placed = sets.filter("n_shingles > 0").join(nodes.select("node", "component"), "node")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    placed = materialize(placed.select("component", order.alias("own")), "ngram-placed")
+    first = materialize(placed.groupBy("component").agg(F.min("own").alias("first")), "ngram-first")
+    gone = placed.join(first, "component").filter("own <> first").select(F.col("own.doc_id").alias("_id"), F.col("own.key").alias("_key")).distinct()
+    key = F.xxhash64(docs[text_col].cast("string"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (key == gone["_key"]), "left_anti")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join(read_table(spark, sf_dir, "documents"), counts=True)
+    return ngram_join(read_table(spark, sf_dir, "documents"))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from cauceda.llm.hashing import _BYTES, constants, mix, powers, span_hashes
+from cauceda.llm.hashing import _ODD, constants, mix, span_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWERED = _BYTES[_LOWER]
-_SECOND = constants(256, 2)
+_STEPS = constants(128, 2).reshape(2, 64)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,19 +28,26 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
-    """64-bit hashes of the words; ``lower`` reads A-Z as a-z; ``second`` takes independent constants."""
-    return span_hashes(data, starts, ends, _SECOND if second else _LOWERED if lower else _BYTES)
+    """64-bit hashes of the words; ``lower`` reads A-Z as a-z; ``second`` takes another seed."""
+    return span_hashes(_LOWER[data] if lower else data, starts, ends, int(second))
 
 
-def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` hashes; run i starts at hash i. Runs may cross texts: see ``inside``."""
-    n = len(hashes)
-    if n < length:
+def run_hashes(hashes: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+    """Hashes of all runs of ``length`` hashes; run i starts at hash i. Runs may cross texts: see ``inside``.
+
+    A run is made of two that are up to half as long, which may overlap; the right one is mixed before it is added,
+    so that no sum of places cancels. ``second`` gives other hashes of the same runs.
+    """
+    out, have, steps = hashes, 1, _STEPS[int(second)]
+    if len(out) < length:
         return np.empty(0, np.uint64)
-    up, down = powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up, out=sums[1:])
-    return mix((sums[length:] - sums[: n - length + 1]) * down[: n - length + 1])
+    for step_constant in steps:
+        if have == length:
+            break
+        step = min(have, length - have)
+        out = out[: len(out) - step] * _ODD + mix(out[step:] ^ step_constant)
+        have += step
+    return mix(out)
 
 
 def inside(counts: np.ndarray, length: int) -> np.ndarray:

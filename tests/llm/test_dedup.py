@@ -51,7 +51,7 @@ def test_exact_dedup_keeps_columns(clashing, corpus):
 def test_empty_tables(empty):
     assert exact_dedup.exact_groups(empty).count() == 0
     assert sharding.shard(empty).count() == 0
-    assert ngram_join.ngram_join(empty, sketch_bits=14).count() == 0
+    assert ngram_join.ngram_join(empty).count() == 0
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
@@ -104,14 +104,17 @@ def brute_components(corpus):
 
 
 def test_ngram_components_equal_brute_force(clashing, corpus):
-    got = rows_of(ngram_join.ngram_join(clashing, sketch_bits=14))
+    got = rows_of(ngram_join.ngram_join(clashing).drop("n_links"))
     assert sorted(got, key=str) == sorted(brute_components(corpus), key=str)
 
 
-@pytest.mark.parametrize("hub_rounds", [0, 1])
-def test_ngram_result_does_not_depend_on_hub_rounds(spark, corpus, hub_rounds):
+@pytest.mark.parametrize("bits", [(36, 28), (8, 6)])
+def test_ngram_result_does_not_depend_on_short_names(spark, corpus, bits, monkeypatch):
+    """Names so short that most collide may propose more, but lose nothing."""
     near = [r for r in corpus if r[0] is not None and 36 <= r[0] < 73]
-    got = rows_of(ngram_join.ngram_join(documents(spark, near), sketch_bits=14, hub_rounds=hub_rounds))
+    monkeypatch.setattr(ngram_join, "REF", bits[0])
+    monkeypatch.setattr(ngram_join, "SHORT", bits[1])
+    got = rows_of(ngram_join.ngram_join(documents(spark, near)).drop("n_links"))
     assert sorted(got) == sorted(brute_components(near))
 
 
@@ -121,7 +124,7 @@ def test_ngram_borderline_similarity(spark):
     inside = words[:22]  # 18 shingles, all shared: 18 / 20 = 0.9
     edge = words[:20]  # 16 shared of 20: exactly 0.8
     df = documents(spark, [(9, " ".join(words)), (1, " ".join(exact)), (5, " ".join(inside)), (7, " ".join(edge))])
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df, sketch_bits=14).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df).collect()}
     assert got == dict((d, c) for d, _, c in brute_components([(9, " ".join(words)), (1, " ".join(exact)), (5, " ".join(inside)), (7, " ".join(edge))]))
     assert got[9] == got[7]
 
@@ -133,8 +136,8 @@ def brute_links(corpus):
 
 @pytest.mark.parametrize("block_nodes", [1024, 4])
 def test_ngram_counts_every_link(clashing, corpus, block_nodes):
-    """A group of near copies is larger than its hubs, and only some of its pairs link."""
-    got = rows_of(ngram_join.ngram_join(clashing, sketch_bits=14, counts=True, hubs=2, block_nodes=block_nodes))
+    """Blocks of a group may be smaller than it, and only some of its pairs link."""
+    got = rows_of(ngram_join.ngram_join(clashing, block_nodes=block_nodes))
     want = [(*row, n) for row, n in zip(brute_components(corpus), brute_links(corpus), strict=True)]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -143,7 +146,7 @@ def test_ngram_counts_in_chains(spark):
     """Each text links to its neighbours in the chain, not to all of its component."""
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(words[8 * i : 8 * i + 104])) for i in range(12)] + [(90, "a b c"), (91, "a b c"), (92, "")]
-    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(documents(spark, rows), sketch_bits=14, counts=True, block_nodes=3).collect()}
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(documents(spark, rows), block_nodes=3).collect()}
     want = dict(zip((i for i, _ in rows), brute_links(rows), strict=True))
     assert {i: n for i, (_, n) in got.items()} == want and got[11][0] == 0 and 0 < want[0] < want[6] < 11
 
@@ -160,6 +163,42 @@ def test_overlaps_equal_brute_force(monkeypatch):
     assert ngram_join.overlaps(*flat(left), *flat(right)).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
 
 
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_hashes_tell_regular_texts_apart(spark):
+    """Texts whose sums modulo 2**64 agree for every multiplier."""
+    import numpy as np
+
+    from cauceda.llm.hashing import span_hashes
+    from cauceda.llm.words import run_hashes, word_hashes, words
+
+    one = "".join("ab"[x] for x in thue_morse(1024))
+    other = "".join("ba"[x] for x in thue_morse(1024))
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    for cut in (8, 16, 64, 100, 1024):
+        a, b = span_hashes(data, np.array([0, 1024]), np.array([cut, 1024 + cut]))
+        assert a != b
+    rows = np.frombuffer(" ".join([*one, *other]).encode(), np.uint8)
+    starts, ends, _ = words(rows, np.array([0, len(rows)]))
+    for second in (False, True):
+        runs = run_hashes(word_hashes(rows, starts, ends, second=second), 1024, second)
+        assert runs[0] != runs[-1]
+    spaced = [(1, " ".join(one)), (2, " ".join(other)), (3, one), (4, other)]
+    got = rows_of(ngram_join.ngram_join(documents(spark, spaced)).drop("n_links"))
+    assert sorted(got) == sorted(brute_components(spaced))
+
+
+def test_keep_one_leaves_one_text_of_each_group(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(near)), (5, " ".join([*near[:-1], "x"])), (None, " ".join([*near, "y"])), (3, "alone here"), (None, ""), (None, None), (7, " ".join([*near, "z"])), (7, "alone too")]
+    left = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(documents(spark, rows)).collect()), key=str)
+    assert len(left) == 5 and sum(t is not None and t.startswith("w0 ") for _, t in left) == 1
+    assert (3, "alone here") in left and (7, "alone too") in left and (None, "") in left and (None, None) in left
+    assert {i for i, t in left if t and t.startswith("w0 ")} == {5}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
