@@ -2,7 +2,7 @@
 
 Tier one: a minimal perfect hash over the vocabulary resolves pre-tokens that are vocabulary entries as a
 whole. It is a cascade of bit arrays: a key rests at the first level where no other key falls on its bit,
-and its index is the rank of that bit. The index's stored 64-bit hash and length then confirm the match.
+and its index is the rank of that bit. The entry's length and bytes then confirm the match.
 Tier two: a miss starts as linked bytes; a heap gives the pair of lowest rank, leftmost first, until no
 neighbouring pair is in the vocabulary.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cauceda.llm.common import read_table, slices, utf8_column
-from cauceda.llm.hashing import mix, ragged, span_hashes
+from cauceda.llm.hashing import mix, ragged, same_spans, span_hashes
 from cauceda.llm.pretokens import Encoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -126,10 +126,13 @@ def encoder(path: str, pattern: str) -> Encoder:
     order[perfect.index(keys)] = np.arange(len(known))
     key_at, id_at, length_at = keys[order], known[order], words.lengths[known][order]
 
-    def whole(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def whole(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         at = perfect.index(hashes)
-        same = (at >= 0) & (key_at[at] == hashes) & (length_at[at] == lengths)
-        return np.where(same, id_at[at], -1)
+        likely = np.flatnonzero((at >= 0) & (key_at[at] == hashes) & (length_at[at] == lengths))
+        ids, out = id_at[at[likely]], np.full(len(at), -1, np.int64)
+        same = same_spans(words.data, words.starts[ids], data, starts[likely], lengths[likely])
+        out[likely[same]] = ids[same]
+        return out
 
     return Encoder(lambda pieces: [merge(p, words.ranks) for p in pieces], whole, pattern)
 

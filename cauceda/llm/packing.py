@@ -8,8 +8,9 @@ weighted norm. Pieces come by falling length. At the defaults, which op4 uses be
 sequences, only tokens bind: 2048 pieces of a token or more fill 2048 tokens, and squares of lengths never sum to
 more than the square of their sum. The other two capacities only tilt the choice by their weights there.
 
-Spark deals the pieces to groups of ``group_tokens`` on average by a hash of document and piece; groups are
-packed apart and each leaves less than one sequence of slack or so. Only (id, piece, length) and the
+Spark deals the pieces to groups of ``group_tokens`` or ``group_rows`` on average, whichever gives more groups, by a
+hash of each row's place in the written table, so that rows of one id or of none part too; groups are packed apart and
+each leaves less than one sequence of slack or so. Only (id, piece, length) and the
 caller's small columns are shuffled. Bins with equal residuals are interchangeable, so a group keeps stacks
 of bins by residual vector and scores distinct vectors only.
 
@@ -160,14 +161,14 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: float, rule
     return bins, offsets
 
 
-def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, cost: int | None = None, rule: str = "dot", weights: tuple[float, float, float] = (1.0, 0.25, 0.25), group_tokens: int = 32 << 20) -> DataFrame:
-    """The columns of ``pieces`` with sequence_id and offset. It needs doc_id, piece and length.
+def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, cost: int | None = None, rule: str = "dot", weights: tuple[float, float, float] = (1.0, 0.25, 0.25), group_tokens: int = 32 << 20, group_rows: int = 1 << 19) -> DataFrame:
+    """The columns of ``pieces``, a written table, with sequence_id and offset. It needs doc_id, piece and length.
 
     ``cost`` is the attention capacity, by default that of one full piece, tokens squared.
     """
     cost = tokens * tokens if cost is None else cost
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / group_tokens))
+    total, rows = pieces.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, round((total or 0) / group_tokens), round(rows / group_rows))
     fields = [f for f in pieces.schema.fields]
     out = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -177,7 +178,7 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, cost: int
         bins, offsets = best_fit(group["length"].to_numpy(), tokens, documents, cost, rule, weights)
         return group.assign(sequence_id=bins * groups + number, offset=offsets)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(run, out)
 
 

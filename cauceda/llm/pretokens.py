@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-from cauceda.llm.hashing import ragged, span_hashes
+from cauceda.llm.hashing import ragged, same_spans, span_hashes
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -91,7 +91,8 @@ def _split_by(data: np.ndarray, offsets: np.ndarray, pattern) -> tuple[np.ndarra
 
 
 class Encoder:
-    """Ids of texts. ``whole`` resolves pre-tokens by hash to an id or -1; ``rest`` encodes distinct misses."""
+    """Ids of texts. ``whole`` resolves pre-tokens, given as hashes, data, starts and lengths, to an id or -1; ``rest`` encodes
+    distinct misses. Hashes only propose: bytes are compared wherever two pre-tokens are taken for one."""
 
     def __init__(self, rest: Callable[[list[bytes]], list[list[int]]], whole: Callable | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = 500_000):
         self.rest, self.whole, self.pattern, self.most = rest, whole, pattern, memo
@@ -104,12 +105,16 @@ class Encoder:
         if not len(starts):
             return np.empty(0, np.uint32), counts
         hashes = span_hashes(data, starts, ends)
-        ids = self.whole(hashes, ends - starts) if self.whole else np.full(len(starts), -1, np.int64)
+        ids = self.whole(hashes, data, starts, ends - starts) if self.whole else np.full(len(starts), -1, np.int64)
         missed = np.flatnonzero(ids < 0)
         lengths = np.ones(len(starts), np.int64)
         if len(missed):
             _, at, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            raw, at = data.tobytes(), missed[at]
+            raw, at, spans = data.tobytes(), missed[at], ends - starts
+            apart = (spans[missed] != spans[at][which]) | ~same_spans(data, starts[missed], data, starts[at][which], np.minimum(spans[missed], spans[at][which]))
+            other = np.flatnonzero(apart)  # of one hash but not of one text: each on its own
+            which[other] = len(at) + np.arange(len(other))
+            at = np.append(at, missed[other])
             found = self._lookup([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
             flat = np.frombuffer(b"".join(found), np.uint32)

@@ -40,6 +40,22 @@ def test_ids_equal_the_library_on_any_text(texts):
     assert encode(texts) == [REFERENCE.encode_ordinary(t) for t in texts]
 
 
+def test_hashes_that_collide_change_nothing(monkeypatch):
+    """Bytes decide, whatever the hashes say."""
+    from cauceda.llm import pretokens
+
+    rng = random.Random(3)
+    pair = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(1024)) for k in (0, 1)]
+    texts = [*pair, *("".join(rng.choices(ODD + "abc", k=rng.randint(0, 40))) for _ in range(300))]
+    want = [REFERENCE.encode_ordinary(t) for t in texts]
+    assert encode(texts) == want
+    monkeypatch.setattr(pretokens, "span_hashes", lambda data, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    assert encode(texts) == want
+    every = np.full(1, bpe.span_hashes(np.frombuffer(b"the", np.uint8), np.array([0]), np.array([3]))[0], np.uint64)
+    monkeypatch.setattr(pretokens, "span_hashes", lambda data, starts, ends: np.repeat(every, len(starts)))
+    assert encode(texts) == want
+
+
 def test_generic_patterns_split_alike():
     data, offsets = utf8_column(pa.array(["it's so, 12  x", "", "é 'll"], pa.string()))
     bounds, counts = split(data, offsets)
@@ -107,6 +123,17 @@ def test_added_tokens_are_one_id_as_in_the_library():
     assert ends[-1] == len(ids) and len(got[0]) == 4 and got[4] == [50256]
 
 
+def test_packing_parts_rows_without_ids(spark):
+    """Groups are bounded in rows, and rows of no id or of one id are dealt to all of them."""
+    pieces = spark.range(4000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", "CAST(1 + id % 7 AS BIGINT) AS length")
+    rows = packing.pack(packing.materialize(pieces, "pieces"), tokens=64, documents=64, group_rows=500).collect()
+    total = defaultdict(int)
+    for r in rows:
+        total[r["sequence_id"]] += r["length"]
+    assert len(rows) == 4000 and max(total.values()) <= 64 and len({s % 8 for s in total}) == 8
+    assert len(total) <= sum(total.values()) / 64 + 8
+
+
 @pytest.mark.parametrize("rule", ["dot", "norm"])
 def test_best_fit_obeys_every_capacity(rule):
     lengths = np.random.default_rng(3).integers(1, 700, 3000)
