@@ -1,13 +1,15 @@
 """Sharding by a two-pass external shuffle (DataFrame operations only).
 
-Pass one scatters rows uniformly into memory-sized buckets by a seeded hash of id and text. Pass two
-puts each bucket in a fixed order, applies a seeded Fisher-Yates shuffle to it (``shuffle``) and writes
-it to the shared folder. Buckets laid end to end are one global permutation; position p goes to shard
-``p mod n`` and slot ``p div n``, so shard counts differ by at most one (law ``rows``).
-
-A bucket has ``bucket_bytes`` on average: hashing evens out hot sources and long documents, since equal
-texts with different ids part. Defined cases: null text has size 1 and the CRC of no bytes; null ids and
-repeated rows are rows like others; an empty table gives an empty result; other columns are ignored.
+Pass one scatters rows uniformly into memory-sized buckets by a seeded hash of id, text and ordinal: rows that
+repeat both id and text are counted first and told apart by an ordinal, so that they part too. Pass two puts each
+bucket in a fixed order, applies a Fisher-Yates shuffle to it, whose draws are seeded hashes of bucket and step, and
+writes it to the shared folder. Buckets laid end to end are one global permutation; position p goes to shard
+``p mod n`` and slot ``p div n``, so shard counts differ by at most one (law ``rows``). The result depends on the
+rows, the seed and the bucket sizes alone, not on partitions or machines.
+
+A bucket has ``bucket_bytes`` and ``bucket_rows`` at most on average: hashing evens out hot sources and long documents.
+Defined cases: null text has size 1 and the CRC of no bytes; null ids and repeated rows are rows like others; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,26 +19,55 @@ from pyspark.sql import functions as F
 
 from cauceda.llm.common import materialize, read_table
 
+#: Buckets whose sizes one task adds up.
+RUN = 4096
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, size) with an ordinal, from 1, among those that repeat id and text."""
+    named = rows.withColumn("key", F.xxhash64("text"))
+    again = named.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = materialize(again.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "shuffled-again")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    alone = named.join(again, same, "left_anti").select("doc_id", "text", "size", F.lit(1).cast("long").alias("ordinal"))
+    copies = named.join(again, same, "left_semi").groupBy("doc_id", "text", "size").agg(F.count("*").alias("n"))
+    return alone.unionByName(copies.select("doc_id", "text", "size", F.explode(F.expr("sequence(1L, n)")).alias("ordinal")))
+
+
+def fisher_yates(seed: int) -> str:
+    """SQL: the array ``rows`` shuffled; step i, from the last place down, swaps place i with a drawn one up to it."""
+    draws = f"IF(size(rows) > 1, transform(sequence(size(rows) - 1, 1, -1), i -> struct(i AS i, CAST(pmod(xxhash64({seed}, bucket, i), i + 1) AS INT) AS j)), array())"
+    swap = "IF(d.i = d.j, a, concat(slice(a, 1, d.j), array(a[d.i]), slice(a, d.j + 2, d.i - d.j - 1), array(a[d.j]), slice(a, d.i + 2, size(a))))"
+    return f"transform(aggregate({draws}, sequence(0, size(rows) - 1), (a, d) -> {swap}), k -> rows[k])"
+
+
+def starts_of(sizes: DataFrame) -> DataFrame:
+    """bucket, start: the running sums of ``sizes`` (bucket, n), added up in runs of buckets and then over the runs."""
+    runs = sizes.withColumn("run", F.floor(F.col("bucket") / RUN))
+    within = F.sum("n").over(Window.partitionBy("run").orderBy("bucket")) - F.col("n")
+    totals = runs.groupBy("run").agg(F.sum("n").alias("all"))
+    before = totals.select("run", (F.sum("all").over(Window.orderBy("run")) - F.col("all")).alias("before"))  # a row for RUN buckets
+    return runs.withColumn("within", within).join(before, "run").select("bucket", (F.col("before") + F.col("within")).alias("start"))
+
 
-def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 4 << 20) -> DataFrame:
+def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 4 << 20, bucket_rows: int = 4096) -> DataFrame:
     """doc_id, text, size, bucket, position: ``docs`` in a seeded random order; position is gapless from 0."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)).alias("bucket")
-    held = rows.withColumn("bucket", bucket).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "size", "text")).alias("rows"))
-    dealt = held.select("bucket", F.array_sort("rows").alias("rows")).sortWithinPartitions("bucket")
-    drawn = dealt.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "row"))
-    drawn = materialize(drawn.select("bucket", "at", "row.*"), "shuffled")
-    ends = drawn.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = ends.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
+    total, count = rows.agg(F.sum("size"), F.count("*")).first()
+    buckets = max(1, -(-(total or 0) // bucket_bytes), -(-count // bucket_rows))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "ordinal"), F.lit(buckets)).alias("bucket")
+    held = told_apart(rows).select("*", bucket).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "ordinal", "size", "text")).alias("rows"))
+    dealt = held.select("bucket", F.array_sort("rows").alias("rows"))
+    drawn = dealt.select("bucket", F.posexplode(F.expr(fisher_yates(seed))).alias("at", "row"))
+    drawn = materialize(drawn.select("bucket", "at", "row.doc_id", "row.size", "row.text"), "shuffled")
+    starts = starts_of(drawn.groupBy("bucket").agg(F.count("*").alias("n")))
     return drawn.join(starts, "bucket").select("doc_id", "text", "size", "bucket", (F.col("start") + F.col("at")).alias("position"))
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 4 << 20) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, **sizes: int) -> DataFrame:
     """doc_id, text, size, shard, slot for every row of ``docs``."""
-    rows = shuffled(docs, id_col, text_col, seed, bucket_bytes)
+    rows = shuffled(docs, id_col, text_col, seed, **sizes)
     at = F.col("position")
     return rows.select("doc_id", "text", "size", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
