@@ -8,8 +8,8 @@ documents at one length are extended to the next; at the full length the hash of
 decides, by the smallest id that has it. Copies of whole texts are set aside first: the smallest id stands for
 them, and the others lose all their words if they are as long as a window.
 
-Hashes are counted by grouping, with partial sums before the shuffle, and joined back to their places; a hot
-passage's places are a join side that Spark can split. Texts move once: both joins with them use one exchange.
+Hashes are counted by grouping, with partial sums before the shuffle. What repeats is written before it is joined
+back to the places, so that both sides of such a join are plain shuffles and Spark can split a hot passage's places.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing; rows of one id do not count
 as smaller than each other; rows with null ids lose nothing and make none lose; repeated rows each get the same
@@ -132,7 +132,7 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
             at = np.flatnonzero(covered(batch.column(4), counts) & inside(counts, window))
             doc = np.repeat(np.arange(len(counts)), counts)[at]
             h = run_hashes(word_hashes(data, starts, ends), window)
-            g = run_hashes(word_hashes(data, starts, ends, second=True), window)
+            g = run_hashes(word_hashes(data, starts, ends, second=True), window, second=True)
             local = at - (np.cumsum(counts) - counts)[doc]
             for a in range(0, len(at), 1 << 16):
                 part = slice(a, a + (1 << 16))
@@ -150,7 +150,8 @@ def repeated(places: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranges_of(places: DataFrame) -> DataFrame:
-    return places.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    """The ranges of each text, once each: rows that repeat id and text name the same ones."""
+    return places.groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("ranges"))
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
@@ -179,7 +180,7 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kinds[0]}, n_words long, n_removed long, kept string, row {kinds[1]}")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, start: int = 25, keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, start: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), row of every row of ``docs``.
 
     row is a struct of the columns ``keep``, and of an empty one.
@@ -200,15 +201,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = materialize(marks(base.join(ranges, KEYS, "left").select(*KEYS, "text", "row", "ranges"), length, window), "substring-marks")
         own = found.join(copies, KEYS, "left_anti") if not i else found
         places = own.select(*KEYS, F.explode("runs").alias("run")).select(*KEYS, "run.*").filter("doc_id IS NOT NULL")
-        hot = repeated(places, ["h"]).select("h")
+        hot = materialize(repeated(places, ["h"]).select("h"), "substring-hot")
         ranges = materialize(ranges_of(places.join(hot, "h", "left_semi")), "substring-ranges")
     if ranges is None:
         every = F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("n")))
         ranges = base.select(*KEYS).distinct().withColumn("ranges", every)
 
     held = base.join(ranges, KEYS, "left").select(*KEYS, "text", "row", "ranges")
-    places = full_windows(held, window)
-    firsts = repeated(places, ["h", "g"])
+    places = materialize(full_windows(held, window), "substring-windows")
+    firsts = materialize(repeated(places, ["h", "g"]), "substring-firsts")
     gone = places.join(firsts, ["h", "g"]).filter("first < doc_id")
     removed = gone.groupBy(*KEYS).agg(F.collect_set("at").alias("starts"))
     flags = copies.withColumn("copy", F.lit(True))
