@@ -30,15 +30,22 @@ def test_exact_groups_equal_brute_force(docs, corpus):
 
 def test_exact_index_splits_overfull_buckets(spark):
     df = documents(spark, [(i, f"text {i}") for i in range(500)])
-    out = exact_dedup.exact_groups(df, capacity=20, max_depth=8)
+    out = exact_dedup.exact_groups(df, capacity=20)
     load = {r["bucket"]: r["n"] for r in out.groupBy("bucket").agg(F.countDistinct("text_sha256").alias("n")).collect()}
     assert sum(load.values()) == 500 and len(load) > 25 and max(load.values()) <= 20
 
 
 def test_exact_index_chains_colliding_keys(spark):
-    seen = spark.createDataFrame([(7, "a" * 64, 1, 1), (7, "b" * 64, 2, 1)], "key long, text_sha256 string, keep_id long, group_size long")
-    found = exact_dedup.directory(seen, 1, 4).collect()
-    assert len(found) == 1 and found[0]["local_depth"] == 4  # equal keys cannot part: they chain
+    """Keys that agree in many bits deepen the directory; equal keys cannot part and chain."""
+    near = [(7 << 20) + i for i in range(40)]
+    tables = exact_dedup.directory(spark.createDataFrame([(k,) for k in near], "key long"), 1)
+    found = exact_dedup.in_bucket(spark.createDataFrame([(k,) for k in [*near, *near]], "key long"), tables).collect()
+    assert len({r["bucket"] for r in found}) == 40 and len(found) == 80 and max(r["local_depth"] for r in found) > 58
+    same = exact_dedup.directory(spark.createDataFrame([(7,)], "key long"), 1)
+    assert [r["local_depth"] for _, t in same for r in t.collect()] == [0]
+    rows = spark.createDataFrame([(1, "a", 7), (2, "b", 7), (3, "a", 7)], "doc_id long, text string, key long")
+    index = {(r["chain"], r["keep_id"], r["group_size"]) for r in exact_dedup.build_index(rows, 1)[0].collect()}
+    assert {c for c, _, _ in index} == {1, 2} and {(k, n) for _, k, n in index} == {(2, 1), (3, 2)}
 
 
 def test_exact_dedup_keeps_columns(clashing, corpus):
@@ -66,10 +73,21 @@ def test_shards_are_gapless_even_and_seeded(docs, corpus):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     again = {(r["doc_id"], r["text"]): (r["shard"], r["slot"]) for r in sharding.shard(docs, 16, bucket_bytes=4096).collect() if r["doc_id"] != 76}
     assert again == {(r["doc_id"], r["text"]): (r["shard"], r["slot"]) for r in out.collect() if r["doc_id"] != 76}
+    wider = sharding.shard(docs.repartition(7), 16, bucket_bytes=4096).repartition(2)
+    assert sorted(map(str, wider.collect())) == sorted(map(str, out.collect()))  # it depends on no partitions
     other = {(r["doc_id"], r["text"]): (r["shard"], r["slot"]) for r in sharding.shard(docs, 16, bucket_bytes=4096, seed=18).collect() if r["doc_id"] != 76}
     assert other != again
 
 
+def test_repeated_rows_part(spark):
+    rows = [(1, "same text")] * 2000 + [(None, None)] * 1000 + [(i, f"text {i}") for i in range(1000)]
+    df = documents(spark, rows).withColumns({c: F.lit("x") for c in ("bucket", "rows", "ordinal", "n", "position")})
+    load = [r["count"] for r in sharding.shuffled(df, bucket_rows=100).groupBy("bucket").count().collect()]
+    assert sum(load) == 4000 and len(load) == 40 and max(load) < 160
+    out = sharding.shard(df, 16, bucket_rows=100).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert all(r["n"] == 250 and r["last"] == 249 for r in out)
+
+
 def test_written_shards_are_in_slot_order(spark, docs, tmp_path):
     sharding.write_shards(sharding.shard(docs, 4), str(tmp_path / "out"))
     for part in (tmp_path / "out").glob("shard=2/*.parquet"):
@@ -231,6 +249,18 @@ def test_substring_equals_brute_force(clashing, corpus, start):
     assert sorted(got, key=str) == sorted(brute_substring(corpus), key=str)
 
 
+def test_substring_of_repeated_rows(spark, monkeypatch):
+    """The ranges of repeated rows are written once."""
+    rng = __import__("random").Random(4)
+    passage = " ".join(rng.choices("abcdefghijklmnop", k=120))
+    rows = [(1, passage)] + [(2, f"x {passage} y")] * 60 + [(None, passage)] * 5
+    seen, real = [], substring_dedup.ranges_of
+    monkeypatch.setattr(substring_dedup, "ranges_of", lambda p: seen.append(real(p)) or seen[-1])
+    got = rows_of(substring_dedup.substring_dedup(documents(spark, rows)).select("doc_id", "n_words", "n_removed", "kept"))
+    assert sorted(got, key=str) == sorted(brute_substring(rows), key=str)
+    assert all(df.agg(F.sum(F.size("ranges"))).first()[0] < 400 for df in seen)
+
+
 def test_substring_lengths_double():
     assert substring_dedup.lengths(13, 50) == [13, 26, 50]
     assert substring_dedup.lengths(25, 50) == [25, 50]
