@@ -1,13 +1,14 @@
 """WARC archives: a writer through Spark's text sink and a splittable reader.
 
-Each record is a gzip member of its own, and the blank lines that end a record are a second, constant
-member. That makes a file rows joined by a fixed separator, so Spark's committed, retry-safe text writer
-puts it on any file system Spark knows. Decompressed, a file is a plain WARC/1.1 stream.
+Each record, with the blank lines that end it, is a gzip member of its own. An empty member follows each: that makes
+a file rows joined by a fixed separator, so Spark's committed, retry-safe text writer puts it on any file system
+Spark knows. Decompressed, a file is a plain WARC/1.1 stream.
 
 The reader gives tasks byte ranges. A task looks for the gzip magic, accepts a place as a record only if
 the bytes there inflate to a WARC header and the whole member passes its checksum, and owns the records
 that start inside its range, however far they reach. Listing goes through Spark, range reads through
-``pyarrow.fs``.
+``pyarrow.fs``. Archives of other writers are read too: any record type, with or without digest, page id or HTTP
+header, and with or without the blank lines in the member; fields that a record lacks are null.
 
 Payloads of at least ``least`` bytes that are equal are stored once: the smallest id is the response and
 the others are revisits that carry only the HTTP header. Defined cases: null payload is empty; null ids
@@ -40,7 +41,8 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return deflate.compress(data) + deflate.flush()
 
 
-SEPARATOR = gzip_member(b"\r\n\r\n")
+BLANK = b"\r\n\r\n"
+SEPARATOR = gzip_member(b"")
 
 
 def record_uri(page_id) -> str:
@@ -75,7 +77,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload"):
-            made = [gzip_member(record(*row.values(), date), level) for row in batch.to_pylist()]
+            made = [gzip_member(record(*row.values(), date) + BLANK, level) for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
 
     members = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string"))
@@ -123,19 +125,38 @@ def records(source: pa.NativeFile, size: int, start: int, end: int) -> Iterator[
         at = found[1] - start
 
 
+def header(lines: list[str]) -> dict[str, str]:
+    """Fields by lower-case name, the first of a name; a line that begins with white space goes on with the one before."""
+    out, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += f" {line.strip()}"
+        elif ":" in line:
+            own, _, value = line.partition(":")
+            name = own.strip().lower()
+            out.setdefault(name, value.strip())
+    return out
+
+
 def parse(content: bytes) -> dict:
-    """type, page_id, url, digest, payload_bytes, payload and refers_to of a record. Checks the payload's digest."""
-    head, _, block = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    if len(block) != int(fields["Content-Length"]):
+    """type, page_id, url, digest, payload_bytes, payload and refers_to of a record. Checks the payload's SHA-256 if it is given."""
+    head, _, rest = content.partition(BLANK)
+    fields = header(head.decode("utf-8", "replace").split("\r\n")[1:])
+    length = int(fields.get("content-length", len(rest)))
+    payload, after = rest[:length], rest[length:]
+    if len(payload) != length or after.strip(b"\r\n"):
         raise ValueError("a record's block is not as long as its header says")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(line.split(b":", 1)[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("a record's payload is not what its header says")
-    return {"record_type": fields["WARC-Type"], "page_id": fields.get("Page-Id"), "url": fields.get("WARC-Target-URI"), "payload_digest": digest, "payload_bytes": length, "payload": None if revisit else payload, "refers_to": fields.get("Refers-To-Page-Id")}
+    revisit, said = fields.get("warc-type") == "revisit", None
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = payload.partition(BLANK)
+        said = header(http.decode("latin-1").split("\r\n")[1:]).get("content-length")
+    digest = fields.get("warc-payload-digest")
+    if digest and digest.startswith("sha256:"):
+        digest = digest.removeprefix("sha256:")
+        if not revisit and hashlib.sha256(payload).hexdigest() != digest:
+            raise ValueError("a record's payload is not what its header says")
+    size = len(payload) if not revisit else int(said) if said and said.isdigit() else None
+    return {"record_type": fields.get("warc-type"), "page_id": fields.get("page-id"), "url": fields.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": size, "payload": None if revisit else payload, "refers_to": fields.get("refers-to-page-id")}
 
 
 FIELDS = pa.schema([("record_type", pa.string()), ("page_id", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("refers_to", pa.string())])
@@ -145,7 +166,10 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = 8 << 20, with_p
     """The fields of every record under ``path``, ids as text; without payloads where they are not wanted."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
     start = F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes)))
-    ranges = files.filter("size > 0").select("path", "size", start.alias("start")).repartition(F.col("path"), F.col("start"))
+    ranges = files.filter("size > 0").select("path", "size", start.alias("start"))
+    # a number of our own: the list is small whatever the files hold, and Spark would join its parts into one
+    count = ranges.count()
+    ranges = ranges.repartition(max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, count // 16))), "path", "start")
     schema = FIELDS if with_payload else FIELDS.remove(FIELDS.get_field_index("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
