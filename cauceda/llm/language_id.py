@@ -2,17 +2,18 @@
 
 A text's subwords are the byte 3-grams and 4-grams of its lower-cased form, hashed into ``buckets``. The
 model averages their embeddings and feeds the mean to a linear layer; stochastic gradient descent in numpy
-trains both on a sample of at most ``sample`` labelled rows, whole texts, chosen by a seeded hash of the id.
-A temperature fitted on held-back rows of the sample calibrates the probability; below the confidence at
-which ``precision`` of those rows' answers are right the answer is marked rejected.
+trains both on a sample of at most ``sample`` distinct labelled rows, whole texts, chosen by a seeded hash of the id,
+of at most ``sample_bytes`` of text together; Spark cuts to it before anything is collected. A temperature fitted on
+held-back rows of the sample, every fifth (on all of them if there are fewer than 50), calibrates the probability;
+below the confidence at which ``precision`` of those rows' answers are right the answer is marked rejected.
 
 Since the network is linear, a trained bucket folds into one row of logits. Scoring gathers and sums these
 rows for all texts of a batch at once. The folded table, buckets x languages floats, is what is broadcast.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; a text of fewer
 than 3 bytes that has a letter gets the class shares learned as bias; null labels and labels of the value
-``und`` are not learned; without any labelled row every text is ``und``; null ids and repeated rows are
-rows like others; an empty table gives an empty result; other columns are ignored.
+``und`` are not learned; without any labelled row every text is ``und``; rows without an id are scored but not
+learned from, and rows that repeat id, text and label are learned once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cauceda.llm.common import crc_of_id, read_table, slices, utf8_column
@@ -137,13 +138,16 @@ def calibrate(model: Model, logits: np.ndarray, labels: np.ndarray, precision: f
     return model
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = 6000, buckets: int = 1 << 16, seed: int = 5, **options) -> Model | None:
-    """A model from at most ``sample`` rows of ``labelled``; None without rows."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = 6000, sample_bytes: int = 64 << 20, buckets: int = 1 << 16, seed: int = 5, **options) -> Model | None:
+    """A model from at most ``sample`` rows of ``labelled``, of ``sample_bytes`` together; None without rows."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.filter("label IS NOT NULL AND label <> 'und' AND text IS NOT NULL")
-    # the hash of (id, text length) decides; ids alone are sorted, then their texts are read
-    drawn = rows.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample)
-    rows = rows.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id")
+    rows = rows.withColumn("own", F.xxhash64("text", "label"))
+    # names alone are sorted, then their texts are read
+    drawn = rows.select("doc_id", "own", F.octet_length("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("draw")).distinct().orderBy("draw", "doc_id", "own").limit(sample)
+    held = F.sum("size").over(Window.orderBy("draw", "doc_id", "own"))  # over the sample's rows, ``sample`` at most
+    drawn = drawn.withColumn("held", held).filter(F.col("held") <= sample_bytes).select("doc_id", "own")
+    rows = rows.join(F.broadcast(drawn), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -161,7 +165,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     found = rows.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {key}, label string, ids array<int>, counts array<int>").toArrow()
     if not found.num_rows:
         return None
-    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")]).slice(0, sample)
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     names = sorted(set(found["label"].to_pylist()))
     labels = np.array([names.index(x) for x in found["label"].to_pylist()])
     ids = [np.asarray(x.values) for x in found["ids"]]

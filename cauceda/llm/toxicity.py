@@ -4,13 +4,14 @@ Training rows are a sample of at most ``sample`` labelled rows, chosen by a seed
 bounds all that training sees, and of its rows of one label that share a min-hash, as near copies do, one
 trains. Spark counts in how many toxic and other documents of it each word and word stem (its first 4, 5 and
 6 letters) occurs; the entries that mark toxic documents make the lexicon, of at most ``entries``. The trees' rows are crossed: each half's features come from the other half's lexicon, so that
-they are not flattered. Every fourth row is held back for the isotonic calibration. Features are densities of
+they are not flattered. Every fourth row is held back for the isotonic calibration (of fewer than 400 rows, all are used
+for both). Features are densities of
 lexicon words and stems, nearness to second-person words, capitals, punctuation, and obfuscation (digits or
 symbols for letters, letters drawn out or spelled apart). Whole texts are read in one pass.
 
 Defined cases: null text is empty and scored like any other; a null label is no label; of several labels of
-one id the highest counts; without both labels among the training rows all scores are 0; null ids and
-repeated rows are rows like others; an empty table gives an empty result; other columns are ignored.
+one id the highest counts; without both labels among the training rows all scores are 0; rows without an id are
+scored but not learned from, and rows of one label, id and text are learned once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ class Lexicon:
         upper = len(UPPER.findall(text))
         shouted = len(SHOUTED.findall(text))
         marks = len(MARKS.findall(text))
-        return [min(n, 5000), lexicon, len(hits), 100 * lexicon / n, stems, 100 * stems / n, weight, max((max(h) for h in hits.values()), default=0.0), near, 100 * you / n, upper / size, 100 * shouted / n, 100 * text.count("!") / n, marks / size, 100 * (len(odd) + len(drawn) + len(apart)) / n, uncovered]
+        return [n, lexicon, len(hits), 100 * lexicon / n, stems, 100 * stems / n, weight, max((max(h) for h in hits.values()), default=0.0), near, 100 * you / n, upper / size, 100 * shouted / n, 100 * text.count("!") / n, marks / size, 100 * (len(odd) + len(drawn) + len(apart)) / n, uncovered]
 
 
 def sketched(rows: DataFrame) -> DataFrame:
@@ -264,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
     rows = materialize(sketched(rows.select("doc_id", "label", "draw", "text")), "toxicity-texts")
     firsts = rows.groupBy("sketch", "label").agg(F.min("draw").alias("draw"))
-    rows = materialize(rows.join(firsts, ["sketch", "label", "draw"], "left_semi"), "toxicity-rows")
+    rows = materialize(rows.join(firsts, ["sketch", "label", "draw"], "left_semi").dropDuplicates(["sketch", "label", "draw"]), "toxicity-rows")
     half, keep = F.pmod("draw", F.lit(2)), ("doc_id", "draw", "label")
     crossed = [feature_rows(rows.filter(half == own), learn_lexicon(rows.filter(half != own), entries), keep) for own in (0, 1)]
     found = crossed[0].unionByName(crossed[1]).toArrow().sort_by([("draw", "ascending"), ("doc_id", "ascending")])

@@ -42,6 +42,16 @@ def test_languages_without_labels_or_rows(spark, labelled, empty):
     assert language_id.identify(empty, None).count() == 0
 
 
+def test_repeated_long_and_clashing_rows_are_bounded(spark, labelled):
+    """Rows of one id count once, the sample is bounded in bytes, other columns change nothing, very long texts are read whole."""
+    again = labelled.unionByName(spark.createDataFrame([(7, "x" * 50, "bb")] * 500 + [(601, "und ich " * 200_000, "bb")], labelled.schema))
+    again = again.withColumns({c: F.lit("x") for c in ("own", "label", "ids", "draw", "size", "held", "score")})
+    model = language_id.fit(again, sample=300, sample_bytes=100_000, epochs=4)
+    assert model.languages == ["aa", "bb", "cc"]
+    out = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(again, model).collect()}
+    assert (601, "bb") in out and sum(i == 7 for i, _ in out) <= 2
+
+
 def test_subwords_stay_inside_their_text():
     data = np.frombuffer(b"abcdab", np.uint8)
     got = language_id.subwords(data, np.array([0, 4, 6]), 3, 1 << 10)
@@ -106,6 +116,17 @@ def test_toxic_texts_score_higher(comments):
     assert kept.filter("doc_id IS NULL").count() == 0
 
 
+def test_toxicity_of_repeated_long_and_clashing_rows(spark, comments):
+    docs, labels = comments
+    odd = spark.createDataFrame([(5, "tree")] * 400 + [(3000, "river " * 200_000), (3001, "river stone " * 50_000 + "florp grusket you florp snarvle")], docs.schema)
+    every = docs.unionByName(odd).withColumns({c: F.lit("x") for c in ("label", "draw", "sketch", "x", "term", "score")})
+    model = toxicity.fit(every, labels.unionByName(spark.createDataFrame([(5, 0)] * 50, labels.schema)))
+    out = toxicity.score(every, model)
+    assert out.count() == every.count() and out.filter("doc_id = 3000 AND score >= 0.5").isEmpty()
+    kept = toxicity.keep_clean(every, model)
+    assert kept.columns == every.columns and kept.filter("doc_id = 5").count() == 401
+
+
 def test_without_labels_nothing_is_toxic(comments, empty):
     docs, labels = comments
     assert toxicity.fit(docs, labels.filter("toxic = 0")) is None
