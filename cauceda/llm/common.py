@@ -60,20 +60,6 @@ def crc_of_id(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits as bytes, set for the values of the column ``at``, which are below 2**bits.
-
-    Spark builds the parts, of 4 KB each; what comes to the driver has the size of the bitmap, whatever the data.
-    """
-    bit = F.col("at") + 1  # parts and positions count from value 1
-    parts = cells.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    out = np.zeros(max((1 << bits) // 8, 4096), np.uint8)
-    for part, own in parts.collect():
-        begin = (part - 1) * 4096
-        out[begin : begin + len(own)] |= np.frombuffer(bytes(own), np.uint8)[: len(out) - begin]
-    return out
-
-
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column laid end to end, and the n + 1 offsets; nulls are empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

@@ -1,11 +1,11 @@
 """Media columns stored as content-defined chunks.
 
 A text's bytes, padded with 255 to a positive multiple of 576, become the 8-bit mono samples of a WAV file.
-A rolling gear hash over the file's bytes cuts it into chunks; a chunk is named by its SHA-256. Spark counts
-the digests. A bitmap of fixed size marks the digests that occur more than once: an unmarked chunk is surely
-alone and stays inside its document's row; the marked ones are stored once each in a chunk table, which
-Spark deduplicates by digest. A marked chunk that occurs once only costs a shuffle. A row keeps its ordered
-chunk list; joining it with the chunk table gives the file back, which must have the digest it had.
+A rolling gear hash over the file's bytes cuts it into chunks; a chunk is named by its SHA-256. Every text's list of
+digests is written; Spark counts the digests in it, and a join of the lists with those that occur more than once
+tells each text which of its chunks are shared. A chunk that is alone stays inside its document's row and never
+moves; the shared ones are stored once each in a chunk table, which Spark deduplicates by digest. A row keeps its
+ordered chunk list; joining it with the chunk table gives the file back, which must have the digest it had.
 
 Defined cases: null text is empty and gives 576 bytes of 255; equal texts give equal media, rebuilt once;
 repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import bitmap, materialize, read_table, slices
+from cauceda.llm.common import materialize, read_table, slices
 from cauceda.llm.hashing import constants
 
 UNIT = 576
+#: Texts with shared chunks are marked by a broadcast up to so many (some 100 bytes each), else by a shuffle.
+BROADCAST_TEXTS = 250_000
 GEAR = (constants(256, 6) >> np.uint64(32)).astype(np.uint32)
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -89,14 +91,14 @@ def describe(payload: bytes) -> str:
 
 
 def _each(docs: DataFrame, of: Callable, schema: str) -> DataFrame:
-    """``of(doc_id, text bytes)`` gives the rows of each document."""
+    """``of(doc_id, text bytes, ...)`` gives the rows of each document."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fixed = batch.schema.field(0).type
-            rows = [row for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in of(key, text or b"")]
+            rows = [row for own in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in of(*own)]
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             out = []
             for name, kind, values in zip(names, schema.split(", "), columns, strict=True):
@@ -108,41 +110,41 @@ def _each(docs: DataFrame, of: Callable, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def marked(digest: bytes, marks: np.ndarray, bits: int) -> bool:
-    at = int.from_bytes(digest[:4], "big") >> (32 - bits)
-    return bool(marks[at >> 3] >> (at & 7) & 1)
+def shared_chunks(rows: DataFrame) -> DataFrame:
+    """key, shared: of each text that has any, the digests that occur more than once among all texts. rows: key, text."""
+    listed = _each(rows.select(F.col("key").alias("doc_id"), "text"), lambda key, text: [(key, [d for d, _ in chunks(to_wav(payload_of(text)))])], "doc_id long, digests array<binary>")
+    listed = materialize(listed, "media-lists")
+    twice = listed.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    twice = materialize(twice, "media-twice")
+    each = listed.select(F.col("doc_id").alias("key"), F.explode("digests").alias("digest"))
+    return materialize(each.join(twice, "digest").groupBy("key").agg(F.collect_set("digest").alias("shared")), "media-shared")
 
 
-def shared_bitmap(digests: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits; set for the digests that occur more than once. Its size does not depend on the data."""
-    twice = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    at = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits)
-    return bitmap(twice.select(at.alias("at")), bits)
-
-
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Write the media: (objects, chunk table), both read back from the shared folder.
 
     objects: doc_id, n_bytes, media_sha256, digests (in order), inline (a chunk's bytes, or null if it is in the
     chunk table). chunk table: digest, bytes.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    key = rows.schema["doc_id"].dataType.simpleString()
-
-    listed = _each(rows.select(F.lit(0).cast("long").alias("doc_id"), "text"), lambda k, text: [(d,) for d, _ in chunks(to_wav(payload_of(text)))], "digest binary")
-    marks = rows.sparkSession.sparkContext.broadcast(shared_bitmap(listed, bits))
-
-    def kept(k, text: bytes):
-        media = to_wav(payload_of(text))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("key"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = shared_chunks(rows.select("key", "text"))
+    if shared.count() <= BROADCAST_TEXTS:
+        shared = F.broadcast(shared)
+
+    def kept(k, text: bytes, shared: list[bytes] | None):
+        media, common = to_wav(payload_of(text)), set(shared or ())
         pieces = chunks(media)
-        inline = [None if marked(d, marks.value, bits) else b for d, b in pieces]
-        return [(k, len(text), hashlib.sha256(media).digest(), [d for d, _ in pieces], inline)]
+        return [(k, len(text), hashlib.sha256(media).digest(), [d for d, _ in pieces], [None if d in common else b for d, b in pieces])]
 
-    def common(k, text: bytes):
-        return [(d, b) for d, b in chunks(to_wav(payload_of(text))) if marked(d, marks.value, bits)]
+    def common(k, text: bytes, shared: list[bytes]):
+        own = set(shared)
+        return [(d, b) for d, b in chunks(to_wav(payload_of(text))) if d in own]
 
-    objects = _each(rows, kept, f"doc_id {key}, n_bytes long, media_sha256 binary, digests array<binary>, inline array<binary>")
-    once = _each(rows, common, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    objects = _each(rows.join(shared, "key", "left").select("doc_id", "text", "shared"), kept, f"doc_id {kind}, n_bytes long, media_sha256 binary, digests array<binary>, inline array<binary>")
+    found = _each(rows.join(shared, "key").select(F.lit(0).cast("long").alias("doc_id"), "text", "shared"), common, "digest binary, bytes binary")
+    once = found.groupBy("digest").agg(F.first("bytes").alias("bytes"))
     return materialize(objects, "media-objects"), materialize(once, "media-chunks")
 
 
@@ -182,9 +184,9 @@ def features(pieces: DataFrame) -> DataFrame:
     return pieces.select(*kept, "pieces").mapInArrow(run, schema)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20) -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row."""
-    objects, table = store(docs, id_col, text_col, bits)
+    objects, table = store(docs, id_col, text_col)
     alone, joined = load(objects, table)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     direct = features(alone).select(*names)
