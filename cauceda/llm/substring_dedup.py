@@ -18,7 +18,6 @@ result; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -102,20 +101,13 @@ def covered(ranges: pa.Array, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _only_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that have ranges. They are dropped here, not in the plan, so that both joins share one exchange."""
-    for batch in batches:
-        held = batch.filter(batch.column(4).is_valid())
-        yield from slices(iter([held]), "text", SLICE)
-
-
 def marks(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """The stretches of all windows; ``docs`` has the keys, text and maybe ranges that bound the windows."""
+    """The stretches of all windows; ``docs`` has the keys, text and, from the second level on, ranges that bound the windows."""
     bounded = "ranges" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _only_marked(batches) if bounded else slices(batches, "text", SLICE):
-            within = covered(batch.column(4), words(*utf8_column(batch.column(2)))[2]) if bounded else None
+        for batch in slices(batches, "text", SLICE):
+            within = covered(batch.column(3), words(*utf8_column(batch.column(2)))[2]) if bounded else None
             yield _marks(batch, batch.column(2), length, window, within)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -126,10 +118,10 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, text_key, at, h, g: each window inside the ranges of its row, with 64 and 32 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _only_marked(batches):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = utf8_column(batch.column(2))
             starts, ends, counts = words(data, offsets)
-            at = np.flatnonzero(covered(batch.column(4), counts) & inside(counts, window))
+            at = np.flatnonzero(covered(batch.column(3), counts) & inside(counts, window))
             doc = np.repeat(np.arange(len(counts)), counts)[at]
             h = run_hashes(word_hashes(data, starts, ends), window)
             g = run_hashes(word_hashes(data, starts, ends, second=True), window, second=True)
@@ -194,27 +186,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = materialize(ids.join(firsts, "name").filter("first < doc_id").select(*KEYS).distinct(), "substring-copies")
 
     *shorter, full = lengths(start, window)
-    found = materialize(marks(base, shorter[0], window), "substring-marks") if shorter else None
-    ranges = None
+    texts, ranges = base.select(*KEYS, "text"), None
     for i, length in enumerate(shorter):
-        if i:
-            found = materialize(marks(base.join(ranges, KEYS, "left").select(*KEYS, "text", "row", "ranges"), length, window), "substring-marks")
-        own = found.join(copies, KEYS, "left_anti") if not i else found
+        found = materialize(marks(texts, length, window), "substring-marks")
+        own = found if i else found.join(copies, KEYS, "left_anti")
         places = own.select(*KEYS, F.explode("runs").alias("run")).select(*KEYS, "run.*").filter("doc_id IS NOT NULL")
         hot = materialize(repeated(places, ["h"]).select("h"), "substring-hot")
         ranges = materialize(ranges_of(places.join(hot, "h", "left_semi")), "substring-ranges")
+        # from here on only texts with candidates are read; they move by a shuffle at any size, as the ranges grow with the data
+        texts = materialize(texts.select(*KEYS, "text").join(ranges.hint("merge"), KEYS).select(*KEYS, "text", "ranges"), "substring-texts")
     if ranges is None:
         every = F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("n")))
-        ranges = base.select(*KEYS).distinct().withColumn("ranges", every)
+        texts = texts.filter("doc_id IS NOT NULL").withColumn("ranges", every)
 
-    held = base.join(ranges, KEYS, "left").select(*KEYS, "text", "row", "ranges")
-    places = materialize(full_windows(held, window), "substring-windows")
+    places = materialize(full_windows(texts, window), "substring-windows")
     firsts = materialize(repeated(places, ["h", "g"]), "substring-firsts")
     gone = places.join(firsts, ["h", "g"]).filter("first < doc_id")
     removed = gone.groupBy(*KEYS).agg(F.collect_set("at").alias("starts"))
     flags = copies.withColumn("copy", F.lit(True))
     marked = removed.join(flags, KEYS, "full").select(*KEYS, "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
-    out = base.join(marked, KEYS, "left").select(*KEYS, "text", "row", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    out = base.join(marked.hint("merge"), KEYS, "left").select(*KEYS, "text", "row", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
     return _kept(out, window)
 
 

@@ -48,6 +48,24 @@ def test_every_stage_takes_effect(spark, tables):
     assert all(last[i] == texts[i] for i in last if i not in (302, 303))
 
 
+def test_stages_of_odd_tables(spark, tmp_path, corpus, clashing):
+    """Null ids, repeated rows, clashing columns, a very long text; and no rows at all."""
+    path = str(tmp_path)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    labels.filter("toxic = 0").write.parquet(f"{path}/labels.parquet")
+    docs = clashing
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, path).cache()
+        assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+    texts = [r["text"] for r in docs.collect()]
+    assert sum(t == "same row" for t in texts) == 2 and sum(not t for t in texts) == 1 and max(len(t or "") for t in texts) > 50_000
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).filter("piece = 0").count() == len(texts)
+    none = clashing.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, path)
+    assert none.count() == 0
+
+
 def test_run_packs_what_is_left(spark, tables):
     path, _ = tables
     out = corpus_pipeline.run(spark, path).collect()
