@@ -1,7 +1,9 @@
 """The corpus pipeline: toxic documents go, copies and near copies go, repeated passages go, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to the
-shared folder and reads it again as the next stage's documents.
+shared folder and reads it again as the next stage's documents. Null and empty texts pass every stage, and of texts that
+are equal in full one stays; rows without an id are documents like others; rows that repeat both id and text stay or go
+together; an empty table gives an empty result; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +27,7 @@ def drop_copies(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """Of documents joined by links of similarity 0.8 or more the one with the smallest id stays."""
-    found = ngram_join.ngram_join(docs)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return ngram_join.keep_one(docs)
 
 
 def drop_repeated_passages(spark, docs, sf_dir):
