@@ -28,9 +28,12 @@ def strip_accents(col: Column) -> Column:
     """Compatibility decomposition of Latin text without its combining marks."""
     one, to, several = _accents()
     out = F.translate(col, one, to)
+    long = out
     for char, plain in several:
-        out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.regexp_replace(out, r"\p{M}+", "")
+        long = F.replace(long, F.lit(char), F.lit(plain))
+    # most texts are ASCII, and of the others few have a letter that stands for several
+    out = F.when(out.rlike(f"[{''.join(c for c, _ in several)}]"), long).otherwise(out)
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"\p{M}+", "")).otherwise(col)
 
 
 def collapse(col: Column) -> Column:
@@ -48,6 +51,14 @@ def fold_lower(col: Column) -> Column:
     return collapse(F.lower(strip_accents(F.coalesce(col.cast("string"), F.lit("")))))
 
 
+def folded_lower(text: str) -> str:
+    """``fold_lower`` of a text at hand, by the same letters."""
+    one, to, several = _accents()
+    table = {ord(a): b for a, b in [*zip(one, to, strict=True), *several]}
+    plain = "".join(c for c in text.translate(table) if not unicodedata.category(c).startswith("M"))
+    return " ".join(plain.lower().split())
+
+
 def digits(col: Column) -> Column:
     """The ASCII digits of a text, as a phone key."""
     return F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), "[^0-9]", "")
@@ -78,8 +89,8 @@ def items(col: Column, separators: str = ",;") -> Column:
 
 
 def tokens(col: Column, least: int = 4, without: tuple[str, ...] = ()) -> Column:
-    """Distinct folded words of at least ``least`` letters or digits that are no stop words."""
-    found = F.array_distinct(F.regexp_extract_all(fold_lower(col), F.lit(f"([a-z0-9]{{{least},}})"), F.lit(1)))
+    """Distinct folded words of at least ``least`` letters, digits or underscores that are no stop words."""
+    found = F.array_distinct(F.regexp_extract_all(fold_lower(col), F.lit(f"([a-z0-9_]{{{least},}})"), F.lit(1)))
     return F.array_except(found, F.array(*map(F.lit, without))) if without else found
 
 

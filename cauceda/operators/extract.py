@@ -23,7 +23,8 @@ TYPES = {
     "amount": {"": "double", "_currency": "string"},
     "label": {"": "string", "_label": "string"},
 }
-KEYS = ("message_id", "insight_id", "event_id", "id")
+#: Columns that name a row of a source, in the order in which they are looked for.
+KEYS = ("correo_id", "insight_id", "evento_id", "id")
 
 
 @dataclass
@@ -87,34 +88,37 @@ def _labelled(body: Column) -> Column:
     return F.filter(parts, lambda x: (F.length(x["label"]) <= LABEL) & (x["label"] != ""))
 
 
-def _under(name: str):
-    """A filter by label; its own function, since a lambda's further arguments would be taken for places."""
-    return lambda x: x["label"] == text.fold_lower(F.lit(name))
+def _flattened(body: Column, fields: list[Field]) -> Column:
+    """array of struct(label, value) of a text whose line breaks were lost: what follows each declared label, up to the next."""
+    every = sorted({n for o in fields for n in o.labels}, key=lambda n: (-len(n), n))
+    any_label = "|".join(map(re.escape, every))
+    pattern = F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_])({any_label})\s*:(.*?)(?=(?<![\p{{L}}\p{{N}}_])(?:{any_label})\s*:|$)")
+    found = F.arrays_zip(*(F.regexp_extract_all(body, pattern, F.lit(g)).alias(n) for g, n in ((1, "label"), (2, "value"))))
+    found = F.transform(found, lambda x: F.struct(F.lower(x["label"]).alias("label"), F.trim(x["value"]).alias("value")))
+    one_line = F.size(F.split(F.trim(body), r"\r?\n")) <= 1
+    return F.when(one_line, found) if every else F.lit(None).cast("array<struct<label:string,value:string>>")
 
 
-def by_lines(body: Column, f: Field, others: list[Field]) -> Column:
+def _first(found: Column, names: tuple[str, ...], form) -> list[Column]:
+    """For each name, struct(value, label) of the first entry under it."""
+    out = []
+    for name in names:
+        hit = F.get(F.filter(found, lambda x: x["label"] == form(name)), F.lit(0))  # noqa: B023 (built at once)
+        out.append(F.when(hit.isNotNull(), F.struct(hit["value"].alias("value"), F.lit(name).alias("label"))))
+    return out
+
+
+def by_lines(body: Column, f: Field) -> Column:
     """struct(value, label): the first line under one of the labels, in the labels' order. Empty values count."""
-    found = _labelled(body)
-    picks = []
-    for name in f.labels:
-        hit = F.get(F.filter(found, _under(name)), F.lit(0))
-        picks.append(F.when(hit.isNotNull(), F.struct(hit["value"].alias("value"), F.lit(name).alias("label"))))
-    return F.coalesce(*picks, by_flat(body, f, others))
+    return F.coalesce(*_first(F.col("_lines"), f.labels, lambda n: F.lit(text.folded_lower(n))), by_flat(body, f))
 
 
-def by_flat(body: Column, f: Field, others: list[Field]) -> Column:
+def by_flat(body: Column, f: Field) -> Column:
     """The text between a label and the next declared label, where line breaks were lost."""
-    every = sorted({n for o in others for n in o.labels}, key=lambda n: (-len(n), n))
-    stops = "|".join(re.escape(n) for n in every)
-    flat = F.size(F.split(F.trim(body), r"\r?\n")) <= 1
-    picks = []
-    for name in f.labels:
-        pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){re.escape(name)}\s*:(.*?)(?=(?<![\p{{L}}\p{{N}}_])(?:{stops})\s*:|$)"
-        picks.append(F.when(flat & body.rlike(pattern), F.struct(F.trim(F.regexp_extract(body, pattern, 1)).alias("value"), F.lit(name).alias("label"))))
-    return F.coalesce(*picks)
+    return F.coalesce(*_first(F.col("_flat"), f.labels, lambda n: F.lower(F.lit(n))), F.lit(None).cast("struct<value:string,label:string>"))
 
 
-def by_pattern(body: Column, f: Field, others: list[Field]) -> Column:
+def by_pattern(body: Column, f: Field) -> Column:
     """Group 1 of the pattern, or all of it without groups; case is ignored and ^ and $ are line ends."""
     own = "(?im)" + f.pattern.replace("(?P<", "(?<")
     try:
@@ -124,13 +128,15 @@ def by_pattern(body: Column, f: Field, others: list[Field]) -> Column:
     return F.when(body.rlike(own), F.struct(F.trim(F.regexp_extract(body, own, group)).alias("value"), F.lit(None).cast("string").alias("label")))
 
 
-def by_path(body: Column, f: Field, others: list[Field]) -> Column:
+def by_path(body: Column, f: Field) -> Column:
     """The value at a dotted path of a JSON text; numbers in the path are list places; objects stay JSON."""
     steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in f.pattern.split("."))
     found = F.get_json_object(body, f"${steps}")
     return F.when(found.isNotNull(), F.struct(found.alias("value"), F.lit(None).cast("string").alias("label")))
 
 
+#: What an extractor reads once a row, before its fields are looked up in it.
+PREPARED = {"lines": {"_lines": lambda body, fields: _labelled(body), "_flat": _flattened}, "flat": {"_flat": _flattened}}
 EXTRACTORS = {"lines": by_lines, "flat": by_flat, "pattern": by_pattern, "path": by_path}
 
 
@@ -146,13 +152,24 @@ def convert(f: Field, found: Column) -> list[Column]:
     return [one[f.type](value).alias(f.column)]
 
 
+def once(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows``, with those columns computed once a row: no filter or projection above repeats their expressions."""
+    if not columns:
+        return rows
+    return rows.select(*(c for c in rows.columns if c not in columns), F.inline(F.array(F.struct(*columns))))
+
+
 def extract(raw: DataFrame, model: Model, body: str) -> DataFrame:
     """row_key, the typed columns, missing (required columns without a value) and extracted (JSON) of each raw row."""
     model.check()
     rows = raw.filter(F.expr(model.filter)) if model.filter.strip() else raw
     read = EXTRACTORS[model.extractor]
     key = hashing.row_key(rows.columns, model.key_columns)
-    found = rows.select(key.alias("row_key"), *(F.trim(F.col(c).cast("string")).alias(c) for c in model.context), *(read(F.col(body), f, model.fields).alias(f"_f_{f.column}") for f in model.fields))
+    ready = {name: make(F.col(body), model.fields) for name, make in PREPARED.get(model.extractor, {}).items()}
+    context = [F.trim(F.col(c).cast("string")).alias(c) for c in model.context]
+    found = once(rows.select(key.alias("row_key"), *context, F.col(body).alias("_body"), *(c.alias(n) for n, c in ready.items())), list(ready))
+    values = [read(F.col("_body"), f).alias(f"_f_{f.column}") for f in model.fields]
+    found = once(found.select("row_key", *model.context, *values), [f"_f_{f.column}" for f in model.fields])
     columns = [c for f in model.fields for c in convert(f, F.col(f"_f_{f.column}"))]
     typed = found.select("row_key", *model.context, *columns, F.to_json(F.struct(*(F.col(f"_f_{f.column}.value").alias(f.column) for f in model.fields))).alias("extracted"))
     missing = [F.when(text.is_blank(F.col(f.column)), F.lit(f.column)) for f in model.fields if f.required]

@@ -1,6 +1,7 @@
 """Read-only SQL over allowed tables. Spark's own parser reads the text; this module only looks at what it made.
 
-Everything is an allow-list: kinds of nodes, table names, and a deny-list of functions that leave the engine.
+Everything is an allow-list: kinds of nodes, kinds of expressions, table names, and functions: the engine's own ones
+by their plain names, without those that leave the engine or tell about it.
 Names are checked where they stand, so that a CTE hides a table only in the query that declares it. The query then
 runs in a session that holds nothing but the allowed views.
 """
@@ -11,6 +12,7 @@ import re
 import threading
 import uuid
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,23 @@ NODES = frozenset(
     "UnresolvedWith UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedInlineTable LocalRelation OneRowRelation WithWindowDefinition "
     "UnresolvedOrderBy LateralJoin Pivot Unpivot Window Generate RepartitionByExpression Tail UnresolvedTableAlias ResolvedInlineTable".split()
 )
+#: What an expression of such a query is made of, as the parser names it.
+EXPRESSIONS = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedStarExcept UnresolvedFunction UnresolvedAlias MultiAlias Alias Literal UnresolvedExtractValue UnresolvedOrdinal "
+    "And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual In InSubquery ListQuery Exists ScalarSubquery LateralSubquery "
+    "IsNull IsNotNull IsUnknown IsNotUnknown Add Subtract Multiply Divide Remainder IntegralDivide UnaryMinus UnaryPositive BitwiseAnd BitwiseOr BitwiseXor BitwiseNot "
+    "CaseWhen If Coalesce Cast Concat Like ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Between SortOrder NamedArgumentExpression "
+    "WindowExpression UnresolvedWindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ CurrentRow$ UnboundedPreceding$ UnboundedFollowing$ "
+    "CurrentDate CurrentTimestamp LocalTimestamp Now CurrentTimeZone Extract TimestampAdd TimestampDiff DateAdd DateSub "
+    "Substring StringTrim StringTrimLeft StringTrimRight StringTrimBoth StringLocate Overlay CreateNamedStruct CreateStruct UnresolvedNamedLambdaVariable LambdaFunction "
+    "GroupingSets Cube Rollup BaseGroupingSets First Last AnyValue Collate UnresolvedCollation".split()
+)
 #: With this set a text in double quotes is a name, as in other dialects.
 QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
-FORBIDDEN_FUNCTIONS = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length raise_error sleep".split())
+FORBIDDEN_FUNCTIONS = frozenset(
+    "java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length raise_error assert_true sleep current_user session_user user current_catalog current_database current_schema version "
+    "spark_partition_id monotonically_increasing_id from_avro to_avro from_protobuf to_protobuf schema_of_avro http_request try_http_request".split()
+)
 
 
 @dataclass
@@ -65,16 +81,25 @@ def _walk(node, hidden: frozenset, found: set[str], problems: list[str]) -> None
 
 def _expressions(node, hidden: frozenset, found: set[str], problems: list[str]) -> None:
     kind = node.getClass().getSimpleName()
+    if kind not in EXPRESSIONS:
+        problems.append(f"{kind} is not part of a read-only query")
+        return
     if kind == "UnresolvedFunction":
-        name = ".".join(_items(node.nameParts())).lower()
-        if name.split(".")[-1] in FORBIDDEN_FUNCTIONS:
-            problems.append(f"the function {name} is not allowed")
-    if hasattr(node, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "ArraySubquery"):
+        parts = [x.lower() for x in _items(node.nameParts())]
+        if len(parts) > 1 or parts[0] in FORBIDDEN_FUNCTIONS or parts[0] not in _functions(SparkSession.active()):
+            problems.append(f"the function {'.'.join(parts)} is not allowed")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
         _walk(node.plan(), hidden, found, problems)
     for child in _items(node.children()):
         _expressions(child, hidden, found, problems)
 
 
+@lru_cache(1)
+def _functions(spark: SparkSession) -> frozenset[str]:
+    """The engine's own functions, without those that users or tables of a catalog add."""
+    return frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
+
+
 def check(spark: SparkSession, sql: str, tables: set[str]) -> Verdict:
     """Whether ``sql`` is one read-only query over ``tables`` that reads at least one of them."""
     text, before = re.sub(r";\s*$", "", sql.strip()), spark.conf.get(QUOTED)
@@ -118,7 +143,10 @@ def session_of(spark: SparkSession, views: dict[str, DataFrame], zone: str = "UT
     for name, df in views.items():
         passed = f"v{uuid.uuid4().hex}"
         df.createGlobalTempView(passed)
-        own.table(f"global_temp.{passed}").createTempView(name)
+        try:
+            own.table(f"global_temp.{passed}").createTempView(name)
+        finally:  # the new view holds the plan itself
+            spark.catalog.dropGlobalTempView(passed)
     return own
 
 

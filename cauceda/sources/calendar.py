@@ -26,7 +26,7 @@ COLUMNS = (
     "organizador", "invitados", "propiedades", "raw_evento",
 )
 #: What a cancelled event keeps of its stored row.
-KEPT_WHEN_CANCELLED = tuple(c for c in COLUMNS if c not in ("calendar_id", "recurso", "evento_id", "estado", "actualizado_en"))
+KEPT_WHEN_CANCELLED = tuple(c for c in COLUMNS if c not in ("calendar_id", "evento_id", "estado", "actualizado_en", "raw_evento"))
 
 
 def instant(text: Column) -> Column:

@@ -13,8 +13,11 @@ def csv_tables(spark: SparkSession, paths: dict[str, str], separator: str = ",",
     """A table for each path, all columns text, headers made into column names. Short rows are filled with null."""
     out = {}
     for name, path in paths.items():
-        df = spark.read.csv(path, header=True, sep=separator, encoding=encoding, multiLine=True, escape='"', mode="PERMISSIVE")
-        out[naming.identifier(name)] = df.toDF(*naming.headers(df.columns))
+        how = {"sep": separator, "encoding": encoding, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"}
+        first = spark.read.csv(path, header=False, **how).first()  # as data: a reader of headers renames repeated ones itself
+        names = naming.headers(list(first or ()))
+        kinds = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        out[naming.identifier(name)] = spark.read.schema(kinds).csv(path, header=True, enforceSchema=True, **how)
     return out
 
 

@@ -95,7 +95,7 @@ def messages_of(raw: DataFrame) -> DataFrame:
     return raw.select("mailbox", "folder", "uid", "content").mapInPandas(run, CONTRACT)
 
 
-def messages(spark: SparkSession, path: str, mailbox: str, folder: str = "INBOX", newest: int | None = 500) -> DataFrame:
+def messages(spark: SparkSession, path: str, mailbox: str, folder: str = "INBOX", newest: int | None = None) -> DataFrame:
     """The messages of files named <uid>.eml under ``path``; of more than ``newest`` those of highest uid."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
     uid = F.regexp_extract("path", r"([^/]+)\.eml$", 1)

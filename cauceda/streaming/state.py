@@ -61,9 +61,11 @@ def throttle(events: DataFrame, key: str, ts: str, row_id: str, most: int = 12,
     return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, f"row_id {kind}, admitted boolean")
 
 
-def throttle_stream(events: DataFrame, key: str, ts: str, row_id: str, most: int = 12, seconds: float = 60) -> DataFrame:
-    """As ``throttle`` over a stream; a key's state goes once it has been silent that long."""
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
+def throttle_stream(events: DataFrame, key: str, ts: str, row_id: str, most: int = 12, seconds: float = 60, late: str = "1 hour") -> DataFrame:
+    """As ``throttle`` over a stream, in which events come at most ``late``. A key's state goes once the watermark has
+    passed its last admitted event by ``seconds``."""
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.col(ts).cast("timestamp").alias("ts"))
+    rows = rows.withColumn("at", F.unix_micros("ts") / 1e6).withWatermark("ts", late)
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,10 +76,11 @@ def throttle_stream(events: DataFrame, key: str, ts: str, row_id: str, most: int
         group = pd.concat(list(batches)).sort_values(["at", "row_id"])
         passed = admit(group["at"].tolist(), held, most, seconds)
         state.update((list(held),))
-        state.setTimeoutDuration(int(seconds * 1000))
+        last = max((t for t in held if t == t), default=0.0)
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"row_id": group["row_id"], "admitted": passed})
 
-    return rows.groupBy("key").applyInPandasWithState(run, f"row_id {kind}, admitted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, f"row_id {kind}, admitted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def delivery(events: DataFrame) -> DataFrame:
