@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ SIGNS = {"$": "USD", "₡": "CRC", "€": "EUR"}
 AMOUNT = r"([A-Z]{3}|[$₡€])?\s*(-?[0-9.,]+)\s*([A-Z]{3}|[$₡€])?"
 
 
+def bound(col: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(col)`` with ``col`` computed once, however often ``of`` names it."""
+    return F.get(F.transform(F.array(col), of), F.lit(0))
+
+
 def _count(col: Column, char: str) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(char), F.lit("")))
 
@@ -32,7 +39,10 @@ def parse_number(col: Column) -> Column:
     Of two kinds of separator the last is the decimal one. One kind alone marks thousands if it occurs more than
     once or exactly three digits follow it (so 0.125 reads as 125), else decimals.
     """
-    text = F.regexp_replace(col.cast("string"), "[^0-9.,-]", "")
+    return bound(F.regexp_replace(col.cast("string"), "[^0-9.,-]", ""), _of_either)
+
+
+def _of_either(text: Column) -> Column:
     dots, commas = _count(text, "."), _count(text, ",")
     no_dots, no_commas = F.replace(text, F.lit("."), F.lit("")), F.replace(text, F.lit(","), F.lit(""))
     both = F.when(_after_last(text, ".") < _after_last(text, ","), no_commas).otherwise(F.replace(no_dots, F.lit(","), F.lit(".")))
@@ -51,24 +61,30 @@ def parse_integer(col: Column) -> Column:
 def parse_amount(col: Column) -> Column:
     """struct(currency, amount) of the first amount in a text."""
     text = F.trim(F.coalesce(col.cast("string"), F.lit("")))
-    sign = F.coalesce(*(F.nullif(F.regexp_extract(text, AMOUNT, g), F.lit("")) for g in (1, 3)))
+    return bound(F.struct(*(F.regexp_extract(text, AMOUNT, g).alias(f"g{g}") for g in (1, 2, 3))), _money)
+
+
+def _money(groups: Column) -> Column:
+    sign = F.coalesce(*(F.nullif(groups[g], F.lit("")) for g in ("g1", "g3")))
     code = sign
     for s, c in SIGNS.items():
         code = F.when(sign == s, F.lit(c)).otherwise(code)
-    amount = F.when(text.rlike(AMOUNT), parse_number(F.regexp_extract(text, AMOUNT, 2)))
-    return F.struct(code.alias("currency"), amount.alias("amount"))
+    return F.struct(code.alias("currency"), parse_number(groups["g2"]).alias("amount"))
 
 
 def clean_number(col: Column, decimal_comma: bool) -> Column:
     """A cell of a column of declared convention: the other separator alone is decimal unless it groups thousands."""
     mark, other = (",", ".") if decimal_comma else (".", ",")
-    text = F.regexp_replace(F.trim(col.cast("string")), r"[\s ₡$€%]", "")
-    plain = F.replace(text, F.lit(other), F.lit(""))
-    both = F.replace(plain, F.lit(mark), F.lit("."))
-    grouped = text.rlike(rf"^-?[0-9]{{1,3}}(\{other}[0-9]{{3}})+$")
-    alone = F.when(grouped, plain).otherwise(F.replace(text, F.lit(other), F.lit(".")))
-    has_mark, has_other = F.contains(text, F.lit(mark)), F.contains(text, F.lit(other))
-    return _as_double(F.when(has_mark & has_other, both).when(has_mark, F.replace(text, F.lit(mark), F.lit("."))).when(has_other, alone).otherwise(text))
+
+    def read(text: Column) -> Column:
+        plain = F.replace(text, F.lit(other), F.lit(""))
+        both = F.replace(plain, F.lit(mark), F.lit("."))
+        grouped = text.rlike(rf"^-?[0-9]{{1,3}}(\{other}[0-9]{{3}})+$")
+        alone = F.when(grouped, plain).otherwise(F.replace(text, F.lit(other), F.lit(".")))
+        has_mark, has_other = F.contains(text, F.lit(mark)), F.contains(text, F.lit(other))
+        return _as_double(F.when(has_mark & has_other, both).when(has_mark, F.replace(text, F.lit(mark), F.lit("."))).when(has_other, alone).otherwise(text))
+
+    return bound(F.regexp_replace(F.trim(col.cast("string")), r"[\s ₡$€%]", ""), read)
 
 
 def format_number_es(col: Column, places: int = 2) -> Column:

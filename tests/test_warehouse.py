@@ -129,6 +129,8 @@ def test_calendar_and_ads_contracts(spark):
     "DROP TABLE ventas", "INSERT INTO ventas VALUES (1)", "SELECT 1", "SELECT * FROM hidden", "SELECT * FROM ventas; SELECT 1", "SELECT * FROM a.ventas",
     "SELECT * FROM parquet.`/etc`", "SELECT java_method('a', 'b') FROM ventas", "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden, ventas", "SET x = 1",
     "SELECT * FROM ventas WHERE a IN (SELECT a FROM hidden)", "SELECT (SELECT max(a) FROM hidden) FROM ventas", "SELECT * FROM range(5)", "EXPLAIN SELECT * FROM ventas",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') FROM ventas", "SELECT * FROM IDENTIFIER('hidden'), ventas", "SELECT builtin.reflect('a', 'b') FROM ventas",
+    "SELECT a FROM ventas WHERE a IN (SELECT a FROM ventas WHERE EXISTS (SELECT java_method('a', 'b') FROM ventas))", "SELECT * FROM ventas, explode(array(input_file_name()))", "SELECT no_such_function(a) FROM ventas",
     "SELECT * FROM ventas WHERE EXISTS (SELECT 1 FROM hidden)", "CACHE TABLE ventas", "nonsense", "SELECT * FROM (WITH ventas AS (SELECT 1 AS a) SELECT * FROM ventas) x JOIN hidden",
 ])
 def test_the_guard_refuses(spark, sql):
@@ -147,6 +149,22 @@ def test_the_guard_admits_and_runs(spark, sql):
     guard.run(spark, views, sql)
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT CASE WHEN a BETWEEN 0 AND 1 THEN 'x' ELSE upper('y') END AS k, CAST(sum(a) AS DOUBLE) / NULLIF(count(DISTINCT a), 0) FROM ventas GROUP BY 1", "SELECT * FROM ventas WHERE a IS NOT NULL AND NOT (a LIKE '1%' OR a RLIKE '2')",
+    "SELECT date_trunc('month', current_date), extract(YEAR FROM current_date), coalesce(a, 0) || 'x', -a % 2 FROM ventas", "SELECT a, grouping(a), count(*) FILTER (WHERE a > 1) FROM ventas GROUP BY ROLLUP (a) ORDER BY a DESC NULLS LAST",
+    "SELECT a, rank() OVER w, lag(a) OVER (PARTITION BY a ORDER BY a ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM ventas WINDOW w AS (ORDER BY a)", "SELECT trim(substring(CAST(a AS STRING), 1, 2)), transform(array(a), x -> x + 1) FROM ventas",
+    "SELECT * FROM ventas v WHERE NOT EXISTS (SELECT 1 FROM ventas w WHERE w.a = v.a + 1)",
+])
+def test_the_guard_admits_usual_expressions(spark, sql):
+    verdict = guard.check(spark, sql, {"ventas"})
+    assert verdict.ok, verdict
+
+
+def test_passed_views_go(spark):
+    guard.run(spark, {"ventas": spark.range(2).toDF("a")}, "SELECT a FROM ventas")
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("v") and len(t.name) == 33]
+
+
 def test_runs_are_capped_isolated_and_stopped(spark):
     spark.range(3).createOrReplaceTempView("secret")
     views = {"ventas": spark.range(1000).toDF("a")}
@@ -173,6 +191,10 @@ def test_questions():
     assert kpis.requested_columns("dame solo monto mensual y categoría", columns) == ["monto_mensual", "categoria"]
     assert kpis.requested_columns("solo categoria vivienda", columns) == columns
     assert kpis.requested_columns("sin línea id", columns) == ["categoria", "monto_mensual"]
+    assert kpis.requested_columns("no muestres la categoria", columns) == ["linea_id", "monto_mensual"]
+    assert kpis.requested_columns("solo rubro y %", ["concepto", "pct_uso", "monto"]) == ["concepto", "pct_uso"]
+    assert kpis.requested_columns("categoria, nada más", columns) == columns and kpis.requested_columns("la respuesta es categorias nada mas", columns) == ["categoria"]
+    assert kpis.names_period("últimos 3 meses") and kpis.names_period("el mes pasado") and kpis.names_period("en 2025") and not kpis.names_period("mes a mes")
 
 
 def test_rendering_shows_cells_only():
