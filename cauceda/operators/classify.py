@@ -41,6 +41,15 @@ def pivot_overrides(overrides: DataFrame, columns: list[str]) -> DataFrame:
     return overrides.filter(F.col("column").isin(columns)).groupBy("row_key").agg(*picked)
 
 
+def correct(df: DataFrame, overrides: DataFrame, columns: list[str], key: str = "row_key") -> DataFrame:
+    """``df`` with the values given by hand in ``columns``; one that is not of the column's type changes nothing."""
+    if not columns:
+        return df
+    picked, kinds = pivot_overrides(overrides, columns).withColumnRenamed("row_key", "_row_key"), dict(df.dtypes)
+    met = df.join(picked, df[key] == picked["_row_key"], "left")
+    return met.select(*(F.coalesce(F.col(f"_o_{c}").try_cast(kinds[c]), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
 def classify(df: DataFrame, column: str, target: str, rules: list[Rule], mapping: DataFrame | None = None, overrides: DataFrame | None = None, dimension: str = "", key: str = "row_key") -> DataFrame:
     """``df`` with ``target``. mapping: dimension, folded, label. A mapping of blank dimension serves any."""
     out = df.withColumn("_folded", text.fold(F.col(column)))

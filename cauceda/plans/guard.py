@@ -168,6 +168,30 @@ def run(spark: SparkSession, views: dict[str, DataFrame], sql: str, limit: int =
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def answer(spark: SparkSession, views: dict[str, DataFrame], question: str, propose, limit: int = 500, timeout: float = 8.0) -> tuple[str, list[str], list[tuple]]:
+    """(sql, columns, rows) of a proposed query. ``propose(question, reason)`` is asked once more with the reason for
+    which its first query was refused or failed; a second refusal raises PermissionError."""
+    reason = ""
+    for _ in range(2):
+        sql = propose(question, reason)
+        verdict = check(spark, sql, set(views))
+        if not verdict.ok:
+            reason = verdict.reason
+        elif not fits_period(question, sql):
+            reason = "the question and the query are of different periods"
+        else:
+            try:
+                return sql, *run(spark, views, sql, limit, timeout)
+            except Exception as error:  # Spark's own message is the reason
+                reason = " ".join(str(error).split())[:200]
+    raise PermissionError(reason)
+
+
+def last_valid(spark: SparkSession, history: list[str], tables: set[str]) -> str | None:
+    """The newest query of a conversation that is still admitted, for a question that only follows it up."""
+    return next((sql for sql in reversed(history) if sql and check(spark, sql, tables).ok), None)
+
+
 def canonical(spark: SparkSession, views: dict[str, DataFrame], formula: str) -> DataFrame:
     """A KPI's formula over the logical names of its tables. The views carry those names, so nothing is rewritten."""
     verdict = check(spark, formula, set(views))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,10 @@ from cauceda.operators import upsert as versions
 
 RUN_LOG = "run_id string, tenant string, source_id string, status string, started timestamp, finished timestamp, rows bigint, detail string, alerts string"
 
+#: What the table that is being replaced is called meanwhile, and the ends of names that users do not see.
+WAS = "__was"
+HIDDEN = r"__(rechazos|was|[0-9a-f]{8})$"
+
 
 def with_lineage(df: DataFrame, run_id: str, source_id: str, at: Column) -> DataFrame:
     """Where a row came from; one constant timestamp for the run."""
@@ -33,8 +38,12 @@ def contract(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 class Warehouse:
-    """Writes to catalog tables of one tenant. A table is written aside and then takes its name, so readers see
-    the old rows or the new ones; between drop and rename there is a moment without the table."""
+    """Writes to catalog tables of one tenant. A table is written aside and then shown under its name.
+
+    Where the columns stay the same that is one change of the table's location, so readers see the old rows or the
+    new ones. Where they change, or the table is partitioned, the old table is renamed, the new one takes the name
+    and the old one goes; ``exists`` gives it its name back if a crash came in between.
+    """
 
     def __init__(self, spark: SparkSession, tenant: str):
         self.spark = spark
@@ -43,16 +52,56 @@ class Warehouse:
             spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
 
     def exists(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(name)
-
-    def swap(self, df: DataFrame, name: str, partition: tuple[str, ...] = (), sort: tuple[str, ...] = ()) -> None:
-        """Full refresh. ``df`` may read the table that it replaces."""
-        schema, table = name.split(".")
-        aside = f"{schema}.{table}__{uuid.uuid4().hex[:8]}"
+        found = self.spark.catalog.tableExists(name)
+        if not found and self.spark.catalog.tableExists(f"{name}{WAS}"):
+            self._rename(f"{name}{WAS}", name)
+            return True
+        return found
+
+    def tables(self, schema: str) -> list[str]:
+        """The tables that users see: none of the library's own, no rejects, none written aside."""
+        return sorted(t.name for t in self.spark.catalog.listTables(schema) if not t.isTemporary and not t.name.startswith("_") and not re.search(HIDDEN, t.name))
+
+    def location(self, name: str) -> str:
+        return self.spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()["data_type"]
+
+    def stage(self, df: DataFrame, name: str, partition: tuple[str, ...] = (), sort: tuple[str, ...] = ()) -> str:
+        """Write ``df`` beside ``name``, to be published or dropped; returns where."""
+        aside = f"{name}__{uuid.uuid4().hex[:8]}"
         writer = (df.sortWithinPartitions(*sort) if sort else df).write.format("parquet")
         (writer.partitionBy(*partition) if partition else writer).saveAsTable(aside)
+        return aside
+
+    def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+
+    def _rename(self, old: str, new: str) -> None:
+        """A renamed table may still look for its partitions in the old folder: those go and are found anew."""
+        self.spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+        if any(c.isPartition for c in self.spark.catalog.listColumns(new)):
+            self.spark.sql(f"MSCK REPAIR TABLE {new} SYNC PARTITIONS")
+
+    def publish(self, aside: str, name: str) -> None:
+        """Show what was written aside as ``name``."""
+        if not self.exists(name):
+            self._rename(aside, name)
+            return
+        shapes = [[(f.name, f.dataType) for f in self.spark.table(t).schema.fields] for t in (name, aside)]
+        if shapes[0] == shapes[1] and not any(c.isPartition for t in (name, aside) for c in self.spark.catalog.listColumns(t)):
+            old, new = self.location(name), self.location(aside)
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{new}'")
+            self.spark.sql(f"ALTER TABLE {aside} SET LOCATION '{old}'")
+            self.spark.catalog.refreshTable(name)
+            self.drop(aside)
+            return
+        self.drop(f"{name}{WAS}")
+        self._rename(name, f"{name}{WAS}")
+        self._rename(aside, name)
+        self.drop(f"{name}{WAS}")
+
+    def swap(self, df: DataFrame, name: str, partition: tuple[str, ...] = (), sort: tuple[str, ...] = ()) -> None:
+        """Full refresh. ``df`` may read the table that it replaces."""
+        self.publish(self.stage(df, name, partition, sort), name)
 
     def refresh(self, df: DataFrame, source: str, table: str, run_id: str) -> str:
         name = f"{self.raw}.{naming.raw_table(source, table)}"
