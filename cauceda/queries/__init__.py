@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cauceda.queries import analytics, governed, landing, scalars, semantic
+from cauceda.queries import analytics, governed, jobs, landing, scalars, semantic
 
-MODULES = (analytics, scalars, semantic, landing, governed)
+MODULES = (analytics, scalars, semantic, landing, governed, jobs)
 
 
 def queries():

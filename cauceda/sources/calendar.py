@@ -54,6 +54,12 @@ def events_of(raw: DataFrame) -> DataFrame:
     return out.withColumn("version_hash", hashing.content_hash(*COLUMNS))
 
 
+def window(df: DataFrame, now: Column, back: int = 30, ahead: int = 60) -> DataFrame:
+    """Events that end after ``back`` days ago and begin before ``ahead`` days from now, and cancelled ones."""
+    near = (F.col("fin") > now - F.make_interval(days=F.lit(back))) & (F.col("inicio") < now + F.make_interval(days=F.lit(ahead)))
+    return df.filter((F.col("estado") == "cancelled") | near)
+
+
 def events(spark: SparkSession, paths: dict[str, tuple[str, str]]) -> DataFrame:
     """The events of several calendars' files of one event a line. paths: calendar id -> (resource, path)."""
     parts = [spark.read.text(path).select(F.lit(c).alias("calendar_id"), F.lit(r).alias("recurso"), F.col("value").alias("event")) for c, (r, path) in paths.items()]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cauceda.operators import build
-from cauceda.plans import guard, render
+from cauceda.plans import guard, memory, render
 from cauceda.sources import sinks, sync
 
 
@@ -144,3 +144,16 @@ def test_movements_and_drawings():
     assert render.without_drawings(drawn) == ("Ventas:\n\nFin de todo", True)
     plain = "a\n----------\nb\n----------\nc"
     assert render.without_drawings(plain) == (plain, False)
+
+
+def test_memory(spark, house):
+    kept = memory.Memory(house)
+    assert kept.recall("t", "1") == []
+    for i in range(3):
+        kept.remember("t", "1", f"q{i}", f"a{i}", "SELECT 1")
+    kept.remember("t", "2", "other", "answer")
+    kept.remember("t", "1", "no answer", "")
+    assert [r["content"] for r in kept.recall("t", "1", most=4)] == ["q1", "a1", "q2", "a2"] and kept.recall("t", "1", hours=0) == []
+    kept.forget("t", "1")
+    kept.purge()
+    assert kept.recall("t", "1") == [] and [r["role"] for r in kept.recall("t", "2")] == ["user", "assistant"]
