@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cauceda.operators import build
 from cauceda.plans import guard, memory, render
-from cauceda.sources import sinks, sync
+from cauceda.sources import sinks, sync, workbook
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +157,13 @@ def test_memory(spark, house):
     kept.forget("t", "1")
     kept.purge()
     assert kept.recall("t", "1") == [] and [r["role"] for r in kept.recall("t", "2")] == ["user", "assistant"]
+
+
+def test_a_written_workbook_is_read_again(spark, tmp_path):
+    rows = [("a <&> ñ", 1.5, dt.date(2026, 8, 9), None), ("x\x01", 7, dt.datetime(2026, 8, 9, 12), "=1+1")]
+    (tmp_path / "out.xlsx").write_bytes(sinks.xlsx_bytes(["Qué", "Monto", "Día", "Nota"], rows * 3, most=2))
+    tables, alerts = workbook.sheets(spark, str(tmp_path / "*.xlsx"))
+    got = sorted(tuple(r) for r in tables["datos"].collect())
+    assert not alerts and tables["datos"].columns == ["que", "monto", "dia", "nota"]
+    assert got == [("a <&> ñ", "1.5", "46243.0", ""), ("x", "7", "46243.5", "=1+1")]
+    assert [sinks.column_letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and sinks.xlsx_bytes([], [])
