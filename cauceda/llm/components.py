@@ -8,24 +8,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import materialize
+from cauceda.llm.common import discard, materialize
 
 #: Nodes of a task's own edges that it holds at once, about.
 NODES = 250_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is linked to the node's smallest neighbour, itself included."""
+    """Every neighbour above a node is linked to the node's smallest neighbour, itself included. ``edges`` are removed."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "least")
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    linked = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
+    made = materialize(linked.distinct(), "edges")
+    discard(edges, least)
+    return made
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour below a node, and the node, are linked to the smallest of them. Here b < a."""
+    """Every neighbour below a node, and the node, are linked to the smallest of them. Here b < a. ``edges`` are removed."""
     least = materialize(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     below = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return below.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
+    linked = below.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b")
+    made = materialize(linked.distinct(), "edges")
+    discard(edges, least)
+    return made
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -72,5 +78,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        now = materialize(_small_star(materialize(_large_star(now), "edges")), "edges")
+        now = _small_star(_large_star(now))
     raise RuntimeError("the components did not settle")

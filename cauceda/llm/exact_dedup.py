@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import materialize, read_table
+from cauceda.llm.common import discard, materialize, read_table
 
 #: Tables of keys or slots up to so many rows (of some 20 bytes) are broadcast, longer ones are shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -59,6 +59,7 @@ def directory(keys: DataFrame, capacity: int) -> list[tuple[int, DataFrame]]:
         bucket = F.expr(f"shiftleft(shiftrightunsigned(slot, {bits} - local_depth), {bits} - local_depth)")
         bucket = F.shiftleft(bucket, 64 - bits) if bits else F.lit(0).cast("long")
         local = materialize(local.withColumn("bucket", bucket), "exact-directory")
+        discard(slots)
         tables.append((bits, local))
         left = left.withColumn("slot", top("key", bits)).join(small(local), "slot", "left_anti").select("key")
         if bits == 64:
@@ -95,7 +96,9 @@ def build_index(rows: DataFrame, capacity: int) -> tuple[DataFrame, list[tuple[i
     owned = parts.repartitionByRange("bucket", "key")
     merged = owned.groupBy(*names).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256"))
-    return materialize(merged.withColumn("chain", chain).drop("body"), "exact-index"), tables
+    index = materialize(merged.withColumn("chain", chain).drop("body"), "exact-index")
+    discard(keys, parts)
+    return index, tables
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 14) -> DataFrame:

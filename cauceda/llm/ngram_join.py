@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cauceda.llm.common import list_column, materialize, read_table, slices, utf8_column
+from cauceda.llm.common import discard, list_column, materialize, read_table, slices, utf8_column
 from cauceda.llm.components import components
 from cauceda.llm.hashing import constants, mix, ragged
 from cauceda.llm.words import inside, run_hashes, word_hashes, words
@@ -240,14 +240,14 @@ def prefixes(counted: DataFrame) -> DataFrame:
     return by_bucket(counted, 2, of)
 
 
-def sets_and_prefixes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node, key) of every row, and (ref, token): the shared prefix tokens of the nodes that have any."""
+def sets_and_prefixes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node, key) of every row; (ref, token), the shared prefix tokens of the nodes that have any; and the written table of both."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size / 6 / RANGE, 2))), 1, 30))
     rows = docs.select("doc_id", "text", "key", F.xxhash64("doc_id", "text").alias("deal"))
     both = materialize(prefixes(count_tokens(send(rows, width, percent, bits), bits)), "ngram-sets")
     sets = both.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "key")
-    return sets, both.filter("kind = 3").select(F.col("node").alias("ref"), F.col("key").alias("token"))
+    return sets, both.filter("kind = 3").select(F.col("node").alias("ref"), F.col("key").alias("token")), both
 
 
 def candidate_groups(posts: DataFrame) -> DataFrame:
@@ -255,6 +255,7 @@ def candidate_groups(posts: DataFrame) -> DataFrame:
     shared = posts.groupBy("token").agg(F.min("ref").alias("a"), F.max("ref").alias("last")).filter("a < last").select("token", "a")
     shared = materialize(shared, "ngram-shared")
     found = components(posts.join(shared, "token").select("a", F.col("ref").alias("b")))
+    discard(shared)
     return found.select(F.col("node").alias("ref"), F.col("component").alias("group"))
 
 
@@ -396,7 +397,9 @@ def place(members: DataFrame, block_nodes: int) -> DataFrame:
     classes = counts.groupBy("group").agg(F.sum("members").alias("all"), F.map_from_entries(F.collect_list(F.struct("size", blocks.alias("blocks")))).alias("blocks"))
     classes = materialize(classes.filter("all > 1").drop("all"), "ngram-classes")
     placed = sized.join(classes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.expr("blocks[size]")).cast("int"))
-    return materialize(placed, "ngram-members")
+    placed = materialize(placed, "ngram-members")
+    discard(classes)
+    return placed
 
 
 def cells(placed: DataFrame) -> DataFrame:
@@ -467,13 +470,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node, key) of every row, and (node, rows, least_id, component, links) of every set that is not empty.
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node, key) of every row; (node, rows, least_id, component, links) of every set that is not empty; the written table of the first.
 
     links is to how many rows of other sets the set links; component is the smallest node reachable.
     """
     rows = keyed(docs, id_col, text_col)
-    sets, posts = sets_and_prefixes(rows, width, percent)
+    sets, posts, both = sets_and_prefixes(rows, width, percent)
     nodes = sets.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("least_id"), F.min("key").alias("key"))
     nodes = materialize(nodes.withColumn("ref", F.shiftrightunsigned("node", 64 - REF)), "ngram-nodes")
     members = nodes.join(candidate_groups(posts), "ref", "left").select("node", F.coalesce("group", "ref").alias("group"), "ref", "rows", "n", "key")
@@ -481,19 +484,24 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lead = posts.join(placed.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(F.collect_list("token").alias("lead"))
     texts = packed(rows, placed.select("node", "key"), width)
     carried = placed.select("node", "ref").join(texts, "node").join(lead, "ref", "left").select("node", "packed", "lead")
-    found = verify(cells(placed).join(materialize(carried, "ngram-texts"), "node"), width, percent)
+    carried = materialize(carried, "ngram-texts")
+    found = verify(cells(placed).join(carried, "node"), width, percent)
+    discard(placed, carried)
     linked = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = nodes.join(linked, "node", "left").join(links, "node", "left")
     whole = whole.select("node", "rows", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    return sets, materialize(whole, "ngram-links")
+    whole = materialize(whole, "ngram-links")
+    discard(nodes, found)
+    return sets, whole, both
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (to how many other rows) of every row of ``docs``."""
-    sets, nodes = ngram_links(docs, id_col, text_col, **options)
+    sets, nodes, _ = ngram_links(docs, id_col, text_col, **options)
     least = materialize(nodes.groupBy("component").agg(F.min("least_id").alias("component_id")), "ngram-least")
     own = materialize(nodes.join(least, "component").select("node", "component_id", (F.col("links") + F.col("rows") - 1).alias("n_links")), "ngram-own")
+    discard(nodes, least)
     empty = F.col("n_shingles") == 0
     linked = sets.filter(~empty).join(own, "node").select("doc_id", "n_shingles", "component_id", "n_links")
     alone = sets.filter(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
@@ -506,12 +514,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of each component the text of the smallest id stays, null ids being the largest and the text's hash deciding ties.
     Rows that repeat both its id and its text stay with it; a text without words is no near copy of anything.
     """
-    sets, nodes = ngram_links(docs, id_col, text_col, **options)
+    sets, nodes, both = ngram_links(docs, id_col, text_col, **options)
     placed = sets.filter("n_shingles > 0").join(nodes.select("node", "component"), "node")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     placed = materialize(placed.select("component", order.alias("own")), "ngram-placed")
+    discard(nodes, both)
     first = materialize(placed.groupBy("component").agg(F.min("own").alias("first")), "ngram-first")
     gone = placed.join(first, "component").filter("own <> first").select(F.col("own.doc_id").alias("_id"), F.col("own.key").alias("_key")).distinct()
+    gone = materialize(gone, "ngram-gone")  # its written size decides whether the documents move for the join
+    discard(placed, first)
     key = F.xxhash64(docs[text_col].cast("string"))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (key == gone["_key"]), "left_anti")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import materialize, read_table, slices, utf8_column
+from cauceda.llm.common import discard, materialize, read_table, slices, utf8_column
 from cauceda.llm.words import inside, run_hashes, word_hashes, words
 
 KEYS = ["doc_id", "text_key"]
@@ -142,8 +142,8 @@ def repeated(places: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranges_of(places: DataFrame) -> DataFrame:
-    """The ranges of each text, once each: rows that repeat id and text name the same ones."""
-    return places.groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("ranges"))
+    """The ranges of each text, once each and written: rows that repeat id and text name the same ones."""
+    return materialize(places.groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("ranges")), "substring-ranges")
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
@@ -184,6 +184,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = materialize(base.select("doc_id", "text_key", F.md5("text").alias("name")), "substring-ids")
     firsts = ids.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = materialize(ids.join(firsts, "name").filter("first < doc_id").select(*KEYS).distinct(), "substring-copies")
+    discard(ids)
 
     *shorter, full = lengths(start, window)
     texts, ranges = base.select(*KEYS, "text"), None
@@ -192,19 +193,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = found if i else found.join(copies, KEYS, "left_anti")
         places = own.select(*KEYS, F.explode("runs").alias("run")).select(*KEYS, "run.*").filter("doc_id IS NOT NULL")
         hot = materialize(repeated(places, ["h"]).select("h"), "substring-hot")
-        ranges = materialize(ranges_of(places.join(hot, "h", "left_semi")), "substring-ranges")
+        ranges = ranges_of(places.join(hot, "h", "left_semi"))
+        discard(found, hot)
         # from here on only texts with candidates are read; they move by a shuffle at any size, as the ranges grow with the data
-        texts = materialize(texts.select(*KEYS, "text").join(ranges.hint("merge"), KEYS).select(*KEYS, "text", "ranges"), "substring-texts")
+        longer = materialize(texts.select(*KEYS, "text").join(ranges.hint("merge"), KEYS).select(*KEYS, "text", "ranges"), "substring-texts")
+        if i:
+            discard(texts)
+        texts = longer
     if ranges is None:
         every = F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("n")))
         texts = texts.filter("doc_id IS NOT NULL").withColumn("ranges", every)
 
     places = materialize(full_windows(texts, window), "substring-windows")
+    if shorter:
+        discard(texts)
     firsts = materialize(repeated(places, ["h", "g"]), "substring-firsts")
     gone = places.join(firsts, ["h", "g"]).filter("first < doc_id")
     removed = gone.groupBy(*KEYS).agg(F.collect_set("at").alias("starts"))
     flags = copies.withColumn("copy", F.lit(True))
     marked = removed.join(flags, KEYS, "full").select(*KEYS, "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = materialize(marked, "substring-marked")
+    discard(places, firsts, copies)
     out = base.join(marked.hint("merge"), KEYS, "left").select(*KEYS, "text", "row", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
     return _kept(out, window)
 

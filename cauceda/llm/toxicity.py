@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import crc_of_id, materialize, read_table, slices, utf8_column
+from cauceda.llm.common import crc_of_id, discard, materialize, read_table, slices, utf8_column
 from cauceda.llm.words import run_hashes, word_hashes, words
 
 #: Second-person words of the languages at hand.
@@ -263,13 +263,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).orderBy("draw", "doc_id").limit(sample)
     drawn = materialize(drawn, "toxicity-sample")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = materialize(sketched(rows.select("doc_id", "label", "draw", "text")), "toxicity-texts")
-    firsts = rows.groupBy("sketch", "label").agg(F.min("draw").alias("draw"))
-    rows = materialize(rows.join(firsts, ["sketch", "label", "draw"], "left_semi").dropDuplicates(["sketch", "label", "draw"]), "toxicity-rows")
+    texts = materialize(sketched(rows.select("doc_id", "label", "draw", "text")), "toxicity-texts")
+    firsts = texts.groupBy("sketch", "label").agg(F.min("draw").alias("draw"))
+    rows = materialize(texts.join(firsts, ["sketch", "label", "draw"], "left_semi").dropDuplicates(["sketch", "label", "draw"]), "toxicity-rows")
     half, keep = F.pmod("draw", F.lit(2)), ("doc_id", "draw", "label")
     crossed = [feature_rows(rows.filter(half == own), learn_lexicon(rows.filter(half != own), entries), keep) for own in (0, 1)]
     found = crossed[0].unionByName(crossed[1]).toArrow().sort_by([("draw", "ascending"), ("doc_id", "ascending")])
     lexicon = learn_lexicon(rows, entries)
+    discard(drawn, texts, rows)
     x = np.array(found["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = found["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
