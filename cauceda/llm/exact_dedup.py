@@ -117,6 +117,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id", "key").distinct()
+    gone = materialize(gone, "exact-gone")  # its written size decides whether the documents move for the join
     key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]) & (key == gone["key"]), "left_anti")
 
