@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cauceda.llm import bpe, exact_dedup, language_id, media, ngram_join, packing, sharding, substring_dedup, toxicity, warc
+from cauceda.llm import bpe, exact_dedup, language_id, media, ngram_join, packing, sharding, substring_dedup, token_files, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_packed_token_files": token_files.op11_packed_token_files,
     }
 
 
