@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cauceda.llm import bpe, exact_dedup, language_id, media, ngram_join, packing, sharding, substring_dedup, token_files, toxicity, warc
+from cauceda.llm import bpe, exact_dedup, language_id, manifest, media, ngram_join, packing, resample, sharding, substring_dedup, token_files, toxicity, warc
 
 
 def queries():
@@ -18,8 +18,10 @@ def queries():
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_packed_token_files": token_files.op11_packed_token_files,
+        "op12_merkle_manifest": manifest.op12_merkle_manifest,
+        "op13_importance_resampling": resample.op13_importance_resampling,
     }
 
 
 def oracle_sql():
-    return {"op5_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op12_merkle_manifest": manifest.ORACLE, "op13_importance_resampling": resample.ORACLE}
