@@ -293,13 +293,13 @@ def op12_merkle_manifest(spark, sf_dir):
 
 
 #: crc32's table by its polynomial, and the bytes of a text; for DuckDB, which has no crc32.
-CRC_TABLE = "SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], (c, x) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))"
+CRC_TABLE = "SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))"
 
 
 def crc_sql(text: str) -> str:
     """DuckDB: the unsigned crc32 of the UTF-8 of ``text``, where a column ``tab`` has the table."""
-    each = f"list_transform(range(0, strlen({text})), i -> ('0x' || substr(hex({text}), 2 * i + 1, 2))::UBIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {each}), (c, x) -> xor(c >> 8, tab[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
+    each = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {each}), lambda c, x: xor(c >> 8, tab[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
 
 
 def leaf_sql(text: str) -> str:
@@ -309,29 +309,29 @@ def leaf_sql(text: str) -> str:
 
 def walk_sql(name: str, start: str, key: str, runs: str) -> str:
     """DuckDB: rows climb through the runs of siblings, one level a step."""
-    others = "list_concat(r.ds[:w.at % 3], r.ds[w.at % 3 + 2:])"
-    with_own = "list_concat(list_concat(r.ds[:w.at % 3], [w.value]), r.ds[w.at % 3 + 2:])"
+    others = "list_concat(r.ds[:w.pos % 3], r.ds[w.pos % 3 + 2:])"
+    with_own = "list_concat(list_concat(r.ds[:w.pos % 3], [w.value]), r.ds[w.pos % 3 + 2:])"
     return f"""{name} AS ({start} UNION ALL
-  SELECT w.* REPLACE (w.level + 1 AS level, w.at // 3 AS at, sha256(array_to_string({with_own}, '')) AS value, w.proof || array_to_string({others}, '') AS proof)
-  FROM {name} w JOIN {runs} r ON {key} AND r.level = w.level AND r.run = w.at // 3)"""
+  SELECT w.* REPLACE (w.level + 1 AS level, w.pos // 3 AS pos, sha256(array_to_string({with_own}, '')) AS value, w.proof || array_to_string({others}, '') AS proof)
+  FROM {name} w JOIN {runs} r ON {key} AND r.level = w.level AND r.run = w.pos // 3)"""
 
 
 ORACLE = f"""
 WITH RECURSIVE crc AS ({CRC_TABLE}),
 leaves AS (SELECT doc_id, source, {leaf_sql("text")} AS leaf,
     CASE WHEN {crc_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {leaf_sql("replace(text, chr(10), '')")} ELSE {leaf_sql("text")} END AS now,
-    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY source) AS n
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
   FROM documents, crc),
-up AS (SELECT source, 0 AS level, at, leaf AS digest, n FROM leaves UNION ALL
-  SELECT source, level + 1, at // 3, sha256(string_agg(digest, '' ORDER BY at)), max((n + 2) // 3) FROM up WHERE n > 1 GROUP BY source, level, at // 3),
-runs AS (SELECT source, level, at // 3 AS run, list(digest ORDER BY at) AS ds FROM up WHERE n > 1 GROUP BY ALL),
-subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS at, count(*) OVER () AS n FROM up WHERE n = 1),
-top AS (SELECT 0 AS level, at, subroot AS digest, n FROM subroots UNION ALL
-  SELECT level + 1, at // 3, sha256(string_agg(digest, '' ORDER BY at)), max((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, at // 3),
-topruns AS (SELECT level, at // 3 AS run, list(digest ORDER BY at) AS ds FROM top WHERE n > 1 GROUP BY ALL),
-{walk_sql("low", "SELECT doc_id, source, leaf, 0 AS level, at, now AS value, '' AS proof FROM leaves", "r.source IS NOT DISTINCT FROM w.source", "runs")},
+up AS (SELECT source, 0 AS level, pos, leaf AS digest, n FROM leaves UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 2) // 3) FROM up WHERE n > 1 GROUP BY source, level, pos // 3),
+runs AS (SELECT source, level, pos // 3 AS run, list(digest ORDER BY pos) AS ds FROM up WHERE n > 1 GROUP BY ALL),
+subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, pos, subroot AS digest, n FROM subroots UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, pos // 3),
+topruns AS (SELECT level, pos // 3 AS run, list(digest ORDER BY pos) AS ds FROM top WHERE n > 1 GROUP BY ALL),
+{walk_sql("low", "SELECT doc_id, source, leaf, 0 AS level, pos, now AS value, '' AS proof FROM leaves", "r.source IS NOT DISTINCT FROM w.source", "runs")},
 ended AS (SELECT doc_id, source, leaf, value, proof FROM low QUALIFY level = max(level) OVER (PARTITION BY doc_id)),
-{walk_sql("high", "SELECT e.doc_id, e.leaf, s.subroot, 0 AS level, s.at, e.value, e.proof FROM ended e JOIN subroots s ON s.source IS NOT DISTINCT FROM e.source", "true", "topruns")},
+{walk_sql("high", "SELECT e.doc_id, e.leaf, s.subroot, 0 AS level, s.pos, e.value, e.proof FROM ended e JOIN subroots s ON s.source IS NOT DISTINCT FROM e.source", "true", "topruns")},
 whole AS (SELECT digest AS root FROM top WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, value AS folded_root, value = root AS verified
 FROM high, whole QUALIFY level = max(level) OVER (PARTITION BY doc_id)

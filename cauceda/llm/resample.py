@@ -279,7 +279,7 @@ _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 ORACLE = f"""
 WITH crc AS ({CRC_TABLE}),
 worded AS (SELECT 0 AS kind, doc_id AS id, coalesce({_WORDS}, []) AS w FROM documents UNION ALL SELECT 1, item_id, coalesce({_WORDS}, []) FROM benchmark),
-listed AS (SELECT kind, id, len(w) AS n_words, list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS f FROM worded),
+listed AS (SELECT kind, id, len(w) AS n_words, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM worded),
 used AS (SELECT kind, id, unnest(f) AS f FROM listed),
 hashed AS (SELECT f, {crc_sql("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM used), crc),
 rows_ AS (SELECT kind, id, b FROM used JOIN hashed USING (f)),
