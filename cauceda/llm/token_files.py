@@ -15,21 +15,25 @@ files to any store it knows. Listing goes through Spark, reads through ``pyarrow
 fetches only the bytes that hold them (``TokenFile``).
 
 Ids are those of the ``tokenizers`` library at its default setting: the literal text of an added token is the one id of
-that token. White space always parts tokens of this vocabulary, so that each distinct chunk between
-``[\x20\x09-\x0D]`` is encoded once by the library and its ids are kept; a text is read in pieces of ``PIECE`` bytes cut there.
-A chunk itself goes to the library whole, so a text of many megabytes without any space costs the library's memory.
+that token. White space always parts tokens of this vocabulary, so that a text is read in pieces of ``PIECE`` bytes cut at
+``[\x20\x09-\x0D]``; of plain Latin text each distinct word or mark, of other text each distinct chunk between white
+space, is encoded once by the library and its ids are kept. A chunk itself goes to the library whole, so a text of
+many megabytes without any space costs the library's memory.
 
 Defined cases: null text is empty and has the end id alone; null ids of documents come first; rows of one id are
-ordered by a digest of their token ids, rows alike in that too are each stored, in some order; an empty table gives no
+ordered by a digest of their texts, rows alike in that too are each stored, in some order; an empty table gives no
 document; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -82,9 +86,9 @@ def unpack_ids(data: np.ndarray, bits: int, skip: int, count: int) -> np.ndarray
 
 
 class Chunks(dict):
-    """Codes of chunks of text in the order they come; ``settle`` has the library encode those that are new."""
+    """Codes of pieces of text in the order they come; ``settle`` has the library encode those that are new."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,45 +96,134 @@ class Chunks(dict):
 
         super().__init__()
         self.own, self.most = Tokenizer.from_file(path), most
+        self.latin = latin_pieces(path)
+        self.ends = ends_of(path) if self.latin else None
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[bytes] = []
-        self.flat, self.begins, self.sizes, self.used = np.empty(1 << 16, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-    def __missing__(self, chunk: bytes) -> int:
-        code = self[chunk] = len(self)
-        self.new.append(chunk)
+        self.new: list[str] = []
+        self.alone: list[int] = []  # of the new ones, those that may be several words
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.sizes, self.settled = np.empty(1 << 16, np.int64), 0
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self)
+        self.new.append(piece)
         return code
 
     def settle(self) -> None:
         if not self.new:
             return
-        found = [x.ids for x in self.own.encode_batch_fast([c.decode("utf-8") for c in self.new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.begins = np.append(self.begins, self.used + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.used += len(flat)
+        flat, sizes = self.encoded(self.new)
+        self.flat, self.used = appended(self.flat, self.used, flat)
+        self.sizes, self.settled = appended(self.sizes, self.settled, sizes)
         self.new = []
 
-    def encode(self, raw: bytes) -> np.ndarray:
-        """The ids of one text."""
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the pieces end to end, and how many each has.
+
+        Single words and marks go to it ``JOINED`` at a time with spaces between: their last tokens say so themselves.
+        """
+        alone, self.alone = self.alone, []
+        if len(alone) < len(pieces):
+            apart = set(alone)
+            words = [p for i, p in enumerate(pieces) if i not in apart] if alone else pieces
+            joined = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+            ids = np.fromiter(chain.from_iterable(x.ids for x in self.own.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+            counts = np.diff(np.append(-1, np.flatnonzero(self.ends[ids])))
+            if len(counts) != len(words):
+                raise ValueError("the tokenizer joined or split words")
+            if not alone:
+                return ids, counts
+        found = [x.ids for x in self.own.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)]
+        sizes, flat = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
+        if len(alone) == len(pieces):
+            return flat, sizes
+        every = np.empty(len(pieces), np.int64)
+        rest = np.setdiff1d(np.arange(len(pieces)), alone)
+        every[alone], every[rest] = sizes, counts
+        begins, out = np.cumsum(every) - every, np.empty(int(every.sum()), np.uint32)
+        out[ragged(begins[alone], sizes)], out[ragged(begins[rest], counts)] = flat, ids
+        return out, every
+
+    def codes(self, raw: bytes) -> np.ndarray:
+        """The codes of one text's pieces."""
         parts, at = [], 0
         while at < len(raw):
             end = cut_at(raw, at)
-            if len(self) > self.most:
-                self.forget()
-            chunks = raw[at:end].split()
-            codes = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-            self.settle()
-            parts.append(self.flat[ragged(self.begins[codes], self.sizes[codes])])
+            text = raw[at:end].decode("utf-8")
+            if self.latin and "<|" not in text and (text.isascii() or not FOREIGN.search(text)):
+                pieces = self.latin.findall(text.lower())
+                words = self.ends is not None
+            else:
+                pieces, words = CHUNK.findall(text), False
+            before = len(self.new)
+            parts.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
+            if not words:
+                self.alone += range(before, len(self.new))
             at = end
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+    def encode(self, raw: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts laid end to end, and each text's count."""
+        if len(self) > self.most:
+            self.forget()
+        codes = [self.codes(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        self.settle()
+        sizes = self.sizes[: self.settled]
+        begins, every = np.cumsum(sizes) - sizes, np.concatenate(codes) if codes else np.empty(0, np.int64)
+        sums = np.append(0, np.cumsum(sizes[every]))
+        edges = np.append(0, np.cumsum([len(c) for c in codes])).astype(np.int64)
+        return self.flat[ragged(begins[every], sizes[every])], np.diff(sums[edges])
+
+
+#: What white space surely parts.
+CHUNK = re.compile("[^\x20\x09-\x0d]+")
+#: Below it no character takes part in composition, and each but U+0130 has one lower-case character of its own class.
+LATIN_END = "\u0280"
+FOREIGN = re.compile(f"[\u0130{LATIN_END}-\U0010ffff]")
+#: Words that the library encodes in one call.
+JOINED = 512
+
+
+def latin_pieces(path: str) -> re.Pattern | None:
+    """The pattern of the tokenizer at ``path`` over lower-cased text below LATIN_END, with its classes spelled out.
+
+    It lets distinct words be encoded once, whatever marks stand beside them. None for a tokenizer of another make,
+    whose text is cut at white space alone.
+    """
+    with open(path, encoding="utf-8") as file:
+        own = json.load(file)
+    kinds = [x["type"] for x in (own.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x["pattern"]["Regex"] for x in (own.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"]]
+    if kinds != ["NFC", "Replace", "Lowercase"] or len(splits) != 1 or any(x["normalized"] or not x["content"].startswith("<|") for x in own["added_tokens"]):
+        return None
+    every = sorted({x for i in range(ord(LATIN_END)) if chr(i) != "\u0130" for x in (chr(i), chr(i).lower())})
+    letters, numbers = ("".join(re.escape(c) for c in every if unicodedata.category(c)[0] == k) for k in "LN")
+    spelled = splits[0].replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")
+    spelled = spelled.replace("[^\\s\\p{L}\\p{N}]", f"[^\\t-\\r \x85\xa0{letters}{numbers}]").replace("\\p{L}", f"[{letters}]").replace("\\p{N}", f"[{numbers}]")
+    return None if "\\p" in spelled or "\\s" in spelled else re.compile(spelled)
+
+
+def ends_of(path: str) -> np.ndarray | None:
+    """Whether each id ends a word; None where tokens do not say."""
+    with open(path, encoding="utf-8") as file:
+        own = json.load(file)
+    suffix = own["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    out = np.zeros(vocabulary_size(path), bool)
+    out[[i for token, i in own["model"]["vocab"].items() if token.endswith(suffix)]] = True
+    return out
+
+
+def appended(held: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """``more`` written after ``used`` entries of an array that doubles where it is full."""
+    while used + len(more) > len(held):
+        held = np.concatenate([held, np.empty_like(held)])
+    held[used : used + len(more)] = more
+    return held, used + len(more)
 
 
 def cut_at(raw: bytes, at: int) -> int:
@@ -138,7 +231,7 @@ def cut_at(raw: bytes, at: int) -> int:
     end = at + PIECE
     if end >= len(raw):
         return len(raw)
-    back = max(raw.rfind(c, at, end) for c in (bytes([s]) for s in _SPACES))
+    back = max(raw.rfind(bytes([c]), at, end) for c in _SPACES)
     if back > at:
         return back
     found = [x for c in _SPACES if (x := raw.find(bytes([c]), end)) >= 0]
@@ -159,25 +252,6 @@ def vocabulary_size(path: str) -> int:
     return 1 + max(max(own["model"]["vocab"].values()), *(x["id"] for x in own.get("added_tokens") or [{"id": 0}]))
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens and packed (a document's ids, the end id last, each in the vocabulary's bits)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = bits_of(vocabulary_size(tokenizer))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chunks_of(tokenizer)
-        for batch in slices(batches, "text", 4 << 20):
-            data, offsets = utf8_column(batch.column(1))
-            raw, packed, counts = data.tobytes(), [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = np.append(own.encode(raw[a:b]), np.uint32(end_id))
-                counts.append(len(ids))
-                packed.append(pack_ids(ids, bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "packed"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, packed binary")
-
-
 class Writer:
     """The bytes of one file: blocks as documents come, then footer and trailer."""
 
@@ -218,25 +292,30 @@ class Writer:
         yield np.array([self.at, self.ids, self.docs], "<i8").tobytes() + tail.tobytes()
 
 
-def write_token_files(tokens: DataFrame, path: str, vocabulary: int, file_bytes: int = 32 << 20, file_docs: int = 1 << 20, block_ids: int = 1 << 18) -> None:
-    """Write ``tokens``, a written table of doc_id, n_tokens and packed, to files under ``path``, ascending by doc_id.
+def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str = TOKENIZER, file_bytes: int = 64 << 20, file_docs: int = 1 << 20, block_ids: int = 1 << 18) -> None:
+    """Write the ids of every text and ``end_id`` to files under ``path``, ascending by id.
 
-    A file has ``file_bytes`` and ``file_docs`` on average. Ranges end between any two rows, so rows of one id spread too.
+    A file has ``file_bytes`` of text and ``file_docs`` documents on average. Texts move once, by ranges that end
+    between any two rows, so rows of one id spread too; they are encoded where their file is written.
     """
-    bits = bits_of(vocabulary)
-    total, rows = tokens.agg(F.sum("n_tokens"), F.count("*")).first()
-    files = max(1, -(-(total or 0) * bits // (8 * file_bytes)), -(-rows // file_docs))
-    keyed = tokens.select("doc_id", "n_tokens", "packed", F.xxhash64("packed").alias("digest"), F.monotonically_increasing_id().alias("place"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("place"))
+    total, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    files = max(1, -(-(total or 0) // file_bytes), -(-count // file_docs))
     keys = [ascending("doc_id"), F.col("digest"), F.col("place")]
-    placed = keyed.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
-    placed = placed.select(F.col("doc_id").cast("string").cast("binary").alias("key"), "n_tokens", "packed")
+    placed = rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+    placed = placed.select(F.col("doc_id").cast("string").cast("binary").alias("key"), "text")
+    bits = bits_of(vocabulary_size(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = Writer(bits, TaskContext.get().partitionId(), block_ids)
-        for batch in slices(batches, "packed", 16 << 20):
-            data, offsets = utf8_column(batch.column(2))
-            for key, n, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                for block in writer.add(key, unpack_ids(data[a:b], bits, 0, n)):
+        own, writer = chunks_of(tokenizer), Writer(bits, TaskContext.get().partitionId(), block_ids)
+        for batch in slices(batches, "text", 4 << 20):
+            data, offsets = utf8_column(batch.column(1))
+            ids, counts = own.encode(data.tobytes(), offsets.tolist())
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            ends = np.cumsum(counts + 1).tolist()
+            for key, a, b in zip(batch.column(0).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                for block in writer.add(key, ids[a:b]):
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
         for block in writer.end():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
@@ -340,6 +419,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 def op11_packed_token_files(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     path = new_path(spark, "token-files")
-    write_token_files(materialize(tokenize(docs), "tokens"), path, vocabulary_size(TOKENIZER))
+    write_token_files(docs, path)
     found = read_token_files(spark, path, with_ids=False)
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
