@@ -50,6 +50,8 @@ from cauceda.llm.ordering import ascending
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MAGIC = b"PACKEDID1"
 TRAILER = np.dtype([("footer", "<u8"), ("blocks", "<u4"), ("ordinal", "<u8"), ("bits", "<u4"), ("magic", f"S{len(MAGIC)}")])
+#: Blocks that a task reads, on average.
+BLOCKS = 16
 #: Bytes of text that are cut into chunks at once.
 PIECE = 1 << 20
 _SPACES = b"\x20\t\n\x0b\x0c\r"
@@ -412,7 +414,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
             file.source.close()
 
     kinds = "doc_id string, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    spread = blocks.repartition("path", F.floor(F.col("block") / 16)).sortWithinPartitions("path", "block")
+    # a number of our own: rows are small whatever their blocks hold, and Spark would join them into one task
+    tasks = max(1, -(-blocks.count() // BLOCKS))
+    spread = blocks.repartition(tasks, "path", F.floor(F.col("block") / BLOCKS)).sortWithinPartitions("path", "block")
     return spread.mapInArrow(run, kinds)
 
 
