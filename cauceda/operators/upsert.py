@@ -6,10 +6,14 @@ table by a swap. Old rows move once, to be joined by key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cauceda.functions import hashing, text
+from cauceda.functions import hashing
+from cauceda.operators.cut import written
+from cauceda.operators.identity import Identity, resolve
 
 STAMPS = ("version_hash", "run_id", "seen_at")
 
@@ -29,25 +33,42 @@ def blank_value(col: Column) -> Column:
     return F.trim(F.coalesce(col.cast("string"), F.lit(""))).isin("", "[]", "{}")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], content: list[str], run_id: str, seen_at: Column, position: str = "", tombstone: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def merged(met: DataFrame, content: list[str], run_id: str, seen_at: Column, tombstone: Column | None, keep: tuple[str, ...]) -> DataFrame:
+    """Incoming rows beside the stored ones they replace (``_old``, or null), stamped, with ``action``."""
+    if tombstone is not None:
+        met = met.withColumns({c: F.when(tombstone & blank_value(F.col(c)) & F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in keep})
+    met = stamped(met, content, run_id, seen_at)
+    action = F.when(F.col("_old").isNull(), "new").when(F.col("_old.version_hash") == F.col("version_hash"), "unchanged").otherwise("updated")
+    return met.withColumn("action", action)
+
+
+def given(new: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """The last row of each key by ``position``; a null key raises."""
+    for k in keys:
+        new = new.withColumn(k, F.coalesce(k, F.raise_error(F.lit(f"{k} is null")).cast(dict(new.dtypes)[k])))
+    return last_wins(new, keys, position) if position else new
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], content: list[str], run_id: str, seen_at: Column, position: str = "", tombstone: Column | None = None, keep: tuple[str, ...] = (), identities: list[Identity] | None = None, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """All rows after the upsert, with ``action``: kept, unchanged, updated or new.
 
     ``new`` has keys and content. Of rows of one key the last by ``position`` counts; a null key raises. Where
     ``tombstone`` holds for an incoming row, its blank columns among ``keep`` take the stored values.
+    ``identities`` are further keys, in order of priority, by which a stored row is known where ``keys`` fail: see
+    ``identity``, also for ``cut``. Stored rows that such a key shows to be one with another go.
     """
-    for k in keys:
-        new = new.withColumn(k, F.coalesce(k, F.raise_error(F.lit(f"{k} is null")).cast(dict(new.dtypes)[k])))
-    if position:
-        new = last_wins(new, keys, position).drop(position)
+    new = given(new, keys, position)
+    columns = [*keys, *(c for c in content if c not in keys)]
+    if identities:
+        newest = F.col(position) if position else F.lit(0)
+        found = resolve(old, new, [Identity(tuple(keys)), *identities], newest, F.col("seen_at"), cut)
+        fresh = merged(found.met, content, run_id, seen_at, tombstone, keep).select(*columns, *STAMPS, "action")
+        return found.kept.select(*columns, *STAMPS, F.lit("kept").alias("action")).unionByName(fresh)
+    new = new.drop(position) if position else new
     old_side = old.select(*keys, F.struct(*content, "version_hash").alias("_old"))
     met = new.join(old_side, keys, "left")
-    if tombstone is not None:
-        gone = tombstone
-        met = met.withColumns({c: F.when(gone & blank_value(F.col(c)) & F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in keep})
-    met = stamped(met, content, run_id, seen_at)
-    action = F.when(F.col("_old").isNull(), "new").when(F.col("_old.version_hash") == F.col("version_hash"), "unchanged").otherwise("updated")
-    fresh = met.withColumn("action", action).select(*keys, *content, *STAMPS, "action")
-    kept = old.join(new.select(*keys), keys, "left_anti").select(*keys, *content, *STAMPS, F.lit("kept").alias("action"))
+    fresh = merged(met, content, run_id, seen_at, tombstone, keep).select(*columns, *STAMPS, "action")
+    kept = old.join(new.select(*keys), keys, "left_anti").select(*columns, *STAMPS, F.lit("kept").alias("action"))
     return kept.unionByName(fresh)
 
 
@@ -55,13 +76,6 @@ def counts(result: DataFrame) -> DataFrame:
     return result.groupBy("action").agg(F.count("*").alias("rows"))
 
 
-def match_ids(new: DataFrame, old: DataFrame, keys: list[str], out: str = "stored_id", value: str = "stored_id") -> DataFrame:
-    """The stored id of each new row by the first alternative key that matches. Blank keys match nothing."""
-    from cauceda.operators.lookup import by_any_key
-
-    return by_any_key(new, old, [(k, k) for k in keys], value, out)
-
-
 def latest_detail(runs: DataFrame, last: int = 20) -> DataFrame:
     """source_id, table, columns, rows: the newest detail of each table among the last OK runs of its source.
 

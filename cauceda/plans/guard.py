@@ -84,6 +84,11 @@ def _expressions(node, hidden: frozenset, found: set[str], problems: list[str])
     if kind not in EXPRESSIONS:
         problems.append(f"{kind} is not part of a read-only query")
         return
+    if kind == "UnresolvedAttribute":
+        # without a column of the name, the analyser takes these for functions, with or without parentheses
+        parts = [x.lower() for x in _items(node.nameParts())]
+        if len(parts) == 1 and parts[0] in FORBIDDEN_FUNCTIONS:
+            problems.append(f"the name {parts[0]} is not allowed")
     if kind == "UnresolvedFunction":
         parts = [x.lower() for x in _items(node.nameParts())]
         if len(parts) > 1 or parts[0] in FORBIDDEN_FUNCTIONS or parts[0] not in _functions(SparkSession.active()):
@@ -102,14 +107,17 @@ def _functions(spark: SparkSession) -> frozenset[str]:
 
 def check(spark: SparkSession, sql: str, tables: set[str]) -> Verdict:
     """Whether ``sql`` is one read-only query over ``tables`` that reads at least one of them."""
-    text, before = re.sub(r";\s*$", "", sql.strip()), spark.conf.get(QUOTED)
-    spark.conf.set(QUOTED, "true")
+    text = re.sub(r";\s*$", "", sql.strip())
+    own = spark.newSession()  # the caller's settings stay as they are, whatever other threads do
+    own.conf.set(QUOTED, "true")
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    sessions.setActiveSession(own._jsparkSession)  # of this thread: a parser reads the active session's settings
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        plan = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as error:  # the parser's own message is the reason
         return Verdict(False, f"it cannot be read: {' '.join(str(error).split())[:200]}")
     finally:
-        spark.conf.set(QUOTED, before)
+        sessions.setActiveSession(spark._jsparkSession)
     found: set[str] = set()
     problems: list[str] = []
     _walk(plan, frozenset(), found, problems)

@@ -42,6 +42,18 @@ def kpi_canonical(spark, sf_dir):
     return guard.canonical(spark, {"ventas": table(spark, sf_dir, "orders")}, formula)
 
 
+@register("""
+SELECT c_mktsegment AS segment, count(*) AS buyers FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0) GROUP BY 1
+""")
+def governed_subqueries(spark, sf_dir):
+    """A checked formula with IN and EXISTS over three allowed tables."""
+    views = {"clientes": table(spark, sf_dir, "customer"), "ventas": table(spark, sf_dir, "orders"), "paises": table(spark, sf_dir, "nation")}
+    formula = """SELECT c_mktsegment AS segment, count(*) AS buyers FROM clientes c
+        WHERE EXISTS (SELECT 1 FROM ventas o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P') AND c_nationkey IN (SELECT n_nationkey FROM paises WHERE n_regionkey <> 0) GROUP BY 1"""
+    return guard.canonical(spark, views, formula)
+
+
 @register("SELECT * FROM (VALUES (2, 'ventas_mes', CAST(7 AS INTEGER)), (4, 'margen', CAST(3 AS INTEGER)), (1, 'saldo', CAST(0 AS INTEGER))) t(position, kpi, score)")
 def kpi_relevance_topk(spark, sf_dir):
     rows = [

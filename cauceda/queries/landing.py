@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cauceda.functions import dates
 from cauceda.operators import infer, quality, upsert
+from cauceda.operators.identity import Identity
 from cauceda.queries.base import Register, table
 from cauceda.sources import ads, calendar, sinks
 from cauceda.streaming import state
@@ -137,6 +138,28 @@ def tombstone_merge(spark, sf_dir):
     return out.select("id", "name", "state")
 
 
+@register("""
+WITH s AS (SELECT 'e' || event_id AS id, CASE WHEN event_id % 11 = 0 THEN '' ELSE user_id || '-' || event_type END AS alias, value AS v FROM events WHERE event_id % 3 <> 0),
+n AS (SELECT CASE WHEN event_id % 8 = 0 THEN 'e' ELSE 'm' END || event_id AS id, CASE WHEN event_id % 11 = 0 THEN '' ELSE user_id || '-' || event_type END AS alias, value AS v, event_id AS p FROM events WHERE event_id % 4 = 0),
+one AS (SELECT id AS nid, id AS sid FROM n JOIN s USING (id)),
+n2 AS (SELECT id AS nid, alias, row_number() OVER (PARTITION BY alias ORDER BY p DESC, id) AS place FROM n WHERE alias <> '' AND id NOT IN (SELECT nid FROM one)),
+s2 AS (SELECT id AS sid, alias, row_number() OVER (PARTITION BY alias ORDER BY id) AS place FROM s WHERE alias <> '' AND id NOT IN (SELECT sid FROM one)),
+pairs AS (SELECT * FROM one UNION ALL SELECT nid, sid FROM n2 JOIN s2 USING (alias, place))
+SELECT n.id, n.alias, n.v, CASE WHEN s.id IS NULL THEN 'new' WHEN s.v = n.v AND s.alias = n.alias THEN 'unchanged' ELSE 'updated' END AS action
+FROM n LEFT JOIN pairs ON nid = n.id LEFT JOIN s ON s.id = sid
+UNION ALL SELECT id, alias, v, 'kept' FROM s WHERE id NOT IN (SELECT id FROM n) AND alias NOT IN (SELECT alias FROM n WHERE alias <> '')
+""")
+def upsert_by_identities(spark, sf_dir):
+    """Rows whose id changed are known by an alias that several rows share: pairs one to one, the newest first, the rest merged or new."""
+    events = table(spark, sf_dir, "events")
+    alias = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat_ws("-", "user_id", "event_type")).alias("alias")
+    stored = events.filter("event_id % 3 <> 0").select(F.concat(F.lit("e"), "event_id").alias("id"), alias, F.col("value").alias("v"))
+    name = F.concat(F.when(F.col("event_id") % 8 == 0, "e").otherwise("m"), "event_id").alias("id")
+    window = events.filter("event_id % 4 = 0").select(name, alias, F.col("value").alias("v"), F.col("event_id").alias("p"))
+    out = upsert.upsert(upsert.stamped(stored, ["alias", "v"], "run-1", at()), window, ["id"], ["alias", "v"], "run-2", at(), "p", identities=[Identity(("alias",))])
+    return out.select("id", "alias", "v", "action")
+
+
 @register("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def last_dup_wins(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("position"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cauceda.functions import hashing
+from cauceda.operators.identity import Identity
 
 _MOMENT = "struct<dateTime:string,date:string,timeZone:string>"
 #: What is read of an event.
@@ -28,6 +29,9 @@ COLUMNS = (
 #: What a cancelled event keeps of its stored row.
 KEPT_WHEN_CANCELLED = tuple(c for c in COLUMNS if c not in ("calendar_id", "evento_id", "estado", "actualizado_en", "raw_evento"))
 
+#: By what a stored event is known: its calendar, or the name under which a calendar is configured, where its id changed.
+KEYS, IDENTITIES = ["calendar_id", "evento_id"], [Identity(("recurso", "evento_id"))]
+
 
 def instant(text: Column) -> Column:
     """A UTC timestamp of an RFC 3339 text or a bare date."""

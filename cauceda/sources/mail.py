@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cauceda.operators.identity import Identity
+
 #: The contract's columns.
 CONTRACT = (
     "correo_id string, message_id string, buzon string, carpeta string, uid string, fecha timestamp_ntz, remitente_nombre string, "
@@ -23,6 +25,8 @@ COLUMNS = tuple(c.split()[0] for c in CONTRACT.split(", "))
 #: Headers that name who a message was sent or forwarded to.
 RECIPIENTS = ("To", "Delivered-To", "X-Original-To", "X-Forwarded-To")
 BODY = 2000
+#: By what a stored message is known: its id, its place, or its number alone where it was stored before mailboxes were told apart.
+KEYS, IDENTITIES = ["correo_id"], [Identity(("buzon", "carpeta", "uid")), Identity(("uid",), "trim(coalesce(buzon, '')) = '' OR trim(coalesce(carpeta, '')) = ''")]
 
 
 def header(value) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cauceda.operators import build
-from cauceda.plans import guard, memory, render
+from cauceda.plans import guard, memory
 from cauceda.sources import sinks, sync, workbook
 
 
@@ -135,15 +135,14 @@ def test_a_query_is_asked_for_twice(spark):
     assert guard.last_valid(spark, ["SELECT 1"], {"ventas"}) is None
 
 
-def test_movements_and_drawings():
-    columns, day = ["comercio", "monto", "fecha", "categoria", "monto_total"], dt.date(2026, 8, 9)
-    rows = [("Super", 1500, day, "Comida", 1520.5), ("Café", 20.5, day, "Comida", 1520.5)]
-    assert render.movements(columns, rows) == "💳 *Comida*\n2 movimientos · *1.520,5*\n\n• *Super* — 1.500 · 9 ago\n\n• *Café* — 20,5 · 9 ago"
-    assert "Hay 1 movimientos más" in render.movements(columns, rows, most=1) and render.movements(["a"], [(1,)]) is None
-    drawn = "Ventas:\n" + "| ███████ |\n" * 3 + "\n1 5 10 15 20 25 30\nFin de todo"
-    assert render.without_drawings(drawn) == ("Ventas:\n\nFin de todo", True)
-    plain = "a\n----------\nb\n----------\nc"
-    assert render.without_drawings(plain) == (plain, False)
+def test_names_that_tell_about_the_engine_are_refused(spark):
+    """Without a column of the name the analyser would take them for functions."""
+    for name in ("current_user", "USER", "session_user", "current_schema", "current_database", "version"):
+        for sql in (f"SELECT {name} FROM ventas", f"SELECT a FROM ventas WHERE {name} = 'x'", f"SELECT a FROM ventas ORDER BY {name}", f"SELECT a FROM ventas WHERE a IN (SELECT {name} FROM ventas)"):
+            assert not guard.check(spark, sql, {"ventas"}).ok, sql
+    assert guard.check(spark, 'SELECT v.user FROM ventas v WHERE a IN (SELECT a FROM ventas) AND EXISTS (SELECT 1 FROM ventas w WHERE w.a = v.a)', {"ventas"}).ok
+    before = spark.conf.get(guard.QUOTED)
+    assert guard.check(spark, 'SELECT "a" FROM ventas', {"ventas"}).ok and spark.conf.get(guard.QUOTED) == before
 
 
 def test_memory(spark, house):

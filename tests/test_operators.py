@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from cauceda.operators import classify, extract, infer, lookup, quality, trends, upsert
+from cauceda.operators import classify, extract, identity, infer, lookup, quality, trends, upsert
 from cauceda.operators.extract import Field, Model
 
 
@@ -64,10 +64,24 @@ def test_lookup_first_match_and_validity(spark):
     assert kept == {1: "Ana", 2: "own", 3: None, 4: None}
 
 
-def test_alternative_keys(spark):
-    new = spark.createDataFrame([(1, "a", "u1"), (2, "", "u2"), (3, "z", "")], "i int, id string, uid string")
-    old = spark.createDataFrame([("a", "", "s1"), ("", "u2", "s2"), ("b", "u1", "s3")], "id string, uid string, stored_id string")
-    assert {r["i"]: r["stored_id"] for r in upsert.match_ids(new, old, ["id", "uid"]).collect()} == {1: "s1", 2: "s2", 3: None}
+def test_alternative_keys_one_to_one_by_priority(spark):
+    """Two incoming rows claim one stored row, two stored rows are one, blank keys match nothing, an unknown place is matched by number alone."""
+    shape = "id string, box string, uid string, body string"
+    stored = [("a", "in", "1", "old a"), ("b", "in", "2", "old b"), ("c", "in", "3", "old c"), (None, "", "9", "legacy"), ("d", "", "", "old d"), ("e", "in", "5", "e1"), ("f", "in", "5", "e2"), ("far", "in", "77", "kept")]
+    old = upsert.stamped(spark.createDataFrame(stored, shape), ["box", "uid", "body"], "r1", at())
+    window = [("a", "in", "2", "a by id, though b has its number", 1), ("new", "in", "2", "claims b", 2), ("other", "in", "2", "claims b too", 3), ("c", "in", "3", "first", 4), ("c", "in", "3", "old c", 5), ("m", "arch", "9", "was legacy", 6), ("x", "", "", "blank", 7), ("g", "in", "5", "one of two", 8)]
+    new = spark.createDataFrame(window, shape + ", p int")
+    ways = [identity.Identity(("box", "uid")), identity.Identity(("uid",), "box = ''")]
+    out = upsert.upsert(old, new, ["id"], ["box", "uid", "body"], "r2", at(), "p", identities=ways)
+    got = {r["id"]: (r["action"], r["body"]) for r in out.collect()}
+    assert got == {
+        "a": ("updated", "a by id, though b has its number"), "other": ("updated", "claims b too"), "new": ("new", "claims b"), "c": ("unchanged", "old c"), "m": ("updated", "was legacy"),
+        "x": ("new", "blank"), "g": ("updated", "one of two"), "d": ("kept", "old d"), "far": ("kept", "kept"),
+    }
+    found = identity.resolve(old, upsert.given(new, ["id"], "p"), [identity.Identity(("id",)), *ways], F.col("p"), F.col("seen_at"))
+    assert {r["id"] for r in found.merged.collect()} == {"e"} or {r["id"] for r in found.merged.collect()} == {"f"}
+    with pytest.raises(Exception, match="id is null"):
+        upsert.upsert(old, spark.createDataFrame([(None, "in", "1", "x")], shape), ["id"], ["box", "uid", "body"], "r", at(), identities=ways).collect()
 
 
 def test_classification_layers_and_labels(spark):
