@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cauceda.operators import build, classify, extract
+from cauceda.operators.cut import shared_folder
 from cauceda.plans import catalog, memory
 from cauceda.queries.base import Register, table
 from cauceda.queries.semantic import notices
-from cauceda.sources import calendar, registry
+from cauceda.sources import calendar, pages, registry
 
 register = Register()
 
@@ -111,4 +114,18 @@ def conversation_window(spark, sf_dir):
     return memory.history(events, ["user_id"], ["ts", "event_id"], "ts", F.lit(now).cast(dict(events.dtypes)["ts"]), most=2).select("event_id", "user_id")
 
 
+@register("""
+SELECT o_orderkey // 1000 + 1 AS page, o_orderkey AS id, o_custkey AS buyer_id, o_orderstatus AS buyer_state, o_totalprice AS total FROM orders WHERE o_orderkey // 1000 + 1 < 12
+""")
+def paged_orders(spark, sf_dir):
+    """Pages of a service's payloads made of orders: the twelfth is empty, so nothing after it is read."""
+    orders = table(spark, sf_dir, "orders").withColumn("page", F.expr("o_orderkey div 1000 + 1"))
+    item = F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("state")).alias("buyer"), F.col("o_totalprice").alias("total"))
+    payload = F.to_json(F.struct(F.struct(F.collect_list(F.when(F.col("page") != 12, item)).alias("items")).alias("data")))
+    path = f"{shared_folder(spark)}/cauceda/pages-{uuid.uuid4().hex}"
+    orders.groupBy("page").agg(payload.alias("payload")).write.partitionBy("page").text(path)
+    shape = "id long, buyer struct<id:long,state:string>, total double"
+    return pages.read_pages(spark, path, shape, "data.items").rows
+
+
 QUERIES, ORACLES = register.queries, register.oracles

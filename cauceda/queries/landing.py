@@ -160,6 +160,29 @@ def upsert_by_identities(spark, sf_dir):
     return out.select("id", "alias", "v", "action")
 
 
+@register("""
+WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, user_id, event_id % 3 <> 0 AS stored, (SELECT max(CAST(ts AS DATE)) FROM events) - CAST(ts AS DATE) AS age FROM events)
+SELECT event_id, CASE WHEN age < 3 AND event_id % 2 = 0 AND event_id % 10 = 4 THEN CAST(day - INTERVAL 40 DAY AS DATE) ELSE day END AS day,
+       CASE WHEN age < 3 AND event_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
+       CASE WHEN age >= 3 OR event_id % 2 = 1 THEN 'run-1' ELSE 'run-2' END AS run_id
+FROM e WHERE stored OR (age < 3 AND event_id % 2 = 0)
+""")
+def upsert_by_day(spark, sf_dir):
+    """A window of three days into a table by day: other days keep their files; some rows move to a day before the window."""
+    house = sinks.Warehouse(spark, "consultas")
+    name = f"{house.raw}.events_by_day"
+    house.drop(name)
+    day = F.to_date("ts")
+    events = table(spark, sf_dir, "events").select("event_id", day.alias("day"), "user_id")
+    last = events.agg(F.max("day")).first()[0]
+    house.upsert_days(events.filter("event_id % 3 <> 0"), name, ["event_id"], ["day", "user_id"], "run-1", "day")
+    window = events.filter((F.datediff(F.lit(last), "day") < 3) & (F.col("event_id") % 2 == 0))
+    moved = F.when(F.col("event_id") % 10 == 4, F.date_sub("day", 40)).otherwise(F.col("day"))
+    changed = F.when(F.col("event_id") % 4 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    house.upsert_days(window.select("event_id", moved.alias("day"), changed.alias("user_id")), name, ["event_id"], ["day", "user_id"], "run-2", "day")
+    return spark.table(name).select("event_id", "day", "user_id", "run_id")
+
+
 @register("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def last_dup_wins(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("position"))
