@@ -3,7 +3,7 @@
 A text's subwords are the byte 3-grams and 4-grams of its lower-cased form, hashed into ``buckets``. The
 model averages their embeddings and feeds the mean to a linear layer; stochastic gradient descent in numpy
 trains both on a sample of at most ``sample`` distinct labelled rows, whole texts, chosen by a seeded hash of the id,
-of at most ``sample_bytes`` of text together; Spark cuts to it before anything is collected. A temperature fitted on
+of at most ``sample_bytes`` of text together, where rows of more than a 16th of that come last; Spark cuts to it before anything is collected. A temperature fitted on
 held-back rows of the sample, every fifth (on all of them if there are fewer than 50), calibrates the probability;
 below the confidence at which ``precision`` of those rows' answers are right the answer is marked rejected.
 
@@ -31,6 +31,10 @@ from cauceda.llm.common import crc_of_id, read_table, slices, utf8_column
 
 ORDERS = (3, 4)
 LETTER = regex.compile(r"\p{L}")
+#: Bytes whose subwords are looked at together.
+STEP = 1 << 17
+#: A row of more than this share of the sample's bytes comes after all others.
+SHARE = 16
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray, n: int, buckets: int) -> np.ndarray:
@@ -46,6 +50,19 @@ def subwords(data: np.ndarray, offsets: np.ndarray, n: int, buckets: int) -> np.
     return out
 
 
+def bucket_counts(text: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of one text's subwords and how often each occurs."""
+    if len(text) <= STEP:
+        return np.unique(np.concatenate([subwords(text, np.array([0, len(text)]), n, buckets) for n in ORDERS]), return_counts=True)
+    total = np.zeros(buckets + 1, np.int64)
+    for start in range(0, len(text), STEP):
+        for n in ORDERS:
+            part = text[start : start + STEP + n - 1]
+            total += np.bincount(subwords(part, np.array([0, len(part)]), n, buckets)[:STEP], minlength=buckets + 1)
+    own = np.flatnonzero(total)
+    return own, total[own]
+
+
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8_column(pa.array([(x or "").lower() for x in column.to_pylist()], pa.large_string()))
 
@@ -67,12 +84,18 @@ class Model:
         return len(self.table) - 1
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(offsets) - 1, len(self.languages)))
-        filled = np.flatnonzero(np.diff(offsets))
-        lengths = np.diff(offsets)
-        for n in ORDERS if len(filled) else ():
-            rows = self.table[subwords(data, offsets, n, self.buckets)]
-            total[filled] += np.add.reduceat(rows, offsets[:-1][filled], axis=0)
+        """Mean logits of each text; rows of the table are gathered for ``STEP`` bytes at a time."""
+        total, lengths = np.zeros((len(offsets) - 1, len(self.languages))), np.diff(offsets)
+        for start in range(0, len(data), STEP):
+            end = min(start + STEP, len(data))
+            first, last = int(np.searchsorted(offsets, start, side="right")) - 1, int(np.searchsorted(offsets, end))
+            texts = np.arange(first, last)[lengths[first:last] > 0]
+            ahead = min(end + max(ORDERS) - 1, len(data))  # what an n-gram that begins before ``end`` may need
+            edges = np.append(np.clip(offsets[first:last], start, end), min(int(offsets[last]), ahead)) - start
+            begins = np.maximum(offsets[texts], start) - start
+            for n in ORDERS:
+                rows = self.table[subwords(data[start:ahead][: edges[-1]], edges, n, self.buckets)[: end - start]]
+                total[texts] += np.add.reduceat(rows, begins, axis=0)
         grams = sum(np.maximum(lengths - n + 1, 0) for n in ORDERS)
         return total / np.maximum(grams, 1)[:, None] + self.bias
 
@@ -145,17 +168,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     rows = rows.withColumn("own", F.xxhash64("text", "label"))
     # names alone are sorted, then their texts are read
     drawn = rows.select("doc_id", "own", F.octet_length("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("draw")).distinct().orderBy("draw", "doc_id", "own").limit(sample)
-    held = F.sum("size").over(Window.orderBy("draw", "doc_id", "own"))  # over the sample's rows, ``sample`` at most
+    large = F.when(F.col("size") * SHARE > sample_bytes, F.col("size")).otherwise(0)  # one long text doesn't take the others' place
+    held = F.sum("size").over(Window.orderBy(large, "draw", "doc_id", "own"))  # over the sample's rows, ``sample`` at most
     drawn = drawn.withColumn("held", held).filter(F.col("held") <= sample_bytes).select("doc_id", "own")
     rows = rows.join(F.broadcast(drawn), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = lowered(batch.column(1))
-            grams = [subwords(data, offsets, n, buckets) for n in ORDERS]
             ids, counts = [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                own, n = np.unique(np.concatenate([g[a:b] for g in grams]), return_counts=True)
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own, n = bucket_counts(data[a:b], buckets)
                 ids.append(own[own < buckets].astype(np.int32))
                 counts.append(n[own < buckets].astype(np.int32))
             kind = pa.list_(pa.int32())

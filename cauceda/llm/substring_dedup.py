@@ -180,8 +180,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = F.struct(*(F.col(c) for c in keep), F.lit(0).alias("_"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), row.alias("row"))
-    # whole copies: 128 bits name a text
-    ids = materialize(base.select("doc_id", "text_key", F.md5("text").alias("name")), "substring-ids")
+    # whole copies: a SHA-256 names a text
+    ids = materialize(base.select("doc_id", "text_key", F.sha2("text", 256).alias("name")), "substring-ids")
     firsts = ids.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = materialize(ids.join(firsts, "name").filter("first < doc_id").select(*KEYS).distinct(), "substring-copies")
     discard(ids)

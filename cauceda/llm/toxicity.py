@@ -85,9 +85,10 @@ class Lexicon:
         near = 0
         you = sum(count[w] for w in YOU if w in count)
         if hits and you:
-            at = [i for i, w in enumerate(words) if w in hits]
+            at = np.array([i for i, w in enumerate(words) if w in hits])
             to = np.array([i for i, w in enumerate(words) if w in YOU])
-            near = int(sum(np.abs(to - i).min() <= 5 for i in at))
+            after = np.searchsorted(to, at)  # places are sorted: the nearest is the one before or the one after
+            near = int(((at - to[np.maximum(after - 1, 0)] <= 5) & (after > 0) | (after < len(to)) & (to[np.minimum(after, len(to) - 1)] - at <= 5)).sum())
         odd = [w for w in count if not w.isalpha() and MIXED.search(w)] if MIXED.search(lower) else []
         drawn = [w for w in count if DRAWN.search(w)] if DRAWN.search(lower) else []
         apart = APART.findall(lower)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,55 @@ def test_batched_scores_equal_one_by_one(labelled):
     assert np.allclose(many[1], [x[1][0] for x in one])
 
 
+def test_a_long_text_drawn_first_leaves_the_model_learned(spark, labelled):
+    """Whatever its draw, a row larger than the whole bound does not empty the sample."""
+    long = labelled.filter("lang = 'aa'").limit(1).selectExpr("*").withColumn("text", F.repeat("text", 4000))
+    for seed in range(3):
+        own = long.select(*(F.lit(-k).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in labelled.columns for k in (1,)))
+        model = language_id.fit(labelled.unionByName(own), sample=300, sample_bytes=200_000, epochs=2, seed=seed)
+        assert model is not None and model.languages == ["aa", "bb", "cc"]
+
+
+def test_scores_do_not_depend_on_the_step(labelled, monkeypatch):
+    texts = [r["text"] for r in labelled.limit(20).collect()] + ["", "ab", "é" * 50, None, "abc"]
+    model = language_id.fit(labelled, sample=200, epochs=2)
+    given = language_id.lowered(pa.array(texts, pa.string()))
+    whole = model.logits(*given)
+    one = np.frombuffer(texts[0].encode(), np.uint8)
+    counts = [x.tolist() for x in language_id.bucket_counts(one, 1 << 10)]
+    for step in (5, 64):
+        monkeypatch.setattr(language_id, "STEP", step)
+        assert np.allclose(model.logits(*given), whole, atol=1e-6)
+        own, n = language_id.bucket_counts(one, 1 << 10)
+        inside = own < 1 << 10
+        assert [own[inside].tolist(), n[inside].tolist()] == [[b for b in counts[0] if b < 1 << 10], [c for b, c in zip(*counts, strict=True) if b < 1 << 10]]
+
+
+def test_a_very_long_text_takes_linear_time_and_bounded_memory():
+    """32 MB: a table row of 8 languages for every byte would take a gigabyte."""
+    import tracemalloc
+
+    model = language_id.Model(list("abcdefgh"), np.zeros(((1 << 10) + 1, 8), np.float32), np.zeros(8), 1.0, 0.0)
+    data = np.frombuffer(b"lorem ipsum " * 2_800_000, np.uint8)
+    tracemalloc.start()
+    model.logits(data, np.array([0, len(data)]))
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    lexicon = toxicity.Lexicon({"bad": 1.0}, {})
+    text = "you bad one two three four five six " * 40_000
+    assert lexicon.features(text)[8] == 40_000  # nearness: each is next to its own
+
+
+def test_nearness_is_that_of_all_pairs():
+    import random
+
+    rng, lexicon = random.Random(1), toxicity.Lexicon({"bad": 1.0}, {})
+    for _ in range(200):
+        words = rng.choices(["bad", "you", "x", "y", "z", "w"], weights=[1, 1, 4, 4, 4, 4], k=rng.randint(1, 60))
+        bad, you = ([i for i, w in enumerate(words) if w == k] for k in ("bad", "you"))
+        assert lexicon.features(" ".join(words))[8] == sum(any(abs(i - j) <= 5 for j in you) for i in bad)
+
+
 def test_rejection_threshold_reaches_its_precision():
     model = language_id.Model(["a", "b"], np.zeros((3, 2)), np.zeros(2), 1.0, 0.0)
     rng = np.random.default_rng(1)
