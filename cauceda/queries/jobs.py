@@ -12,6 +12,7 @@ from cauceda.plans import catalog, memory
 from cauceda.queries.base import Register, table
 from cauceda.queries.semantic import notices
 from cauceda.sources import calendar, pages, registry
+from cauceda.streaming import drafts
 
 register = Register()
 
@@ -128,4 +129,30 @@ def paged_orders(spark, sf_dir):
     return pages.read_pages(spark, path, shape, "data.items").rows
 
 
+@register("""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS sender, CAST(event_id % 3 AS VARCHAR) AS message, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'draft' ELSE 'confirm' END AS kind, epoch_us(ts) // 1000 AS t, event_id AS n FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY sender, message ORDER BY t, n) AS i FROM e)
+SELECT sender, message, t AS "at", outcome FROM (
+  WITH RECURSIVE walk AS (
+    SELECT sender, message, i, t, CASE kind WHEN 'draft' THEN 'drafted' ELSE 'unknown' END AS outcome, CASE kind WHEN 'draft' THEN t + 172800000 END AS last, FALSE AS done, CAST(NULL AS BIGINT) AS lapsed FROM numbered WHERE i = 1
+    UNION ALL
+    SELECT r.sender, r.message, r.i, r.t,
+      CASE WHEN w.last >= r.t THEN CASE WHEN r.kind = 'draft' OR w.done THEN 'repeated' ELSE 'sent' END WHEN r.kind = 'draft' THEN 'drafted' ELSE 'unknown' END,
+      CASE WHEN w.last >= r.t THEN w.last WHEN r.kind = 'draft' THEN r.t + 172800000 END,
+      CASE WHEN w.last >= r.t THEN w.done OR r.kind = 'confirm' ELSE FALSE END,
+      CASE WHEN w.last < r.t AND NOT w.done THEN w.last END
+    FROM walk w JOIN numbered r ON r.sender = w.sender AND r.message = w.message AND r.i = w.i + 1)
+  SELECT sender, message, t, outcome FROM walk
+  UNION ALL SELECT sender, message, lapsed, 'lapsed' FROM walk WHERE lapsed IS NOT NULL
+  UNION ALL SELECT sender, message, last, 'lapsed' FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY sender, message ORDER BY i DESC) = 1) WHERE last IS NOT NULL AND NOT done AND last < 1893456000000)
+""")
+def confirm_once(spark, sf_dir):
+    """Events as drafts and confirmations of three messages a user, which lapse after two days."""
+    events = table(spark, sf_dir, "events")
+    first = events.agg(F.min("event_type")).first()[0]
+    kind = F.when(F.col("event_type") == first, "draft").otherwise("confirm")
+    rows = events.select("user_id", (F.col("event_id") % 3).alias("message"), kind.alias("kind"), "ts", "event_id")
+    return drafts.settle(drafts.events_of(rows, "user_id", "message", "kind", "ts", "event_id"), drafts.Rules(2 * drafts.DAY), until=1_893_456_000_000)
+
+
 QUERIES, ORACLES = register.queries, register.oracles
