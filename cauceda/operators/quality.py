@@ -48,10 +48,11 @@ def state(blocked: bool, alerts: list[str], wrote: bool = True) -> str:
     return "ok_with_block" if blocked else "ok_with_alerts" if alerts else "ok"
 
 
-def mixed(df: DataFrame, column: str) -> DataFrame:
-    """Whether a column has more than one filled value."""
-    values = F.collect_set(F.when(~text.is_blank(F.col(column)), F.col(column)))
-    return df.agg(F.array_sort(values).alias("values"), (F.size(values) > 1).alias("mixed"))
+def mixed(df: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """The first ``most`` distinct filled values of a column in order, and whether there is more than one."""
+    first = df.filter(~text.is_blank(F.col(column))).select(column).distinct().orderBy(column).limit(max(most, 2))
+    values = F.array_sort(F.collect_list(column))  # ``most`` at most
+    return first.agg(F.slice(values, 1, most).alias("values"), (F.size(values) > 1).alias("mixed"))
 
 
 def visible_rows(catalog: DataFrame, loaded: list[str], every: bool) -> DataFrame:

@@ -10,29 +10,31 @@ from cauceda.queries.base import Register, table
 
 register = Register()
 
-CATALOG = [
-    ("orders", "*", "si: ventas públicas", "Pedidos", 1), ("orders", "o_custkey", "confidencial", "Cliente", 2), ("customer", "c_name", "puede usar el bot", "", 3),
-    ("customer", "c_acctbal", "interno", "Saldo", 4), ("part", "p_name", "disponible para el bot", "", 5), ("part", "p_size", "X", "", 6),
-    ("supplier", "", "no es confidencial, puede usar", "", 7), ("nation", "*", "", "", 8), (" ", "*", "si", "", 9),
-]
-
-
-def catalog(spark):
-    return spark.createDataFrame(CATALOG, 'table string, column string, instruction string, description string, position int')
+#: What the catalog of the query below says of a column, by the remainder of a part's size.
+INSTRUCTIONS = ("si: ventas públicas", "confidencial", "puede usar el bot", "interno", "", "X")
 
 
 @register("""
-SELECT * FROM (VALUES ('orders', TRUE, 'Pedidos'), ('customer', FALSE, ''), ('part', TRUE, ''), ('supplier', FALSE, ''), ('nation', FALSE, '')) t("table", allowed, description)
+SELECT p_brand AS "table", coalesce(arg_min(ok, p_partkey) FILTER (whole), bool_and(ok)) AS allowed, coalesce(arg_min(p_name, p_partkey) FILTER (whole), '') AS description
+FROM (SELECT *, p_partkey % 90 = 0 AS whole, p_size % 6 IN (0, 2, 5) OR p_partkey % 4 <> 0 AS ok FROM part) GROUP BY 1
 """)
 def policy_resolution(spark, sf_dir):
-    return policy.decide(catalog(spark))
+    """Brands as tables with their parts as columns; some have a row for the whole table."""
+    part = table(spark, sf_dir, "part")
+    said = F.when(F.col("p_partkey") % 4 != 0, "sí").otherwise(F.element_at(F.array(*map(F.lit, INSTRUCTIONS)), F.col("p_size") % 6 + 1))
+    column = F.when(F.col("p_partkey") % 90 == 0, F.when(F.col("p_partkey") % 180 == 0, "*").otherwise(" ")).otherwise(F.col("p_name"))
+    rows = part.select(F.concat(F.lit(" "), "p_brand").alias("table"), column.alias("column"), said.alias("instruction"), F.col("p_name").alias("description"), F.col("p_partkey").alias("position"))
+    return policy.decide(rows)
 
 
-@register("""SELECT * FROM (VALUES ('orders', 'erp__orders'), ('exact', 'exact')) t("table", name)""")
+@register("""SELECT 't' || c_custkey AS "table", CASE c_custkey % 4 WHEN 0 THEN 'erp__T' ELSE 't' END || c_custkey AS name FROM customer WHERE c_custkey % 2 = 0""")
 def table_resolution(spark, sf_dir):
-    logical = spark.createDataFrame([("orders",), ("twice",), ("none",), ("exact",)], "table string")
-    physical = spark.createDataFrame([("erp__orders",), ("a__twice",), ("b__twice",), ("exact",), ("x__exact",)], "name string")
-    return policy.resolve(logical, physical)
+    """A logical table for each customer; physical ones: of that ending alone, two of it, one of the whole name beside one of it, none."""
+    key = F.col("c_custkey")
+    customer = table(spark, sf_dir, "customer")
+    endings = F.when(key % 4 == 0, F.array(F.lit("erp__T"))).when(key % 4 == 1, F.array(F.lit("a__t"), F.lit("b__t"))).when(key % 4 == 2, F.array(F.lit("x__t"), F.lit("t")))
+    physical = customer.select("c_custkey", F.explode(endings).alias("ending")).select(F.concat("ending", "c_custkey").alias("name"))
+    return policy.resolve(customer.select(F.concat(F.lit("t"), "c_custkey").alias("table")), physical)
 
 
 @register("SELECT o_orderpriority AS priority, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -54,14 +56,14 @@ def governed_subqueries(spark, sf_dir):
     return guard.canonical(spark, views, formula)
 
 
-@register("SELECT * FROM (VALUES (2, 'ventas_mes', CAST(7 AS INTEGER)), (4, 'margen', CAST(3 AS INTEGER)), (1, 'saldo', CAST(0 AS INTEGER))) t(position, kpi, score)")
+@register("""
+SELECT p_partkey AS position, 'k' || p_partkey AS kpi, CAST(3 * (CAST(list_contains(w, 'widget') AS INT) + CAST(list_contains(w, 'ring') AS INT)) + CAST(list_contains(t, 'economy') AS INT) AS INTEGER) AS score
+FROM (SELECT *, string_split(lower(p_name), ' ') AS w, string_split(lower(p_type), ' ') AS t FROM part) ORDER BY score DESC, position LIMIT 16
+""")
 def kpi_relevance_topk(spark, sf_dir):
-    rows = [
-        (1, "saldo", "Saldo actual", "", "", "", ""), (2, "ventas_mes", "Ventas mensuales", "ventas por sucursal", "sucursal", "", ""),
-        (3, "clientes", "Clientes nuevos", "", "", "", ""), (4, "margen", "Margen", "margen en sucursal", "", "", ""),
-    ]
-    shape = "position int, kpi string, name string, examples string, description string, dimensions string, assumptions string"
-    return kpis.relevant(spark.createDataFrame(rows, shape), "¿Cuánto vendió en ventas la Sucursál?", 3).select("position", "kpi", "score")
+    """Parts as KPIs: the sixteen that share most words with a question."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), F.concat(F.lit("k"), "p_partkey").alias("kpi"), F.col("p_name").alias("name"), F.lit("").alias("examples"), F.col("p_type").alias("description"), F.lit("").alias("dimensions"), F.lit("").alias("assumptions"))
+    return kpis.relevant(rows, "¿Cuánto Widget o rïng hubo, en ECONOMY?").select("position", "kpi", "score")
 
 
 @register("SELECT c_mktsegment, c_name FROM customer")
@@ -79,10 +81,12 @@ def prompt_budget(spark, sf_dir):
     return trends.within_budget(capped, "c_custkey", "c_name", 4000)
 
 
-@register("""SELECT * FROM (VALUES ('orders;customer'), ('orders')) t("table")""")
+@register("""SELECT o_orderkey, o_orderstatus || '; ' || o_orderpriority AS "table" FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority[1] IN ('1', '2', '5')""")
 def catalog_rows_of_loaded(spark, sf_dir):
-    rows = spark.createDataFrame([("orders;customer",), ("orders; part",), ("orders",), ("",)], "table string")
-    return quality.visible_rows(rows, ["orders", "customer"], every=True)
+    orders = table(spark, sf_dir, "orders")
+    loaded = [r[0] for r in orders.select("o_orderpriority").distinct().collect() if r[0][0] in "125"]  # five priorities
+    rows = orders.select("o_orderkey", F.concat_ws("; ", "o_orderstatus", "o_orderpriority").alias("table"))
+    return quality.visible_rows(rows, ["F", "O", *loaded], every=True)
 
 
 @register("SELECT list_aggregate(list_sort(list_distinct(list(c_mktsegment))), 'string_agg', ',') AS segments, TRUE AS mixed FROM customer")

@@ -206,7 +206,16 @@ def delivery_state_fold(spark, sf_dir):
     return state.delivery(events)
 
 
-@register()
+@register("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+walk AS (
+  SELECT user_id, i, event_id, TRUE AS admitted, t AS p1, CAST(NULL AS BIGINT) AS p2 FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.i, e.event_id, w.p2 IS NULL OR w.p2 <= e.t - 86400000000,
+    CASE WHEN w.p2 IS NULL OR w.p2 <= e.t - 86400000000 THEN e.t ELSE w.p1 END, CASE WHEN w.p2 IS NULL OR w.p2 <= e.t - 86400000000 THEN w.p1 ELSE w.p2 END
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT event_id AS row_id, admitted FROM walk
+""")
 def throttled_events(spark, sf_dir):
     """At most 2 admitted events in a day for each user; denied ones do not count."""
     return state.throttle(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 86400)
