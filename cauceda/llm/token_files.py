@@ -90,7 +90,7 @@ def unpack_ids(data: np.ndarray, bits: int, skip: int, count: int) -> np.ndarray
 class Chunks(dict):
     """Codes of pieces of text in the order they come; ``settle`` has the library encode those that are new."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
