@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cauceda.functions import text
+from cauceda.operators.lookup import per_key
 
 UNCLASSIFIED = "unclassified"
 
@@ -60,7 +61,7 @@ def classify(df: DataFrame, column: str, target: str, rules: list[Rule], mapping
         layers.append(F.nullif(F.trim(f"_o_{target}"), F.lit("")))
     if mapping is not None:
         for i, own in enumerate(dict.fromkeys((dimension, ""))):
-            side = mapping.filter(F.coalesce("dimension", F.lit("")) == own).groupBy(F.col("folded").alias("_f")).agg(F.max("label").alias(f"_m{i}"))
+            side = per_key(mapping.filter(F.coalesce("dimension", F.lit("")) == own).withColumn("_f", F.col("folded")), ["_f"], F.max("label").alias(f"_m{i}"))
             out = out.join(side, out["_folded"] == side["_f"], "left").drop("_f")
             layers.append(F.col(f"_m{i}"))
     layers += [by_rule(rules, column), F.lit(UNCLASSIFIED)]

@@ -100,6 +100,25 @@ def asof_validity(spark, sf_dir):
     return lookup.lookup(base, plans, how, "o_orderkey").select("o_orderkey", "plan")
 
 
+@register("""
+WITH days AS (SELECT DISTINCT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day FROM lineitem),
+terms AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' END AS flag, CAST(o_orderdate AS DATE) AS begins,
+                 CASE WHEN o_orderkey % 997 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 2 AS INTEGER) END AS ends, o_orderkey FROM orders WHERE o_orderstatus <> 'P'),
+met AS (SELECT d.flag, d.day, min(o_orderkey) AS term FROM days d JOIN terms t ON d.flag = t.flag AND d.day >= t.begins AND d.day <= coalesce(t.ends, d.day) GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, term FROM lineitem LEFT JOIN met ON flag = l_returnflag AND day = CAST(l_shipdate AS DATE)
+""")
+def asof_hot_keys(spark, sf_dir):
+    """The first of thousands of overlapping terms that holds on a line's day, where three keys have all lines."""
+    orders, day = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'"), F.to_date("o_orderdate")
+    terms = orders.select(
+        F.when(F.col("o_orderstatus") == "F", "R").when(F.col("o_orderstatus") == "O", "N").alias("kind"), F.col("o_orderkey").alias("term"), day.alias("begins"),
+        F.when(F.col("o_orderkey") % 997 != 0, F.date_add(day, (F.col("o_orderkey") % 40 - 2).cast("int"))).alias("ends"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    how = lookup.Lookup("terms", "l_returnflag", "kind", ["term"], "term", base_date="l_shipdate", valid_from="begins", valid_to="ends")
+    return lookup.lookup(lines, terms, how, "line").select("l_orderkey", "l_linenumber", "term")
+
+
 @register("""
 SELECT s_suppkey, coalesce(a.k, b.k) AS stored_id FROM supplier
 LEFT JOIN (SELECT replace(c_name, 'Customer', 'Supplier') AS name, min(c_custkey) AS k FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) a ON s_name = a.name

@@ -54,6 +54,42 @@ def test_patterns_and_paths(spark):
     assert (row["a"], row["o"], row["none"]) == ("v", '[{"y":"v"}]', None)
 
 
+def test_blocks_of_an_interval(spark):
+    spans = spark.createDataFrame([(0, 0), (5, 3), (7, 8), (0, 16), (3, 700), (255, 4097), (100, lookup.WIDTH**lookup.LEVELS)], "low int, end int")
+    for r in spans.select("low", "end", lookup.blocks(F.col("low"), F.col("end")).alias("b")).collect():
+        cut = sorted((b["block"] * 16 ** b["level"], (b["block"] + 1) * 16 ** b["level"]) for b in r["b"])
+        ends = [r["low"], *(e for _, e in cut)]
+        assert [s for s, _ in cut] == ends[:-1] and ends[-1] == max(r["low"], r["end"] if cut else 0)
+        assert bool(cut) == (r["low"] < r["end"]) and len(cut) <= 30 * lookup.LEVELS
+
+
+def test_validity_of_a_hot_key(spark):
+    """100,000 rows and 1,000 intervals of one key: what is joined grows with their sum, and the last join can be split."""
+    start = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7 % 1500).cast("int"))
+    aux = spark.range(1000).select(F.lit("k").alias("key"), F.concat(F.lit("t"), "id").alias("term"), "id", start.alias("a"), F.when(F.col("id") % 100 != 0, F.date_add(start, (F.col("id") % 50 - 1).cast("int"))).alias("b"))
+    base = spark.range(100_000).select("id", F.when(F.col("id") % 1000 == 0, " ").otherwise("k").alias("of"), F.date_add(F.lit("2019-12-01").cast("date"), (F.col("id") % 1600).cast("int")).alias("day"))
+    how = lookup.Lookup("terms", "of", "key", ["term"], "id", base_date="day", valid_from="a", valid_to="b")
+    terms = [(r["a"], r["b"] or dt.date.max, r["id"]) for r in aux.collect()]
+    firsts = {}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")}
+    try:
+        for k, v in zip(kept, ("-1", "16KB", "16KB", "1.2"), strict=True):
+            spark.conf.set(k, v)
+        hot = base.withColumn("day", F.when(F.col("id") % 3 == 0, F.lit("2020-06-01").cast("date")).otherwise(F.col("day")))
+        found = lookup.lookup(hot, aux, how, "id")
+        rows = found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for r in rows:
+        if r["day"] not in firsts:
+            firsts[r["day"]] = min((i for a, b, i in terms if a <= r["day"] <= b), default=None)
+        want = firsts[r["day"]] if r["of"] == "k" else None
+        assert r["term"] == (None if want is None else f"t{want}")
+    assert len(rows) == 100_000
+
+
 def test_lookup_first_match_and_validity(spark):
     base = spark.createDataFrame([(1, "x-8774", "2026-08-01", None), (2, "8774", "2026-01-01", "own"), (3, "", "2026-08-01", None), (4, "8774", None, None)], "id int, card string, day string, who string")
     aux = spark.createDataFrame([("8774", "Ana", "2026-07-01", "", "", 2), ("*8774", "Eva", "", "2026-07-31", "si", 1), ("8774", "Off", "", "", "no", 0)], "last4 string, who string, a string, b string, active string, pos int")
