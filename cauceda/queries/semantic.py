@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cauceda.functions import text
-from cauceda.operators import classify, extract, lookup
+from cauceda.operators import classify, extract, lookup, propose
 from cauceda.operators.extract import Field, Model
 from cauceda.queries.base import Register, table
 from cauceda.queries.scalars import spanish
@@ -75,6 +75,18 @@ def extract_json(spark, sf_dir):
     return extract.accepted(extract.extract(raw, model, "body"))
 
 
+@register("""
+WITH n AS (SELECT count(*) AS texts, count(*) FILTER (WHERE o_orderkey % 10 <> 7) AS named FROM orders)
+SELECT "column", type, labels, required, CASE "column" WHEN 'comercio' THEN named ELSE texts END AS support, named AS accepted, texts - named AS rejected
+FROM n, (VALUES ('comercio', 'text', 'Comercio', TRUE), ('fecha', 'date_es', 'Fecha', TRUE), ('amex', 'label', 'AMEX|MASTER|VISA', TRUE), ('importe', 'amount', 'Importe|Monto', TRUE)) f("column", type, labels, required)
+""")
+def proposed_fields(spark, sf_dir):
+    """The fields that the notices themselves propose, with what a trial of them on all notices accepts."""
+    out = propose.propose(notices(spark, sf_dir, "\n"), "body")
+    rows = [(f.column, f.type, "|".join(f.labels), f.required, out.support[f.column], out.accepted, out.rejected) for f in out.fields]
+    return spark.createDataFrame(rows, "column string, type string, labels string, required boolean, support bigint, accepted bigint, rejected bigint")
+
+
 @register("""
 SELECT c_custkey, n.first_nation FROM customer JOIN nation a ON c_nationkey = a.n_nationkey
 LEFT JOIN (SELECT n_regionkey, min_by(n_name, n_nationkey) AS first_nation FROM nation WHERE n_nationkey % 7 <> 0 GROUP BY 1) n ON a.n_regionkey = n.n_regionkey
