@@ -78,14 +78,14 @@ def entries(bodies: DataFrame, body: str) -> DataFrame:
 
 
 def trials(value: Column) -> dict[str, Column]:
-    """As what a filled value reads, the narrowest first."""
-    both = numbers.parse_amount(value)
+    """As what a filled value reads, the narrowest first. Costly readings are tried where a cheap look allows them."""
+    digit, money = value.rlike("[0-9]"), lambda x: x["amount"].isNotNull() & x["currency"].isNotNull()
     return {
         "integer": value.rlike("^-?[0-9]{1,18}$"),
-        "date_iso": dates.parse_date(value).isNotNull(),
-        "date_es": dates.parse_spanish_date(value).isNotNull(),
-        "decimal": value.rlike("^-?[0-9]+([.,][0-9]+)*$") & numbers.parse_number(value).isNotNull(),
-        "amount": both["amount"].isNotNull() & both["currency"].isNotNull(),
+        "date_iso": F.when(value.rlike("^[0-9]{1,4}[/.-][0-9]"), dates.parse_date(value).isNotNull()).otherwise(False),
+        "date_es": F.when(digit & (value.rlike(dates.SPANISH) | value.rlike("^[0-9]{1,4}[/.-][0-9]")), dates.parse_spanish_date(value).isNotNull()).otherwise(False),
+        "decimal": F.when(value.rlike("^-?[0-9]+([.,][0-9]+)*$"), numbers.parse_number(value).isNotNull()).otherwise(False),
+        "amount": F.when(digit & ~value.rlike("^-?[0-9]+$"), numbers.bound(numbers.parse_amount(value), money)).otherwise(False),
         "label": value.rlike("^[*xX]{2,}[-* xX]*[0-9]{2,6}$"),
     }
 
@@ -96,9 +96,10 @@ def frequent(read: DataFrame, least: float, most: int) -> tuple[int, bool, list[
     texts = sum(r["count"] for r in kinds)
     json = 2 * sum(r["count"] for r in kinds if r["is_json"]) > texts
     filled, value = ~text.is_blank(F.col("value")), F.col("value")
-    counts = {f"as_{k}": F.count_if(filled & t) for k, t in trials(value).items()}
+    counts = {f"as_{k}": F.count_if(filled & F.col(f"as_{k}")) for k in trials(value)}
     counts |= {"support": F.count("*"), "filled": F.count_if(filled), "zeros": F.count_if(value.rlike("^0[0-9]")), "spelled": F.min("spelled")}
-    rows = read.filter(F.col("is_json") == json).select(F.inline("entries")).groupBy("label").agg(*(c.alias(n) for n, c in counts.items()))
+    rows = read.filter(F.col("is_json") == json).select(F.inline("entries"))
+    rows = extract.once(rows.select("label", "spelled", "value", *(t.alias(f"as_{k}") for k, t in trials(value).items())), [f"as_{k}" for k in trials(value)]).groupBy("label").agg(*(c.alias(n) for n, c in counts.items()))
     kept = rows.filter(F.col("support") >= max(1, least * texts)).orderBy(F.desc("support"), "label").limit(most + 1).collect()
     found = [Label(r["label"], r["spelled"], r["support"], r["filled"], r["zeros"], {k[3:]: r[k] for k in counts if k.startswith("as_")}) for r in kept[:most]]
     return texts, json, found, len(kept) > most

@@ -11,7 +11,7 @@ from cauceda.operators.cut import shared_folder
 from cauceda.plans import catalog, memory
 from cauceda.queries.base import Register, table
 from cauceda.queries.semantic import notices
-from cauceda.sources import calendar, pages, registry
+from cauceda.sources import calendar, pages, parts, registry
 from cauceda.streaming import drafts
 
 register = Register()
@@ -155,4 +155,22 @@ def confirm_once(spark, sf_dir):
     return drafts.settle(drafts.events_of(rows, "user_id", "message", "kind", "ts", "event_id"), drafts.Rules(2 * drafts.DAY), until=1_893_456_000_000)
 
 
+@register("""
+WITH e AS (SELECT event_id, event_type AS part, event_id % 1000 = 7 AS damaged FROM events WHERE event_type <> (SELECT min(event_type) FROM events)),
+counts AS (SELECT part, count(*) AS records, count(*) FILTER (WHERE damaged) AS damaged FROM e GROUP BY 1)
+SELECT 'part' AS how, event_id AS id, part FROM e WHERE part NOT IN (SELECT part FROM counts WHERE damaged > 0)
+UNION ALL SELECT 'record', event_id, part FROM e WHERE NOT damaged
+""")
+def parts_that_fail(spark, sf_dir):
+    """Events as parts of a source by their type, some records cut short and one part without files: what lands either way."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())
+    record = F.to_json(F.struct(F.col("event_id").alias("id")))
+    path = f"{shared_folder(spark)}/cauceda/parts-{uuid.uuid4().hex}"
+    written = events.filter(F.col("event_type") != kinds[0]).select(F.when(F.col("event_id") % 1000 == 7, F.left(record, F.length(record) - 1)).otherwise(record).alias("record"), F.col("event_type").alias("part"))
+    written.write.partitionBy("part").text(path)
+    out = [parts.read_parts(spark, {k: f"{path}/part={k}" for k in kinds}, how).rows.withColumn("how", F.lit(how)) for how in parts.HOW]
+    return out[0].unionByName(out[1]).select("how", F.get_json_object("record", "$.id").cast("long").alias("id"), "part")
+
+
 QUERIES, ORACLES = register.queries, register.oracles

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cauceda.functions import hashing, numbers
+from cauceda.sources import parts
 
 _LIST = "array<struct<action_type:string,value:string>>"
 #: Contract columns that are read as text, as numbers, as whole numbers; with the payload's names.
@@ -97,6 +98,13 @@ def insights(spark: SparkSession, path: str, level: str, breakdowns: tuple[str,
     return out.filter("coalesce(gasto, 0) > 0") if only_spent else out
 
 
+def accounts(spark: SparkSession, paths: dict[str, str], level: str, breakdowns: tuple[str, ...] = (), zone: str = "", only_spent: bool = False, damaged: str = "part") -> tuple[DataFrame, parts.Parts]:
+    """The insights of several accounts, each under its own path, and what was read of each. One that fails stops no other."""
+    found = parts.read_parts(spark, paths, damaged)
+    out = insights_of(found.rows.select(F.col("record").alias("insight")), level, breakdowns, zone)
+    return (out.filter("coalesce(gasto, 0) > 0") if only_spent else out), found
+
+
 def structure_of(raw: DataFrame, level: str, minor_units: int = 100) -> DataFrame:
     """Campaigns, sets or ads with budgets in major units. raw: item (JSON text)."""
     df = raw.select(F.from_json("item", "id string, name string, status string, effective_status string, daily_budget string, lifetime_budget string").alias("i"))

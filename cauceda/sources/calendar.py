@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cauceda.functions import hashing
 from cauceda.operators.identity import Identity
+from cauceda.sources import parts
 
 _MOMENT = "struct<dateTime:string,date:string,timeZone:string>"
 #: What is read of an event.
@@ -64,10 +65,11 @@ def window(df: DataFrame, now: Column, back: int = 30, ahead: int = 60) -> DataF
     return df.filter((F.col("estado") == "cancelled") | near)
 
 
-def events(spark: SparkSession, paths: dict[str, tuple[str, str]]) -> DataFrame:
-    """The events of several calendars' files of one event a line. paths: calendar id -> (resource, path)."""
-    parts = [spark.read.text(path).select(F.lit(c).alias("calendar_id"), F.lit(r).alias("recurso"), F.col("value").alias("event")) for c, (r, path) in paths.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return events_of(every)
+def events(spark: SparkSession, paths: dict[str, tuple[str, str]], damaged: str = "part") -> tuple[DataFrame, parts.Parts]:
+    """The events of several calendars' files of one event a line, and what was read of each calendar.
+
+    paths: calendar id -> (resource, path). A calendar that fails stops no other; see ``parts.read_parts``.
+    """
+    found = parts.read_parts(spark, {c: path for c, (_, path) in paths.items()}, damaged)
+    names = F.create_map(*(F.lit(x) for c, (resource, _) in paths.items() for x in (c, resource)))
+    return events_of(found.rows.select(F.col("part").alias("calendar_id"), names[F.col("part")].alias("recurso"), F.col("record").alias("event"))), found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import re
 from collections.abc import Iterator
@@ -99,12 +100,22 @@ def messages_of(raw: DataFrame) -> DataFrame:
     return raw.select("mailbox", "folder", "uid", "content").mapInPandas(run, CONTRACT)
 
 
-def messages(spark: SparkSession, path: str, mailbox: str, folder: str = "INBOX", newest: int | None = None) -> DataFrame:
-    """The messages of files named <uid>.eml under ``path``; of more than ``newest`` those of highest uid."""
+def messages(spark: SparkSession, path: str, mailbox: str, folder: str = "INBOX", newest: int | None = None, since: dt.datetime | None = None) -> tuple[DataFrame, list[str]]:
+    """The messages of files named <uid>.eml under ``path``, and an alert where some are left out.
+
+    ``since``: only files that arrived at that moment or later, which the listing decides before any is opened. Of more
+    than ``newest`` those of highest uid are read; counting and choosing them reads no content.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
+    if since is not None:
+        files = files.filter(F.col("modificationTime") >= F.lit(since))
     uid = F.regexp_extract("path", r"([^/]+)\.eml$", 1)
     raw = files.select(F.lit(mailbox).alias("mailbox"), F.lit(folder).alias("folder"), uid.alias("uid"), "content")
+    alerts = []
     if newest is not None:
-        top = raw.select("uid").orderBy(F.col("uid").try_cast("bigint").desc_nulls_last(), F.desc("uid")).limit(newest)
-        raw = raw.join(F.broadcast(top), "uid", "left_semi")
-    return messages_of(raw)
+        every = raw.select("uid").count()
+        if every > newest:
+            alerts.append(f"{mailbox}/{folder}: {every} messages, only the newest {newest} are read: {every - newest} are left out")
+            top = raw.select("uid").orderBy(F.col("uid").try_cast("bigint").desc_nulls_last(), F.desc("uid")).limit(newest)
+            raw = raw.join(top, "uid", "left_semi")
+    return messages_of(raw), alerts

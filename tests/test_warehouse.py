@@ -100,12 +100,16 @@ def test_mail(spark, tmp_path):
     m.add_attachment(b"x", maintype="application", subtype="pdf", filename="f.pdf")
     for uid in (7, 9, 10):
         (tmp_path / f"{uid}.eml").write_bytes(m.as_bytes() if uid != 7 else b"Subject: none\n\nbody")
-    rows = {r["uid"]: r for r in mail.messages(spark, str(tmp_path), "me@x.cr", newest=2).collect()}
+    found, alerts = mail.messages(spark, str(tmp_path), "me@x.cr", newest=2)
+    assert len(alerts) == 1 and "are left out" in alerts[0]
+    rows = {r["uid"]: r for r in found.collect()}
     assert set(rows) == {"9", "10"} and rows["9"]["correo_id"] == rows["10"]["correo_id"]
     r = rows["9"]
     assert (r["remitente_nombre"], r["remitente_correo"], r["destinatarios"], r["cc"], r["asunto"]) == ("Ferretería Solano", "ventas@solano.cr", "a@x.cr", "c@x.cr", "Factura ñ")
     assert (r["n_adjuntos"], r["adjuntos"], r["fecha"], r["message_id"]) == (1, "f.pdf", dt.datetime(2026, 8, 9, 16, 22), "<id@x>") and r["cuerpo"].startswith("hola")
-    every = mail.messages(spark, str(tmp_path), "me@x.cr").collect()
+    found, alerts = mail.messages(spark, str(tmp_path), "me@x.cr")
+    every = found.collect()
+    assert alerts == [] and mail.messages(spark, str(tmp_path), "me@x.cr", since=dt.datetime(2100, 1, 1))[0].count() == 0
     assert len(every) == 3 and len({x["correo_id"] for x in every}) == 2
 
 
