@@ -29,6 +29,8 @@ from cauceda.llm.hashing import constants
 UNIT = 576
 #: Texts with shared chunks are marked by a broadcast up to so many (some 100 bytes each), else by a shuffle.
 BROADCAST_TEXTS = 250_000
+#: Digests that they hold in all; each takes some 50 bytes.
+BROADCAST_DIGESTS = 4_000_000
 GEAR = (constants(256, 6) >> np.uint64(32)).astype(np.uint32)
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -130,7 +132,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = shared_chunks(rows.select("key", "text"))
-    if shared.count() <= BROADCAST_TEXTS:
+    size = shared.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("shared")), F.lit(0)).alias("digests")).first()
+    if size["texts"] <= BROADCAST_TEXTS and size["digests"] <= BROADCAST_DIGESTS:
         shared = F.broadcast(shared)
 
     def kept(k, text: bytes, shared: list[bytes] | None):

@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import new_path, read_table, slices
+from cauceda.llm.common import discard, materialize, new_path, read_table, slices
 
 MAGIC = b"\x1f\x8b\x08"
 START = b"WARC/1."
@@ -66,14 +66,19 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, dat
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, date: str = "2000-01-01T00:00:00Z", level: int = 6) -> None:
-    """Write one record per row of ``pages`` to files under ``path``."""
+    """Write one record per row of ``pages`` to files under ``path``.
+
+    Payloads that repeat are written aside first, so that Spark knows their size and can split a hot one over tasks.
+    Rows below ``least`` have no copies: they move by their own page, if at all.
+    """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     copies = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    copies = copies.filter("n > 1").drop("n")
+    copies = materialize(copies.filter("n > 1").select(F.col("digest").alias("key"), "first"), "warc-copies")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
+    key = F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.withColumn("key", key).join(copies, "key", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload"):
@@ -82,6 +87,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     members = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string"))
     members.write.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).text(path)
+    discard(copies)
 
 
 class Member:

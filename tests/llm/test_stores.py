@@ -91,6 +91,25 @@ def test_ranges_are_dealt_to_many_tasks(spark, pages, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/warc", 500).rdd.getNumPartitions() >= 8
 
 
+def test_a_hot_payload_and_small_ones_spread_over_files(spark, tmp_path):
+    """Half of the pages share a payload and a quarter are empty, with no broadcast: no file gets half of the records."""
+    hot, own = F.repeat(F.lit("hot "), 200), F.concat(F.repeat(F.lit("x"), 150), F.sha2(F.col("page_id").cast("string"), 512))
+    made = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), F.sha2(F.col("id").cast("string"), 512)).alias("url"))
+    made = made.withColumn("html", F.when(F.col("page_id") % 2 == 0, hot).when(F.col("page_id") % 4 == 1, "").otherwise(own))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        warc.write_warc(made, f"file://{tmp_path}/warc")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    counts = [r["count"] for r in warc.read_warc(spark, f"file://{tmp_path}/warc").groupBy(F.spark_partition_id()).count().collect()]
+    names = [len(gzip.open(f).read().split(b"WARC/1.1\r\n")) - 1 for f in (tmp_path / "warc").glob("part-*")]
+    assert sum(counts) == sum(names) == 20_000 and max(names) < 8_000
+
+
 def test_damaged_payloads_raise():
     content = warc.record(1, "u", b"abc", hashlib.sha256(b"other").hexdigest(), None, "d")
     with pytest.raises(ValueError):
