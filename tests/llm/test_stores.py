@@ -138,8 +138,8 @@ def test_cuts_follow_content():
     assert ends[-1] == len(data) and all(1024 < s <= 16384 for s in sizes[:-1])
     moved = media.cuts(os.urandom(777) + data)
     assert len({e for e in ends} & {e - 777 for e in moved}) > len(ends) / 2
-    slow = [sum(int(media.GEAR[data[i - k]]) << k for k in range(min(i + 1, 32))) % 2**32 >> 20 == 0 for i in range(9000)]
-    first = next(i + 1 for i in range(1024, 9000) if slow[i - 1 + 1 - 0] and i + 1 >= 1024)
+    slow = [sum(int(media.GEAR[data[i - k]]) << k for k in range(min(i + 1, 32))) % 2**32 >> 20 == 0 for i in range(16384)]
+    first = next((i + 1 for i in range(1024, 16384) if slow[i]), 16384)
     assert ends[0] in (first, first + 1) or ends[0] == 16384
 
 
