@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cauceda.operators import trends
+from cauceda.plans import chart
 from cauceda.queries.base import Register, table
 
 register = Register()
@@ -228,4 +229,32 @@ def session_events(spark, sf_dir):
     return out.select("user_id", "start", "last", "events")
 
 
+@register("""
+WITH d AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS x, round(sum(l_extendedprice), 2) AS gross, CAST(count(*) AS DOUBLE) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem GROUP BY 1),
+p AS (SELECT 'Part ' || l_partkey AS x, sum(l_quantity) AS quantity, CAST(count(*) AS DOUBLE) AS lines, sum(l_linenumber) * 1000.0 AS places FROM lineitem GROUP BY 1),
+points AS (
+  SELECT 'days' AS chart, row_number() OVER (ORDER BY x) AS position, x AS label, 'line' AS kind, unnest([{'s': 'gross', 'v': gross}, {'s': 'lines', 'v': lines}, {'s': 'net', 'v': net}]) AS c FROM (SELECT * FROM d ORDER BY x DESC LIMIT 90)
+  UNION ALL
+  SELECT 'parts', row_number() OVER (ORDER BY quantity DESC, x), x, CASE WHEN max(length(x)) OVER () > 10 THEN 'bars' ELSE 'columns' END, unnest([{'s': 'quantity', 'v': quantity}, {'s': 'lines', 'v': lines}, {'s': 'places', 'v': places}])
+  FROM (SELECT * FROM p ORDER BY quantity DESC, x LIMIT 25)),
+scales AS (
+  SELECT 'days' AS chart, unnest([{'s': 'gross', 'r': 1.0}, {'s': 'lines', 'r': max(lines) / max(gross)}, {'s': 'net', 'r': max(net) / max(gross)}]) AS r FROM d
+  UNION ALL SELECT 'parts', unnest([{'s': 'quantity', 'r': 1.0}, {'s': 'lines', 'r': max(lines) / max(quantity)}, {'s': 'places', 'r': max(places) / max(quantity)}]) FROM p)
+SELECT chart, position, label, kind, c.s AS series, c.v AS value FROM points JOIN scales USING (chart) WHERE c.s = r.s AND r.r BETWEEN 0.05 AND 20
+""")
+def chart_points(spark, sf_dir):
+    """What two charts of sums over lines show: the last days, the largest parts, each with the series that share a scale."""
+    lines = table(spark, sf_dir, "lineitem")
+    days = lines.groupBy(F.to_date("l_shipdate").alias("day")).agg(cents("l_extendedprice").alias("gross"), F.count("*").alias("lines"), F.round(F.sum(F.expr(REVENUE)), 2).alias("net"))
+    parts = lines.groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"), (F.sum("l_linenumber") * 1000).alias("places"))
+    parts = parts.select(F.concat(F.lit("Part "), "l_partkey").alias("part"), "quantity", "lines", "places")
+    out = None
+    for name, result in (("days", days), ("parts", parts)):
+        shown = chart.plan(result)
+        told = F.explode(F.arrays_zip(F.array(*map(F.lit, shown.series)).alias("series"), F.col("values").alias("value"))).alias("c")
+        points = shown.points.select(F.lit(name).alias("chart"), "position", "label", "kind", told).select("chart", "position", "label", "kind", "c.series", "c.value")
+        out = points if out is None else out.unionByName(points)
+    return out
+
+
 QUERIES, ORACLES = register.queries, register.oracles

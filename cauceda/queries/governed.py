@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cauceda.operators import quality, trends
-from cauceda.plans import guard, kpis, policy
+from cauceda.plans import guard, kpis, policy, tables
 from cauceda.queries.base import Register, table
 
 register = Register()
@@ -95,4 +95,39 @@ def mixed_values(spark, sf_dir):
     return out.select(F.concat_ws(",", "values").alias("segments"), "mixed")
 
 
+#: Catalog rows of the query below: table, column, instruction, description.
+SAID = (
+    ("orders", "*", "si", "Ventas"), ("orders", "o_orderkey", "", "Número"), ("orders", "o_custkey", "confidencial", "Quién"), ("customer", "*", "si", "Clientes"),
+    (" nation", "n_name", "si: pública", "País"), ("nation", "n_regionkey", "puede usar", ""), ("lineitem", "*", "uso interno", "Líneas"), ("supplier", "", "si", "Sin tabla"),
+    ("región", "*", "si", "Otro nombre"), ("region", "", "x", "Regiones"), ("geo_region", "*", "sí", "Regiones del mapa"), ("events", "ts", "si", ""), ("events", "props", "privado", ""),
+)
+
+
+@register("""
+WITH o AS (SELECT '{"o_orderkey":"' || o_orderkey || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":"' || o_totalprice || '","o_orderdate":"' || o_orderdate || '","o_orderpriority":"' || o_orderpriority || '"}' AS s
+           FROM orders ORDER BY o_orderkey LIMIT 2),
+n AS (SELECT '{"n_nationkey":"' || n_nationkey || '","n_name":"' || n_name || '","n_regionkey":"' || n_regionkey || '"}' AS s FROM nation ORDER BY n_nationkey LIMIT 2),
+r AS (SELECT r_regionkey AS k, '{"r_regionkey":"' || r_regionkey || '","r_name":"' || r_name || '"}' AS s FROM region)
+SELECT 'orders' AS "table", 'erp__orders' AS name, 'Tabla erp__orders — Ventas' || chr(10) || '    - o_orderkey (bigint): Número' || chr(10) || '    - o_custkey (bigint): Quién' || chr(10) || '    - o_orderstatus (string)' || chr(10)
+       || '    - o_totalprice (double)' || chr(10) || '    - o_orderdate (timestamp_ntz)' || chr(10) || '    - o_orderpriority (string)' || chr(10) || '    - _run_id (string): lineage' AS text, string_agg(s, chr(10) ORDER BY s) AS samples FROM o
+UNION ALL SELECT 'nation', 'nation', 'Tabla nation' || chr(10) || '    - n_nationkey (int)' || chr(10) || '    - n_name (string): País' || chr(10) || '    - n_regionkey (int)', string_agg(s, chr(10) ORDER BY s) FROM n
+UNION ALL SELECT 'region', 'region', 'Tabla region — Regiones' || chr(10) || '    - r_regionkey (int)' || chr(10) || '    - r_name (string)', string_agg(s, chr(10) ORDER BY s) FROM r WHERE k < 2
+UNION ALL SELECT 'geo_region', 'geo_region', 'Tabla geo_region — Regiones del mapa' || chr(10) || '    - r_regionkey (int)' || chr(10) || '    - r_name (string)', string_agg(s, chr(10) ORDER BY s) FROM r WHERE k > 2
+""")
+def described_tables(spark, sf_dir):
+    """Given tables under names of a warehouse: what the catalog allows of them, their columns and two rows of each."""
+    own = spark.newSession()  # names of its own
+    orders = table(own, sf_dir, "orders").orderBy("o_orderkey").withColumn("_run_id", F.lit("r1"))
+    views = {"erp__orders": orders, "nation": table(own, sf_dir, "nation").orderBy("n_nationkey"), "geo__nation": table(own, sf_dir, "nation")}
+    views |= {f"{source}__customer": table(own, sf_dir, "customer") for source in ("erp", "crm")}
+    views |= {"erp__lineitem": table(own, sf_dir, "lineitem"), "web__events": table(own, sf_dir, "events"), "_supplier": table(own, sf_dir, "supplier")}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    region = table(own, sf_dir, "region").orderBy("r_regionkey")
+    for part in ("r_regionkey < 3", "r_regionkey > 2"):  # two sources give one name
+        tables.register(own, region.filter(part), "Región", "geo")
+    rows = own.createDataFrame([(*row, place) for place, row in enumerate(SAID)], "table string, column string, instruction string, description string, position int")
+    return tables.describe(own, rows).select("table", "name", "text", F.array_join("samples", "\n").alias("samples"))
+
+
 QUERIES, ORACLES = register.queries, register.oracles
