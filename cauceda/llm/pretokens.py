@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 from struct import pack
 
 import numpy as np
@@ -18,6 +19,8 @@ import regex
 from cauceda.llm.hashing import ragged, same_spans, span_hashes
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+#: Bytes that are split at once, and bytes in which a place to cut is looked for at once.
+PART, WINDOW = 4 << 20, 1 << 16
 
 
 @lru_cache(1)
@@ -57,6 +60,34 @@ def split(data: np.ndarray, offsets: np.ndarray, pattern: str = public_tokenizer
     return bounds, counts
 
 
+def sure_splits(data: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Places past ``low``, up to about ``high``, before which ``PATTERN`` ends a pre-token whatever is around: kinds of characters
+    change there, and the character before is neither white space nor an apostrophe."""
+    while low < high and data[low] & 0xC0 == 0x80:
+        low += 1
+    while high < len(data) and data[high] & 0xC0 == 0x80:
+        high += 1
+    points = np.frombuffer(data[low:high].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    at = low + np.flatnonzero((data[low:high] & 0xC0) != 0x80)
+    kind = character_classes()[points]
+    return at[1:][(kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE) & (points[:-1] != 39)]
+
+
+def cuts(data: np.ndarray, part: int) -> list[int]:
+    """Places that cut one text into parts of about ``part`` bytes without cutting a pre-token. A longer pre-token stays whole."""
+    out, start, step = [], 0, WINDOW - 8  # windows share two characters, so that no place falls between them
+    while len(data) - start > part:
+        end = start + part
+        before = (sure_splits(data, max(start, high - WINDOW), high)[-1:] for high in range(end, start, -step))
+        after = (sure_splits(data, low, min(low + WINDOW, len(data)))[:1] for low in range(max(start, end - 8), len(data), step))
+        found = next((x for x in chain(before, after) if len(x)), None)
+        if found is None:
+            break
+        start = int(found[0])
+        out.append(start)
+    return out
+
+
 def _contractions(points: np.ndarray, start: np.ndarray, first: np.ndarray) -> None:
     """An apostrophe that begins a pre-token takes s, t, m, d, re, ve or ll with it."""
     n = len(points)
@@ -98,8 +129,29 @@ class Encoder:
         self.rest, self.whole, self.pattern, self.most = rest, whole, pattern, memo
         self.memo: dict[bytes, bytes] = {}  # ids as packed 32-bit integers
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and each text's count."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and each text's count. Texts longer than ``part`` bytes go in parts, so what is held beside texts
+        and ids does not grow with them; a pattern of one's own has no known places to cut, so there they go whole."""
+        if len(data) <= part or self.pattern != public_tokenizers.PATTERN:
+            return self._encode(data, offsets)
+        ids, counts = [], []
+        at, last = 0, len(offsets) - 1
+        while at < last:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + part, side="right")) - 1)
+            some = data[offsets[at] : offsets[end]]
+            if end > at + 1 or len(some) <= part:
+                own, n = self._encode(some, offsets[at : end + 1] - offsets[at])
+                counts.append(n)
+            else:
+                edges = [0, *cuts(some, part), len(some)]
+                made = [self._encode(some[a:b], np.array([0, b - a], np.int64))[0] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                own = np.concatenate(made)
+                counts.append(np.array([len(own)], np.int64))
+            ids.append(own)
+            at = end
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds, counts = split(data, offsets, self.pattern)
         starts, ends = bounds[:-1], bounds[1:]
         if not len(starts):

@@ -17,21 +17,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cauceda.llm.common import materialize, read_table
+from cauceda.llm.common import discard, materialize, read_table
 
 #: Buckets whose sizes one task adds up.
 RUN = 4096
+#: Copies of a row that are made at once: so many rows and bytes, and so many rows and bytes a task.
+COPIES, COPIED_BYTES = 4096, 16 << 20
+TASK_COPIES, TASK_BYTES = 1 << 17, 128 << 20
 
 
-def told_apart(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text, size) with an ordinal, from 1, among those that repeat id and text."""
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, text, size) with an ordinal, from 1, among those that repeat id and text; and a table to discard once that is written.
+
+    Repeated rows are counted into one and made again from the count. The count is cut into runs, which are dealt to
+    a number of tasks that grows with the copies, so that no task makes all copies of a row.
+    """
     named = rows.withColumn("key", F.xxhash64("text"))
-    again = named.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    again = materialize(again.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "shuffled-again")
+    again = named.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    again = materialize(again.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n", "bytes"), "shuffled-again")
+    made = again.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = 1 + (made.n or 0) // TASK_COPIES + (made.bytes or 0) // TASK_BYTES
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    alone = named.join(again, same, "left_anti").select("doc_id", "text", "size", F.lit(1).cast("long").alias("ordinal"))
-    copies = named.join(again, same, "left_semi").groupBy("doc_id", "text", "size").agg(F.count("*").alias("n"))
-    return alone.unionByName(copies.select("doc_id", "text", "size", F.explode(F.expr("sequence(1L, n)")).alias("ordinal")))
+    keys = again.select("_id", "_key")
+    alone = named.join(keys, same, "left_anti").select("doc_id", "text", "size", F.lit(1).cast("long").alias("ordinal"))
+    copies = named.join(keys, same, "left_semi").groupBy("doc_id", "text", "size").agg(F.count("*").alias("n"))
+    run = F.greatest(F.lit(1), F.least(F.lit(COPIES), F.floor(F.lit(COPIED_BYTES) / F.col("size")))).cast("long")
+    runs = copies.withColumn("run", run).withColumn("first", F.explode(F.expr("sequence(1L, n, run)")))
+    dealt = runs.repartition(tasks, F.xxhash64("doc_id", "text", "first"))  # a given number is not coalesced
+    made_again = dealt.select("doc_id", "text", "size", F.explode(F.expr("sequence(first, least(n, first + run - 1))")).alias("ordinal"))
+    return alone.unionByName(made_again), again
 
 
 def fisher_yates(seed: int) -> str:
@@ -57,10 +71,12 @@ def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes), -(-count // bucket_rows))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "ordinal"), F.lit(buckets)).alias("bucket")
-    held = told_apart(rows).select("*", bucket).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "ordinal", "size", "text")).alias("rows"))
+    parted, again = told_apart(rows)
+    held = parted.select("*", bucket).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "ordinal", "size", "text")).alias("rows"))
     dealt = held.select("bucket", F.array_sort("rows").alias("rows"))
     drawn = dealt.select("bucket", F.posexplode(F.expr(fisher_yates(seed))).alias("at", "row"))
     drawn = materialize(drawn.select("bucket", "at", "row.doc_id", "row.size", "row.text"), "shuffled")
+    discard(again)
     starts = starts_of(drawn.groupBy("bucket").agg(F.count("*").alias("n")))
     return drawn.join(starts, "bucket").select("doc_id", "text", "size", "bucket", (F.col("start") + F.col("at")).alias("position"))
 

@@ -271,3 +271,24 @@ def test_substring_keeps_other_columns(docs):
     out = substring_dedup.substring_dedup(docs, keep=("lang", "text"))
     assert out.filter("n_removed = 0 AND row.text IS NOT NULL").count() > 10
     assert out.select("row.lang").distinct().count() == 1
+
+
+def test_copies_of_a_row_spread_over_tasks(spark, monkeypatch):
+    """Half the rows are one row: no task makes them all, and each has an ordinal of its own."""
+    monkeypatch.setattr(sharding, "TASK_COPIES", 2000)
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    rows = spark.range(20000).select(F.when(F.col("id") < 10000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 10000, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")).withColumn("size", F.lit(10).cast("long"))
+    parted, again = sharding.told_apart(rows)
+    where = parted.filter("doc_id = 7").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(where) >= 4 and max(r["count"] for r in where) < 6000
+    got = parted.filter("doc_id = 7 OR doc_id IS NULL").groupBy("doc_id").agg(F.count("*"), F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [(3, 3, 1, 3), (10000, 10000, 1, 10000)]
+    assert parted.count() == 20003 and again.count() == 2
+
+
+def test_long_copies_are_made_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIED_BYTES", 100)
+    rows = spark.createDataFrame([(1, "x" * 70)] * 5 + [(2, "y" * 900)] * 2 + [(3, "z")], "doc_id long, text string").withColumn("size", F.length("text").cast("long") + 1)
+    parted, _ = sharding.told_apart(rows)
+    assert sorted((r["doc_id"], r["ordinal"]) for r in parted.collect()) == [*((1, i) for i in range(1, 6)), (2, 1), (2, 2), (3, 1)]

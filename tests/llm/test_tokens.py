@@ -56,6 +56,31 @@ def test_hashes_that_collide_change_nothing(monkeypatch):
     assert encode(texts) == want
 
 
+@pytest.mark.parametrize("window", [16, 1 << 16])
+def test_long_texts_in_parts(monkeypatch, window):
+    """Cut texts have the ids of whole ones, whatever stands at the cuts."""
+    from cauceda.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "WINDOW", window)
+    rng = random.Random(4)
+    odd = ["".join(rng.choices(ODD, k=rng.randint(0, 400))) for _ in range(60)] + ["a" * 500, "漢" * 300 + "。", " " * 300, "'" * 90, "'s" * 200, "", "x"]
+    rng.shuffle(odd)
+    own = bpe.encoder(bpe.RANKS, public.PATTERN)
+    for part in (1, 30, 1000):
+        ids, counts = own.encode(*utf8_column(pa.array(odd, pa.string())), part=part)
+        ends = np.append(0, np.cumsum(counts))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [REFERENCE.encode_ordinary(t) for t in odd]
+
+
+def test_parts_are_near_their_size(monkeypatch):
+    from cauceda.llm import pretokens
+
+    data = np.frombuffer(("words and 漢字。more, " * 5000).encode(), np.uint8)
+    edges = np.array([0, *pretokens.cuts(data, 1000), len(data)])
+    assert np.diff(edges).max() <= 1000 and np.diff(edges)[:-1].min() > 900
+    assert pretokens.cuts(np.full(5000, ord("a"), np.uint8), 100) == []
+
+
 def test_generic_patterns_split_alike():
     data, offsets = utf8_column(pa.array(["it's so, 12  x", "", "é 'll"], pa.string()))
     bounds, counts = split(data, offsets)
