@@ -162,14 +162,14 @@ SELECT 'part' AS how, event_id AS id, part FROM e WHERE part NOT IN (SELECT part
 UNION ALL SELECT 'record', event_id, part FROM e WHERE NOT damaged
 """)
 def parts_that_fail(spark, sf_dir):
-    """Events as parts of a source by their type, some records cut short and one part without files: what lands either way."""
+    """Events as parts of a source by their type, some records cut short and one part without files: what lands either way. Where every part has one, none lands whole."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
     kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())
     record = F.to_json(F.struct(F.col("event_id").alias("id")))
     path = f"{shared_folder(spark)}/cauceda/parts-{uuid.uuid4().hex}"
     written = events.filter(F.col("event_type") != kinds[0]).select(F.when(F.col("event_id") % 1000 == 7, F.left(record, F.length(record) - 1)).otherwise(record).alias("record"), F.col("event_type").alias("part"))
     written.write.partitionBy("part").text(path)
-    out = [parts.read_parts(spark, {k: f"{path}/part={k}" for k in kinds}, how).rows.withColumn("how", F.lit(how)) for how in parts.HOW]
+    out = [parts.read_parts(spark, {k: f"{path}/part={k}" for k in kinds}, how, may_be_empty=True).rows.withColumn("how", F.lit(how)) for how in parts.HOW]
     return out[0].unionByName(out[1]).select("how", F.get_json_object("record", "$.id").cast("long").alias("id"), "part")
 
 

@@ -4,7 +4,8 @@ A part fails whose path does not exist or cannot be read, or which holds a damag
 no JSON object. All parts are counted by one grouping; only where Spark cannot read some file are they counted one by
 one, to know whose it is. With ``damaged="part"`` a part with a damaged record is left out whole, so that what is stored
 of it is not taken for gone; with ``"record"`` only those records are, and how many they were is observed while the rows
-are written, without a pass of its own. A source without one good part raises.
+are written, without a pass of its own. A source without one good part raises; with ``may_be_empty`` it has no rows where
+parts could be read and all of them were left out as damaged, and the alerts tell so.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _counted(lines: DataFrame) -> dict[str, tuple[int, int]]:
     return {r["part"]: (r["n"], r["damaged"]) for r in rows}
 
 
-def read_parts(spark: SparkSession, paths: dict[str, str], damaged: str = "part") -> Parts:
+def read_parts(spark: SparkSession, paths: dict[str, str], damaged: str = "part", may_be_empty: bool = False) -> Parts:
     """The records of the parts that can be read. paths: name of a part -> path of its files. Blank lines are no records."""
     if damaged not in HOW:
         raise ValueError(f"damaged is one of {', '.join(HOW)}")
@@ -94,9 +95,12 @@ def read_parts(spark: SparkSession, paths: dict[str, str], damaged: str = "part"
             except FAULTS as error:
                 alerts.append(f"{name}: cannot be read: {_short(error)}")
                 del opened[name]
+    readable = list(opened.values())
     for name in list(opened):
         records, bad = counts.get(name, (0, 0))
         alerts += _said(name, records, bad, "part")
         if bad:
             del opened[name]
+    if readable and not opened and may_be_empty:
+        return Parts(readable[0].limit(0), alerts, [])
     return Parts(together(), alerts, list(opened))

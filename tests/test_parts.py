@@ -2,6 +2,7 @@ import gzip
 
 import pytest
 
+from cauceda.queries import jobs
 from cauceda.sources import ads, calendar, parts
 
 
@@ -46,6 +47,20 @@ def test_no_good_part(spark, folder):
         parts.read_parts(spark, paths(folder, "a"), "all")
 
 
+def test_all_parts_damaged_may_be_empty(spark, folder):
+    found = parts.read_parts(spark, paths(folder, "b", "none"), may_be_empty=True)
+    assert found.rows.columns == ["part", "record"] and found.rows.count() == 0 and found.names == []
+    assert "b: 3 of 4 records are damaged, the whole part is left out" in found.told() and len(found.told()) == 2
+    with pytest.raises(RuntimeError, match="none of the 1 parts"):
+        parts.read_parts(spark, paths(folder, "none"), may_be_empty=True)
+
+
+def test_events_all_of_whose_parts_are_damaged(spark, tmp_path):
+    spark.createDataFrame([(i, "abc"[i % 3]) for i in range(7, 3008, 50)] + [(1007, "b"), (2007, "c")], "event_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    rows = jobs.parts_that_fail(spark, str(tmp_path)).collect()
+    assert {r["how"] for r in rows} == {"record"} and sorted(r["id"] for r in rows) == [i for i in range(7, 3008, 50) if i % 3 and i % 1000 != 7]
+
+
 def test_calendars_and_accounts(spark, folder):
     rows, found = calendar.events(spark, {n: (f"room {n}", p) for n, p in paths(folder, "a", "b", "none").items()})
     assert {(r["calendar_id"], r["recurso"], r["evento_id"]) for r in rows.collect()} == {("a", "room a", "1"), ("a", "room a", "2")} and len(found.told()) == 2
