@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cauceda.functions import numbers
+
 #: Spanish months by their first three letters.
 MONTHS = {"ene": 1, "feb": 2, "mar": 3, "abr": 4, "may": 5, "jun": 6, "jul": 7, "ago": 8, "set": 9, "sep": 9, "oct": 10, "nov": 11, "dic": 12}
 #: Fixed value: month name, day, year and maybe a time.
@@ -20,6 +24,9 @@ FORMATS = (
 )
 ISO = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 PARTS = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})"
+CLOCK = r" ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?"
+#: How a cell begins that has either form.
+BEGINS = r"^[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]"
 
 
 def _try(col: Column, pattern: str) -> Column:
@@ -43,26 +50,48 @@ def parse_spanish_date(col: Column) -> Column:
     return F.when(text.rlike(SPANISH), made).otherwise(parse_date(text))
 
 
-def parse_declared(col: Column, day_first: bool) -> Column:
-    """Cells of one column: ISO is never read day first; the others by the declared convention."""
+def parts(col: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` the parts of a cell, each extracted once; null for a cell that does not begin like a date.
+
+    struct(text, iso, first, second, year, time): ``iso`` where the year comes first; the numbers are null where neither order fits.
+    """
     text = F.replace(F.substring(F.trim(col.cast("string")), 1, 19), F.lit("T"), F.lit(" "))
-    first, second = (F.regexp_extract(text, PARTS, i).try_cast("int") for i in (1, 2))
-    year = F.regexp_extract(text, PARTS, 3).try_cast("int")
-    time = [F.coalesce(F.regexp_extract(text, r" ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?", i).try_cast("int"), F.lit(0)) for i in (1, 2, 3)]
-    day, month = (first, second) if day_first else (second, first)
-    latin = F.when(text.rlike(PARTS), F.try_make_timestamp_ntz(year, month, day, *time))
-    return F.when(text.rlike(ISO), F.coalesce(*(F.when(text.rlike(look), _try(text, p)) for p, look in FORMATS[:3]))).otherwise(latin)
+
+    def number(t: Column, pattern: str, group: int) -> Column:
+        return F.regexp_extract(t, pattern, group).try_cast("int")
+
+    def split(t: Column) -> Column:
+        clock = [F.coalesce(number(t, CLOCK, g), F.lit(0)) for g in (1, 2, 3)]
+        time = F.when(F.contains(t, F.lit(":")), F.array(*clock)).otherwise(F.array(*[F.lit(0)] * 3))
+        return F.struct(t.alias("text"), t.rlike(ISO).alias("iso"), *(number(t, PARTS, g).alias(n) for g, n in ((1, "first"), (2, "second"), (3, "year"))), time.alias("time"))
+
+    return F.when(F.trim(col.cast("string")).rlike(BEGINS), numbers.bound(numbers.bound(text, split), of))
+
+
+def read_parts(found: Column, day_first: bool) -> Column:
+    """The timestamp of a cell's parts: ISO is never read day first; the others by the declared convention."""
+    day, month = (found["first"], found["second"]) if day_first else (found["second"], found["first"])
+    made = F.try_make_timestamp_ntz(found["year"], month, day, *(F.get(found["time"], F.lit(i)) for i in range(3)))
+    latin = F.when(month.between(1, 12) & day.between(1, 31), made)  # what cannot be a date would cost an exception
+    return F.when(found["iso"], F.coalesce(*(F.when(found["text"].rlike(look), _try(found["text"], p)) for p, look in FORMATS[:3]))).otherwise(latin)
+
+
+def parse_declared(col: Column, day_first: bool) -> Column:
+    """Cells of one column, by its declared convention."""
+    return parts(col, lambda found: read_parts(found, day_first))
+
+
+def proofs(found: Column) -> dict[str, Column]:
+    """Of a cell's parts: whether it can only be day first, only month first, or either."""
+    first, second = found["first"], found["second"]
+    fits = first.between(1, 31) & second.between(1, 31)
+    return {"day_first": fits & (first > 12) & (second <= 12), "month_first": fits & (second > 12) & (first <= 12), "either": fits & (first <= 12) & (second <= 12)}
 
 
 def evidence(col: Column) -> dict[str, Column]:
     """Aggregates that tell a column's convention: cells that can only be day first, month first, or either."""
-    first, second = (F.regexp_extract(F.trim(col), PARTS, i).try_cast("int") for i in (1, 2))
-    fits = first.between(1, 31) & second.between(1, 31) & F.trim(col).rlike(PARTS)
-    return {
-        "day_first": F.count_if(fits & (first > 12) & (second <= 12)),
-        "month_first": F.count_if(fits & (second > 12) & (first <= 12)),
-        "either": F.count_if(fits & (first <= 12) & (second <= 12)),
-    }
+    cell = parts(col, lambda found: F.struct(*(c.alias(n) for n, c in proofs(found).items())))
+    return {n: F.count_if(cell[n]) for n in ("day_first", "month_first", "either")}
 
 
 def verdict(day_first: int, month_first: int, either: int) -> str:

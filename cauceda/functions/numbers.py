@@ -13,6 +13,9 @@ SIGNS = {"$": "USD", "₡": "CRC", "€": "EUR"}
 #: Fixed value: a code or sign, the number, a code or sign.
 AMOUNT = r"([A-Z]{3}|[$₡€])?\s*(-?[0-9.,]+)\s*([A-Z]{3}|[$₡€])?"
 
+#: What stands beside a number in a cell without being part of it, as of a class of a regex.
+DRESS = r"\s ₡$€%"
+
 
 def bound(col: Column, of: Callable[[Column], Column]) -> Column:
     """``of(col)`` with ``col`` computed once, however often ``of`` names it."""
@@ -84,7 +87,8 @@ def clean_number(col: Column, decimal_comma: bool) -> Column:
         has_mark, has_other = F.contains(text, F.lit(mark)), F.contains(text, F.lit(other))
         return _as_double(F.when(has_mark & has_other, both).when(has_mark, F.replace(text, F.lit(mark), F.lit("."))).when(has_other, alone).otherwise(text))
 
-    return bound(F.regexp_replace(F.trim(col.cast("string")), r"[\s ₡$€%]", ""), read)
+    text = col.cast("string")
+    return F.when(~text.rlike(rf"[^0-9.,{DRESS}-]"), bound(F.regexp_replace(F.trim(text), f"[{DRESS}]", ""), read))
 
 
 def format_number_es(col: Column, places: int = 2) -> Column:

@@ -156,6 +156,21 @@ def test_inference(spark):
     assert infer.decide(p, True, True).kind == "text" and infer.decide(p, True, True, of_filled=True).kind == "number"
 
 
+def plan(df, of):
+    """How often the optimised plan of ``df`` has ``of``."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(of)
+
+
+def test_a_cell_is_typed_by_few_patterns(spark):
+    df = spark.range(3).selectExpr("concat('31/12/202', id) AS day", "concat(id, ',5') AS amount")
+    found = [infer.Profile(c, 3, 3, 0, 0, 0, 0, 0, 0, 0, kind) for c, kind in (("day", "timestamp"), ("amount", "number"))]
+    out = infer.typed(df, found)
+    assert [tuple(r) for r in out.orderBy("day").collect()] == [(dt.datetime(2020 + i, 12, 31), i + 0.5) for i in range(3)]
+    assert plan(out, "regexp_extract(") == 6 and plan(out, "trim(") <= 4  # the text of a cell is made once, not by each pattern
+    odd = spark.createDataFrame([("1/13/2026 7:05",), ("2026-13-01",), ("30/2/2026",), ("1-2-2026x",), ("1/2",), (None,)], "day string")
+    assert [r["day"] for r in infer.typed(odd, [infer.Profile("day", *[0] * 9, "timestamp")]).collect()] == [None, None, None, dt.datetime(2026, 2, 1), None, None]
+
+
 def test_the_guard_survives_empty_loads(spark):
     shape = "table string, columns array<string>, rows bigint"
     was = spark.createDataFrame([("sales", ["a"], 1500)], shape)
