@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cauceda.functions import dates, numbers, text
+from cauceda.operators import extract
 
 THRESHOLD = 0.8
 LOST = 0.05
@@ -39,30 +40,35 @@ class Profile:
     alerts: list[str] = field(default_factory=list)
 
 
-def profile_columns(df: DataFrame, day_first: bool = True, decimal_comma: bool = True) -> list[Column]:
-    """Aggregates <column>__<measure> for every column of ``df``."""
-    out = []
-    for c in df.columns:
-        col = F.col(c).cast("string")
-        filled = ~text.is_blank(col)
-        latin = [dates.parse_declared(col, d) for d in (day_first, not day_first)]
-        marks = {
-            "filled": F.count_if(filled),
-            "numeric": F.count_if(filled & numbers.clean_number(col, decimal_comma).isNotNull()),
-            "dated": F.count_if(filled & F.coalesce(*latin).isNotNull()),
-            "comma_groups": F.count_if(col.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$")),
-            "point_groups": F.count_if(col.rlike(r"^-?[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?$")),
-            **dates.evidence(col),
-        }
-        out += [m.alias(f"{c}__{k}") for k, m in marks.items()]
-    return out
+def cell_marks(col: Column, day_first: bool, decimal_comma: bool) -> dict[str, Column]:
+    """Booleans of one cell. A cell that does not begin like a date or has signs of no number is not tried as one."""
+    filled = ~text.is_blank(col)
+    dated = lambda p: F.coalesce(*(dates.read_parts(p, d) for d in (day_first, not day_first))).isNotNull().alias("dated")
+    date = dates.parts(col, lambda p: F.struct(dated(p), *(c.alias(n) for n, c in dates.proofs(p).items())))
+    return {
+        "filled": filled,
+        "numeric": filled & numbers.clean_number(col, decimal_comma).isNotNull(),
+        "date": date,
+        "comma_groups": col.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"),
+        "point_groups": col.rlike(r"^-?[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?$"),
+    }
+
+
+MEASURES = ("filled", "numeric", "date.dated", "date.day_first", "date.month_first", "date.either", "comma_groups", "point_groups")
+
+
+def counted(df: DataFrame, day_first: bool = True, decimal_comma: bool = True) -> DataFrame:
+    """One row: how many rows, then the measures of each column in turn. What is told of a cell is made once, then counted."""
+    marks = {f"{i}__{k}": m for i, c in enumerate(df.columns) for k, m in cell_marks(F.col(f"`{c}`").cast("string"), day_first, decimal_comma).items()}
+    cells = extract.once(df.select(*(m.alias(k) for k, m in marks.items())), list(marks))
+    return cells.agg(F.count("*").alias("rows"), *(F.count_if(f"{i}__{m}").alias(f"{i}__{m}") for i in range(len(df.columns)) for m in MEASURES))
 
 
 def profiles(df: DataFrame, day_first: bool = True, decimal_comma: bool = True) -> list[Profile]:
     """One job for the whole table; its result is one row."""
-    row = df.agg(F.count("*").alias("__rows"), *profile_columns(df, day_first, decimal_comma)).first().asDict()
-    measures = ("filled", "numeric", "dated", "day_first", "month_first", "either", "comma_groups", "point_groups")
-    return [decide(Profile(c, row["__rows"], *(row[f"{c}__{m}"] for m in measures)), day_first, decimal_comma) for c in df.columns]
+    rows, *counts = counted(df, day_first, decimal_comma).first()
+    n = len(MEASURES)
+    return [decide(Profile(c, rows, *counts[i * n : (i + 1) * n]), day_first, decimal_comma) for i, c in enumerate(df.columns)]
 
 
 def decide(p: Profile, day_first: bool, decimal_comma: bool, of_filled: bool = False) -> Profile:

@@ -171,6 +171,13 @@ def test_a_cell_is_typed_by_few_patterns(spark):
     assert [r["day"] for r in infer.typed(odd, [infer.Profile("day", *[0] * 9, "timestamp")]).collect()] == [None, None, None, dt.datetime(2026, 2, 1), None, None]
 
 
+def test_a_column_is_profiled_by_few_patterns(spark):
+    df = spark.createDataFrame([("31/12/2026", "1.234,5"), ("1-2-2026 7:05", "n/d"), ("2026-1-2", ""), (None, "1,234")] * 5, "day string, amount string")
+    assert plan(infer.counted(df), "regexp_extract(") == 6 * len(df.columns)
+    found = [(p.rows, p.filled, p.numeric, p.dated, p.day_first, p.month_first, p.either, p.comma_groups, p.point_groups) for p in infer.profiles(df)]
+    assert found == [(20, 15, 0, 15, 5, 0, 5, 0, 0), (20, 15, 10, 0, 0, 0, 0, 5, 5)]
+
+
 def test_the_guard_survives_empty_loads(spark):
     shape = "table string, columns array<string>, rows bigint"
     was = spark.createDataFrame([("sales", ["a"], 1500)], shape)
