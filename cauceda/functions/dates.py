@@ -36,18 +36,22 @@ def _try(col: Column, pattern: str) -> Column:
 def parse_date(col: Column) -> Column:
     """A timestamp without zone from ISO or day-first text; null if none of the formats fits."""
     text = F.substring(F.trim(F.coalesce(col.cast("string"), F.lit(""))), 1, 19)
-    return F.coalesce(*(F.when(text.rlike(look), _try(text, pattern)) for pattern, look in FORMATS))
+    read = lambda t: F.coalesce(*(F.when(t.rlike(look), _try(t, pattern)) for pattern, look in FORMATS))
+    return numbers.bound(text, lambda t: F.when(t.rlike("^[0-9]{1,4}[/-][0-9]"), read(t)))
 
 
 def parse_spanish_date(col: Column) -> Column:
     """``Ago 9, 2026 , 16:22`` and its variants; other texts by ``parse_date``. A day that does not exist is null."""
     text = F.trim(F.coalesce(col.cast("string"), F.lit("")))
-    group = [F.regexp_extract(text, SPANISH, i) for i in range(7)]
-    name = F.translate(F.lower(group[1]), "áéíóú", "aeiou")
     months = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
-    whole = [F.coalesce(F.nullif(g, F.lit("")).cast("int"), F.lit(0)) for g in group]
-    made = F.try_make_timestamp_ntz(whole[3], F.try_element_at(months, F.substring(name, 1, 3)), whole[2], whole[4], whole[5], whole[6])
-    return F.when(text.rlike(SPANISH), made).otherwise(parse_date(text))
+
+    def made(group: Column) -> Column:
+        name = F.translate(F.lower(group["g1"]), "áéíóú", "aeiou")
+        whole = [F.coalesce(F.nullif(group[f"g{i}"], F.lit("")).cast("int"), F.lit(0)) for i in range(2, 7)]
+        return F.try_make_timestamp_ntz(whole[1], F.try_element_at(months, F.substring(name, 1, 3)), whole[0], *whole[2:])
+
+    groups = F.struct(*(F.regexp_extract(text, SPANISH, i).alias(f"g{i}") for i in range(1, 7)))
+    return F.when(text.rlike(SPANISH), numbers.bound(groups, made)).otherwise(parse_date(text))
 
 
 def parts(col: Column, of: Callable[[Column], Column]) -> Column:

@@ -47,8 +47,10 @@ def fold(col: Column) -> Column:
 
 
 def fold_lower(col: Column) -> Column:
-    """As ``fold``, in lower case."""
-    return collapse(F.lower(strip_accents(F.coalesce(col.cast("string"), F.lit("")))))
+    """As ``fold``, in lower case. Most texts are printable ASCII with single spaces, in which only the case is folded."""
+    given = F.coalesce(col.cast("string"), F.lit(""))
+    plain = ~given.rlike("[^ -~]") & ~F.contains(given, F.lit("  "))
+    return F.when(plain, F.trim(F.lower(given))).otherwise(collapse(F.lower(strip_accents(given))))
 
 
 def folded_lower(text: str) -> str:

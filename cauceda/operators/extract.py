@@ -141,10 +141,10 @@ EXTRACTORS = {"lines": by_lines, "flat": by_flat, "pattern": by_pattern, "path":
 
 
 def convert(f: Field, found: Column) -> list[Column]:
-    """The columns of a field from its struct(value, label)."""
+    """The columns of a field from its struct(value, label), and of an amount from what was read of it in ``_m_<column>``."""
     value = found["value"]
     if f.type == "amount":
-        both = numbers.parse_amount(value)
+        both = F.col(f"_m_{f.column}")
         return [both["amount"].alias(f.column), both["currency"].alias(f"{f.column}_currency")]
     if f.type == "label":
         return [value.alias(f.column), found["label"].alias(f"{f.column}_label")]
@@ -170,6 +170,8 @@ def extract(raw: DataFrame, model: Model, body: str) -> DataFrame:
     found = once(rows.select(key.alias("row_key"), *context, F.col(body).alias("_body"), *(c.alias(n) for n, c in ready.items())), list(ready))
     values = [read(F.col("_body"), f).alias(f"_f_{f.column}") for f in model.fields]
     found = once(found.select("row_key", *model.context, *values), [f"_f_{f.column}" for f in model.fields])
+    amounts = {f"_m_{f.column}": numbers.parse_amount(F.col(f"_f_{f.column}.value")) for f in model.fields if f.type == "amount"}
+    found = once(found.select("*", *(c.alias(n) for n, c in amounts.items())), list(amounts))
     columns = [c for f in model.fields for c in convert(f, F.col(f"_f_{f.column}"))]
     typed = found.select("row_key", *model.context, *columns, F.to_json(F.struct(*(F.col(f"_f_{f.column}.value").alias(f.column) for f in model.fields))).alias("extracted"))
     missing = [F.when(text.is_blank(F.col(f.column)), F.lit(f.column)) for f in model.fields if f.required]

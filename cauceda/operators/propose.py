@@ -69,12 +69,25 @@ def _keys(body: Column) -> Column:
     return F.when(F.ltrim(body).startswith("{"), F.filter(every, lambda x: x["label"].rlike("^[A-Za-z_][A-Za-z0-9_]*$")))
 
 
+def _given(body: str) -> Column:
+    """A text; a null one is empty."""
+    return F.coalesce(F.col(body).cast("string"), F.lit(""))
+
+
+def _is_json(body: str) -> Column:
+    return F.ltrim(_given(body)).startswith("{")
+
+
+def _every(body: str) -> Column:
+    """All entries of a text, as they stand in it."""
+    return F.when(_is_json(body), F.coalesce(_keys(_given(body)), F.array())).otherwise(_lines(_given(body)))
+
+
 def entries(bodies: DataFrame, body: str) -> DataFrame:
     """is_json, entries of each text: the first of each label, in the labels' order. A null text has none."""
-    col = F.coalesce(F.col(body).cast("string"), F.lit(""))
-    json = F.ltrim(col).startswith("{")
-    found = extract.once(bodies.select(json.alias("is_json"), F.array_sort(F.when(json, F.coalesce(_keys(col), F.array())).otherwise(_lines(col))).alias("_sorted")), ["_sorted"])
-    return found.select("is_json", F.filter("_sorted", lambda x, i: (i == 0) | (F.get(F.col("_sorted"), i - 1)["label"] != x["label"])).alias("entries"))
+    found = extract.once(bodies.select(_is_json(body).alias("is_json"), F.sort_array(_every(body)).alias("_sorted")), ["_sorted"])
+    first = F.filter("_sorted", lambda x, i: (i == 0) | (F.get(F.col("_sorted"), i - 1)["label"] != x["label"]))
+    return extract.once(found.select("is_json", first.alias("entries")), ["entries"])
 
 
 def trials(value: Column) -> dict[str, Column]:
@@ -85,30 +98,33 @@ def trials(value: Column) -> dict[str, Column]:
         "date_iso": F.when(value.rlike("^[0-9]{1,4}[/.-][0-9]"), dates.parse_date(value).isNotNull()).otherwise(False),
         "date_es": F.when(digit & (value.rlike(dates.SPANISH) | value.rlike("^[0-9]{1,4}[/.-][0-9]")), dates.parse_spanish_date(value).isNotNull()).otherwise(False),
         "decimal": F.when(value.rlike("^-?[0-9]+([.,][0-9]+)*$"), numbers.parse_number(value).isNotNull()).otherwise(False),
-        "amount": F.when(digit & ~value.rlike("^-?[0-9]+$"), numbers.bound(numbers.parse_amount(value), money)).otherwise(False),
+        "amount": F.when(value.rlike("[A-Z]{3}|[$₡€]") & digit, numbers.bound(numbers.parse_amount(value), money)).otherwise(False),
         "label": value.rlike("^[*xX]{2,}[-* xX]*[0-9]{2,6}$"),
     }
 
 
-def frequent(read: DataFrame, least: float, most: int) -> tuple[int, bool, list[Label], bool]:
+def frequent(bodies: DataFrame, body: str, least: float, most: int) -> tuple[int, bool, list[Label], bool]:
     """How many texts, whether they are JSON, their frequent labels, and whether ``most`` cut some off."""
-    kinds = read.groupBy("is_json").count().collect()
+    kinds = bodies.groupBy(_is_json(body).alias("is_json")).count().collect()  # without the entries, which would be made for it
     texts = sum(r["count"] for r in kinds)
     json = 2 * sum(r["count"] for r in kinds if r["is_json"]) > texts
     filled, value = ~text.is_blank(F.col("value")), F.col("value")
-    counts = {f"as_{k}": F.count_if(filled & F.col(f"as_{k}")) for k in trials(value)}
-    counts |= {"support": F.count("*"), "filled": F.count_if(filled), "zeros": F.count_if(value.rlike("^0[0-9]")), "spelled": F.min("spelled")}
-    rows = read.filter(F.col("is_json") == json).select(F.inline("entries"))
-    rows = extract.once(rows.select("label", "spelled", "value", *(t.alias(f"as_{k}") for k, t in trials(value).items())), [f"as_{k}" for k in trials(value)]).groupBy("label").agg(*(c.alias(n) for n, c in counts.items()))
+    tests = {f"as_{k}": F.when(filled, t).otherwise(False) for k, t in trials(value).items()} | {"filled": filled, "zeros": value.rlike("^0[0-9]")}
+    rows = entries(bodies, body).filter(F.col("is_json") == json).select(F.inline("entries"))
+    rows = extract.once(rows.select("label", "spelled", *(t.alias(n) for n, t in tests.items())), list(tests))
+    # by spelling first: only counts, so that rows are hashed and not sorted, as a smallest text among them would have it
+    rows = rows.groupBy("label", "spelled").agg(F.count("*").alias("support"), *(F.count_if(n).alias(n) for n in tests))
+    counts = {n: F.sum(n) for n in (*tests, "support")} | {"spelled": F.min("spelled")}
+    rows = rows.groupBy("label").agg(*(c.alias(n) for n, c in counts.items()))
     kept = rows.filter(F.col("support") >= max(1, least * texts)).orderBy(F.desc("support"), "label").limit(most + 1).collect()
     found = [Label(r["label"], r["spelled"], r["support"], r["filled"], r["zeros"], {k[3:]: r[k] for k in counts if k.startswith("as_")}) for r in kept[:most]]
     return texts, json, found, len(kept) > most
 
 
-def meetings(read: DataFrame, labels: list[str]) -> set[tuple[str, str]]:
+def meetings(bodies: DataFrame, body: str, labels: list[str]) -> set[tuple[str, str]]:
     """The pairs of those labels, the smaller first, that stand in one text somewhere."""
-    own = F.array_intersect(F.transform("entries", lambda x: x["label"]), F.array(*map(F.lit, labels)))
-    bound = extract.once(read.select(own.alias("own")), ["own"])
+    own = F.array_intersect(F.transform(_every(body), lambda x: x["label"]), F.array(*map(F.lit, labels)))
+    bound = extract.once(bodies.select(own.alias("own")), ["own"]).filter(F.size("own") > 1)
     pairs = F.flatten(F.transform("own", lambda x: F.transform(F.filter(F.col("own"), lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return {(r["a"], r["b"]) for r in bound.select(F.inline(pairs)).distinct().collect()}
 
@@ -145,8 +161,7 @@ def propose(bodies: DataFrame, body: str, presets: dict[str, str] | None = None,
     Where every text has a preset's mark, its name is told as well: the texts can be read without new fields. Labels
     that are always empty are left out. Raises ValueError where no label is frequent.
     """
-    read = entries(bodies, body)
-    texts, json, labels, cut = frequent(read, least, most)
+    texts, json, labels, cut = frequent(bodies, body, least, most)
     alerts = [f"more than {most} labels are frequent: the others are left out"] if cut else []
     alerts += [f"{x.spelled}: always empty, left out" for x in labels if not x.filled]
     labels = [x for x in labels if x.filled]
@@ -156,7 +171,8 @@ def propose(bodies: DataFrame, body: str, presets: dict[str, str] | None = None,
     said = {x.label: kind_of(x, names[x.label]) for x in labels}
     kinds = {k: kind for k, (kind, _) in said.items()}
     alerts += [told for _, told in said.values() if told]
-    groups = [[x] for x in labels] if json else together(labels, kinds, meetings(read, [x.label for x in labels]), texts)
+    alike = [k for k, kind in kinds.items() if kind != "text" and list(kinds.values()).count(kind) > 1]  # no others can become one field
+    groups = [[x] for x in labels] if json else together(labels, kinds, meetings(bodies, body, alike) if alike else set(), texts)
     out = Proposal("path" if json else "lines", [], texts, {}, alerts=alerts)
     used: set[str] = set()
     for group in groups:

@@ -33,6 +33,17 @@ def test_the_tabs_declare_what_is_proposed(spark):
     assert [(f.column, f.type, f.labels, f.required) for f in plan.model.fields] == [(f.column, f.type, f.labels, f.required) for f in out.fields]
 
 
+def test_labels_are_counted_without_sorting_rows(spark, monkeypatch):
+    rows, frames = mails(spark, [notice(i) for i in range(40)]), []
+    taken = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: frames.append(df) or taken(df))
+    propose.propose(rows, "cuerpo", least=0.2)
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in frames]
+    assert len(plans) == 4 and "inline" not in plans[0]  # texts are counted without their entries
+    counted = plans[1].split("inline(")[0]
+    assert counted.count("HashAggregate(keys=[label") == 2  # entries are hashed; only what is counted already is sorted for the smallest spelling
+
+
 def test_json_texts(spark):
     rows = [json.dumps({"total": f"{i}.50", "cliente": {"n": i}, "vacio": None, "a b": 1, "codigo": i}) for i in range(30)]
     out = propose.propose(mails(spark, [*rows, "Comercio: x", None, "{broken"]), "cuerpo")
